@@ -98,11 +98,11 @@ class Tables:
         raise AttributeError(name)
 
 
-def with_views(body: str, *names: str) -> str:
+def with_views(body: str, *names: str, recursive: bool = False) -> str:
     """SQL text for the checking engine: the named views as CTEs in front of ``body``."""
     body = body.strip()
     if body[:5].upper() == "WITH ":
         rest = ", " + body[5:]
     else:
         rest = " " + body
-    return "WITH " + ", ".join(f"fx_{n} AS ({VIEWS['fx_' + n].strip()})" for n in names) + rest
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(f"fx_{n} AS ({VIEWS['fx_' + n].strip()})" for n in names) + rest
