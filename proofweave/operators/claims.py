@@ -61,6 +61,7 @@ def co_location(stays: DataFrame, item: str = "stay_id") -> DataFrame:
         (F.col("x.start_date") < F.col("y.start_date"))
         | ((F.col("x.start_date") == F.col("y.start_date")) & (F.col(f"x.{item}") < F.col(f"y.{item}")))
     ).where("(x.end_date IS NULL OR x.end_date >= y.start_date) AND (y.end_date IS NULL OR y.end_date >= y.start_date)")
+    met = met.where(F.col(f"x.{item}") != F.col(f"y.{item}"))
     swap = F.col(f"x.{item}") > F.col(f"y.{item}")
     first = F.when(swap, F.col("y")).otherwise(F.col("x"))
     second = F.when(swap, F.col("x")).otherwise(F.col("y"))
@@ -93,19 +94,6 @@ def locate_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def locate_everywhere(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Every (record, name) where the name occurs, when names are not tied to a record.
-
-    A name can only occur where its first whole word (or, for one-word names, a word containing it) occurs, so texts
-    meet names through distinct words; ``locate_mentions`` then settles the exact place. Names start at a word here.
-    """
-    word = F.regexp_extract(F.lower("name"), r"^[\p{L}\p{N}]+", 0)
-    keyed = names.select("ref", "name", word.alias("word")).where("word <> ''")
-    tokens = docs.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    near = tokens.join(keyed, "word").select("record_id", "ref", "name").distinct()
-    return locate_mentions(docs, near).where("verified")
-
-
 def new_mentions(located: DataFrame, existing: DataFrame, key: str = "norm_key") -> DataFrame:
     """Located names not yet stored under the same (record, key, offset); several refs of one place make one row."""
     one = located.groupBy("record_id", key, "char_start").agg(
@@ -273,8 +261,8 @@ def draft_suggestions(edges: DataFrame, mentions: DataFrame, resolved: DataFrame
     needs = F.array_compact(F.array(F.when(F.col("subject_id").isNull(), F.col("source")), F.when(F.col("object_id").isNull(), F.col("target"))))
     drafts = rows.select(
         "record_id", F.col("source").alias("subject_ref"), F.col("target").alias("object_ref"), F.col("relation").alias("raw_relation"), "predicate",
-        "subject_id", "object_id", "subject_mention_id", "object_mention_id", needs.alias("needs_entity"), payload.alias("payload"),
-    ).withColumn("idempotency_key", key)
+        "subject_id", "object_id", "subject_mention_id", "object_mention_id", needs.alias("needs_entity"), payload.alias("payload"), key.alias("idempotency_key"),
+    )
     drafts = drafts.dropDuplicates(["idempotency_key"])
     return drafts if existing is None else drafts.join(existing.select("idempotency_key"), "idempotency_key", "left_anti")
 

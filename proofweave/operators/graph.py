@@ -303,7 +303,7 @@ def weighted_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_WEIGH
             met.select(
                 F.col("f.pair_id").alias("pair_id"), F.lit(hops).alias("hops"),
                 F.concat("f.nodes", F.slice(F.reverse("b.nodes"), 2, 1000)).alias("nodes"), F.concat("f.ids", F.reverse("b.ids")).alias("edge_ids"),
-                F.concat("f.layers", F.reverse("b.layers")).alias("layers"), F.round(F.col("f.product") * F.col("b.product"), 3).alias("path_confidence"),
+                F.concat("f.layers", F.reverse("b.layers")).alias("layers"), F.round(F.round(F.col("f.product") * F.col("b.product"), 9), 3).alias("path_confidence"),
             )
         )
     order = Window.partitionBy("pair_id").orderBy(F.col("path_confidence").desc(), "hops", "edge_ids")

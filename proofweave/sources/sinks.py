@@ -60,7 +60,7 @@ def _date(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit('date("'), value.cast("string"), F.lit('")')), F.lit("null"))
 
 
-def node_statements(nodes: DataFrame) -> DataFrame:
+def node_statements(nodes: DataFrame, key: Column | None = None) -> DataFrame:
     """One idempotent MERGE per node; nodes may bring ``aliases``/``affiliations`` arrays."""
     have = lambda c: _literal(F.col(c)) if c in nodes.columns else F.lit("null")
     listed = lambda c: F.to_json(F.col(c)) if c in nodes.columns else F.lit("[]")
@@ -70,7 +70,7 @@ def node_statements(nodes: DataFrame) -> DataFrame:
         F.lit(",\n    c.node_type = "), _literal(F.col("node_type")), F.lit(",\n    c.cluster_id = "), have("cluster_id"),
         F.lit(",\n    c.source_file = "), have("source_file"), F.lit(",\n    c.source_excerpt = "), have("source_excerpt"), F.lit(";"),
     )
-    return nodes.select(F.col("node_id").alias("key"), text.alias("statement"))
+    return nodes.select((F.col("node_id") if key is None else key).alias("key"), text.alias("statement"))
 
 
 def edge_statements(edges: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ WITH b AS (SELECT concat('men_', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS me
 SELECT concat('mem_', substr(mention_id, 5, 9), '_', CAST(rev AS STRING)) AS membership_id, mention_id, concat('ent_c', lpad(CAST(ent AS STRING), 9, '0')) AS entity_id, rev AS opened_revision_id, lead(rev) OVER (PARTITION BY mention_id ORDER BY rev) AS closed_revision_id FROM ev
 """,
     "fx_claim": """
-SELECT concat('clm_', lpad(CAST(l_orderkey AS STRING), 9, '0'), '_', CAST(l_linenumber AS STRING)) AS claim_id, concat('ent_c', lpad(CAST(o_custkey AS STRING), 9, '0')) AS subject_id,
+SELECT concat('clm_', lpad(CAST(l_orderkey AS STRING), 9, '0'), '_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS claim_id, concat('ent_c', lpad(CAST(o_custkey AS STRING), 9, '0')) AS subject_id,
  CASE l_partkey % 4 WHEN 0 THEN 'member_of' WHEN 1 THEN 'founded' WHEN 2 THEN 'foreign_contact_of' ELSE 'allied_with' END AS predicate,
  CASE WHEN l_partkey % 4 = 3 THEN concat('ent_c', lpad(CAST(abs(o_custkey - 1 - l_suppkey % 3) AS STRING), 9, '0')) ELSE concat('ent_o', CAST(l_suppkey % 7 AS STRING)) END AS object_id,
  CASE WHEN l_linenumber < 4 THEN concat('men_', lpad(CAST(l_orderkey AS STRING), 9, '0')) END AS subject_mention_id,
@@ -52,10 +52,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE l_partkey % 4 <> 3 OR abs(o_custkey - 1 - l_suppkey % 3) <> o_custkey
 """,
     "fx_relation": """
-SELECT a.l_orderkey, concat('clm_', lpad(CAST(a.l_orderkey AS STRING), 9, '0'), '_', CAST(a.l_linenumber AS STRING)) AS from_claim, concat('clm_', lpad(CAST(b.l_orderkey AS STRING), 9, '0'), '_', CAST(b.l_linenumber AS STRING)) AS to_claim, CASE WHEN a.l_returnflag = b.l_returnflag THEN 'corroborates' ELSE 'contradicts' END AS relation FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+SELECT a.l_orderkey, concat('clm_', lpad(CAST(a.l_orderkey AS STRING), 9, '0'), '_', CAST(a.l_linenumber AS STRING), '_', CAST(a.l_partkey AS STRING), '_', CAST(CAST(round(a.l_extendedprice * 100) AS BIGINT) AS STRING)) AS from_claim, concat('clm_', lpad(CAST(b.l_orderkey AS STRING), 9, '0'), '_', CAST(b.l_linenumber AS STRING), '_', CAST(b.l_partkey AS STRING), '_', CAST(CAST(round(b.l_extendedprice * 100) AS BIGINT) AS STRING)) AS to_claim, CASE WHEN a.l_returnflag = b.l_returnflag THEN 'corroborates' ELSE 'contradicts' END AS relation FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 """,
     "fx_stay": """
-SELECT concat('stay_', lpad(CAST(l_orderkey AS STRING), 9, '0'), '_', CAST(l_linenumber AS STRING)) AS stay_id, o_custkey AS person, concat('Facility ', CAST(l_suppkey AS STRING)) AS facility, CAST(l_shipdate AS DATE) AS start_date, CASE WHEN l_partkey % 100 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) END AS end_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+SELECT concat('stay_', lpad(CAST(l_orderkey AS STRING), 9, '0'), '_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS stay_id, o_custkey AS person, concat('Facility ', CAST(l_suppkey AS STRING)) AS facility, CAST(l_shipdate AS DATE) AS start_date, CASE WHEN l_partkey % 100 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) END AS end_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """,
     "fx_raw": """
 SELECT source AS source_system, concat('file_', CAST(doc_id % 5 AS STRING), '.txt') AS filename, text, doc_id AS arrival FROM documents
