@@ -1,6 +1,6 @@
 """Session settings and the three execution helpers shared by the operators.
 
-* ``cut``       lineage cut through reliable storage (never executor-local blocks)
+* ``cut``       lineage cut through a table in shared storage (never executor-local blocks)
 * ``fits``      the size check that stands in front of every explicit broadcast
 * ``small``     broadcast a side when ``fits`` proves its size, leave it to the planner otherwise
 """
@@ -39,9 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -52,12 +52,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the files."""
+    """Write ``df`` to the shared folder and continue from the files.
+
+    A written table is computed once, survives executors, has a known size for the planner, and starts a fresh plan.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
