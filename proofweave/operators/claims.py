@@ -263,7 +263,8 @@ def draft_suggestions(edges: DataFrame, mentions: DataFrame, resolved: DataFrame
         "record_id", F.col("source").alias("subject_ref"), F.col("target").alias("object_ref"), F.col("relation").alias("raw_relation"), "predicate",
         "subject_id", "object_id", "subject_mention_id", "object_mention_id", needs.alias("needs_entity"), payload.alias("payload"), key.alias("idempotency_key"),
     )
-    drafts = drafts.dropDuplicates(["idempotency_key"])
+    rest = [c for c in drafts.columns if c != "idempotency_key"]
+    drafts = drafts.groupBy("idempotency_key").agg(F.min(F.struct(*rest)).alias("d")).select(*[F.col(f"d.{c}").alias(c) for c in rest], "idempotency_key")
     return drafts if existing is None else drafts.join(existing.select("idempotency_key"), "idempotency_key", "left_anti")
 
 

@@ -365,6 +365,8 @@ def x11(t: Inputs):
     t.mention.createOrReplaceTempView("mentions_suggested")
     edges = t.sql(SUGGESTED.replace("{m}", "mentions_suggested"))
     mentions = t.mention.groupBy("record_id", F.col("norm_key").alias("ref")).agg(F.min("mention_id").alias("mention_id"))
+    orgs = edges.select("record_id", F.col("target").alias("ref")).distinct()
+    mentions = mentions.unionByName(orgs.withColumn("mention_id", F.concat_ws("_", F.lit("men"), "ref", "record_id")))
     drafts = cl.draft_suggestions(edges, mentions, cl.resolve_norm_key(t.mention, t.membership), "semantic_pass", "model-1")
     return drafts.groupBy(
         "record_id", "subject_ref", "object_ref", "raw_relation", "predicate", "subject_id", "object_id", "subject_mention_id", F.size("needs_entity").alias("needs_entity")

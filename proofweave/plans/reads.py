@@ -273,10 +273,10 @@ def q4(t: Inputs):
 @query("q5_weighted_paths", oracle("""
 SELECT pair_id, rank, hops, array_to_string(nodes, '>') AS nodes, array_to_string(edge_ids, '>') AS edge_ids, path_confidence FROM (
  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY path_confidence DESC, hops, edge_ids) AS rank FROM (
-  SELECT t.pair_id, hops, nodes, edge_ids, round(round(product, 9), 3) AS path_confidence FROM trails t WHERE hops > 0 AND at = target)) WHERE rank <= 10
+  SELECT t.pair_id, hops, nodes, edge_ids, round(round(product, 9), 3) AS path_confidence FROM trails t WHERE hops > 0 AND spot = target)) WHERE rank <= 10
 """, financial="SELECT edge_id, source AS near, target AS far, weight FROM display WHERE layer = 'FINANCIAL' UNION ALL SELECT edge_id, target, source, weight FROM display WHERE layer = 'FINANCIAL'",
-   trails="""SELECT set_id AS pair_id, near_id AS target, entity_id AS at, 0 AS hops, [entity_id] AS nodes, CAST([] AS VARCHAR[]) AS edge_ids, CAST(1.0 AS DOUBLE) AS product FROM nation_firsts
- UNION ALL SELECT t.pair_id, t.target, f.far, t.hops + 1, list_append(t.nodes, f.far), list_append(t.edge_ids, f.edge_id), t.product * f.weight FROM trails t JOIN financial f ON f.near = t.at
+   trails="""SELECT set_id AS pair_id, near_id AS target, entity_id AS spot, 0 AS hops, [entity_id] AS nodes, CAST([] AS VARCHAR[]) AS edge_ids, CAST(1.0 AS DOUBLE) AS product FROM nation_firsts
+ UNION ALL SELECT t.pair_id, t.target, f.far, t.hops + 1, list_append(t.nodes, f.far), list_append(t.edge_ids, f.edge_id), t.product * f.weight FROM trails t JOIN financial f ON f.near = t.spot
  WHERE t.hops < 4 AND NOT list_contains(t.edge_ids, f.edge_id)"""))
 def q5(t: Inputs):
     """Trails inside the financial layer between a nation's first customer and the fifth id after it."""
@@ -640,7 +640,7 @@ QUEUE = """SELECT concat('sug_', claim_id) AS suggestion_id, 'claim_draft' AS su
 
 
 @query("l3_review_inbox", oracle("""
-SELECT suggestion_id, created_at FROM (SELECT q.* FROM queue q LEFT JOIN fx_record r ON r.record_id = q.record_id WHERE (q.case_id IS NULL OR q.case_id = 'cas_1') AND status = 'pending'
+SELECT suggestion_id, created_at FROM (SELECT q.* FROM queue q LEFT JOIN fx_record r ON r.record_id = q.record_id WHERE (q.case_id IS NULL OR q.case_id = 'cas_1') AND q.status = 'pending'
  AND (q.record_id IS NULL OR r.handling_code = 'open') AND payload NOT LIKE '%has_nic%') ORDER BY created_at DESC, suggestion_id DESC LIMIT 200
 """, queue=QUEUE + "fx_claim"))
 def l3(t: Inputs):
