@@ -132,7 +132,10 @@ ONTOLOGY_VERSION = "1.0.0"
 
 
 def lookup(column: Column, table: dict, default=None) -> Column:
-    """``CASE`` over a short fixed table; stays inside code generation."""
+    """A fixed table as an expression: ``CASE`` while it is short, one map literal beyond that (small generated code)."""
+    if len(table) > 8:
+        pairs = [F.lit(x) for key, value in table.items() for x in (key, value)]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), column), F.lit(default))
     expr = None
     for key, value in table.items():
         expr = F.when(column == key, F.lit(value)) if expr is None else expr.when(column == key, F.lit(value))
@@ -197,12 +200,13 @@ def property_table(spark: SparkSession) -> DataFrame:
 
 def verb_table(spark: SparkSession) -> DataFrame:
     """Verbs to predicates; a verb without an entry maps to the predicate of the same name."""
-    rows = [(v, *t, len(ts) > 1) for v, ts in VERB_REMAP.items() for t in ts]
-    rows += [(n, n, None, None, "full", False) for n in PREDICATES if n not in VERB_REMAP]
+    facts = lambda p: (PREDICATES[p][2], PREDICATES[p][3])
+    rows = [(v, *t, len(ts) > 1, *facts(t[0])) for v, ts in VERB_REMAP.items() for t in ts]
+    rows += [(n, n, None, None, "full", False, *facts(n)) for n in PREDICATES if n not in VERB_REMAP]
     return spark.createDataFrame(
         rows,
         "relation string, predicate string, credibility_cap string, default_location string, "
-        "window_part string, split boolean",
+        "window_part string, split boolean, category string, symmetric boolean",
     )
 
 

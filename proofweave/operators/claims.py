@@ -188,7 +188,7 @@ def remap_edges(edges: DataFrame) -> DataFrame:
     """
     verbs = V.verb_table(edges.sparkSession)
     rows = grade_confidence(edges).drop("weight").join(F.broadcast(verbs), "relation", "left")
-    category = V.category_of(F.col("predicate"))
+    category = F.col("category")
     corrected = category.isNotNull() & (category != F.lower("layer"))
     allowed = F.lit(False)
     for predicate, layers in V.CATEGORY_CORRECTIONS.items():
@@ -197,8 +197,8 @@ def remap_edges(edges: DataFrame) -> DataFrame:
     weaker = F.when(cap > V.credibility_order(F.col("credibility")), F.col("credibility_cap")).otherwise(F.col("credibility"))
     return rows.select(
         "edge_no", "relation", "layer", "predicate",
-        category.alias("category"),
-        V.is_symmetric(F.col("predicate")).alias("symmetric"),
+        "category",
+        "symmetric",
         F.when(F.col("credibility_cap").isNotNull(), weaker).otherwise(F.col("credibility")).alias("credibility_normalized"),
         F.col("verification").alias("verification_status"),
         F.when(F.col("window_part") == "full", F.col("start_date")).when(F.col("window_part") == "from_start", F.col("start_date")).alias("valid_from"),

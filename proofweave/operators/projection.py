@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..session import cut
 from . import intervals as iv
 
 KEYS = ["subject_id", "object_id", "predicate"]
@@ -133,9 +134,14 @@ def _edges(swept: DataFrame) -> DataFrame:
     )
 
 
+def _ranged(resolved: DataFrame) -> DataFrame:
+    """Resolved claims with their day ranges, written once: every sweep below reads them again."""
+    return cut(iv.half_open(resolved.where("NOT collapsed")).select(*KEYS, "claim_id", "record_id", "handling_code", "lo", "hi"))
+
+
 def edge_projection(resolved: DataFrame, relations: DataFrame, revision: Column | int) -> DataFrame:
     """One row per maximal segment of one canonical (subject, object, predicate), with its support counts."""
-    rows = iv.half_open(resolved.where("NOT collapsed"))
+    rows = _ranged(resolved)
     edges = _edges(_swept(rows, relation_index(relations)))
     stamp = revision if isinstance(revision, Column) else F.lit(revision)
     return edges.drop("idx").withColumns(
@@ -149,7 +155,7 @@ def edge_projection(resolved: DataFrame, relations: DataFrame, revision: Column
 
 def edge_claims(resolved: DataFrame) -> DataFrame:
     """Long table (edge_id, subject, object, predicate, segment, claim_id): which claim supports which edge."""
-    rows = iv.half_open(resolved.where("NOT collapsed"))
+    rows = _ranged(resolved)
     swept = iv.sweep([iv.deltas(rows, KEYS, {"claim_count": F.lit(1)})], KEYS, "claim_count")
     links = iv.memberships(rows, swept, KEYS, "claim_id")
     named = iv.bounds(swept.where("covered")).select(
