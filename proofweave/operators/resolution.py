@@ -86,6 +86,15 @@ def identifier_pairs(observations: DataFrame) -> DataFrame:
     )
 
 
+def suppressed_conflicts(observations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """How many pairs of equal identifiers the issuer and validity rules kept out, counted without listing them."""
+    keyed = observations.withColumn("_value", normalized_identifier(F.col("value"))).where("_value IS NOT NULL")
+    sizes = keyed.select("predicate", "_value", "mention_id").distinct().groupBy("predicate", "_value").agg(F.count(F.lit(1)).alias("n"))
+    possible = sizes.groupBy("predicate").agg(F.sum(F.expr("n * (n - 1) / 2")).cast("long").alias("possible"))
+    kept = pairs.groupBy("predicate").agg(F.count(F.lit(1)).alias("kept"))
+    return possible.join(kept, "predicate", "left").select("predicate", (F.col("possible") - F.coalesce("kept", F.lit(0))).alias("suppressed_conflict"))
+
+
 def same_key_pairs(mentions: DataFrame) -> DataFrame:
     rows = mentions.select("record_id", "norm_key", "mention_id").distinct()
     return pairs_within(rows, ["record_id", "norm_key"], "mention_id").select(
@@ -143,20 +152,31 @@ def snapshot_digest(claims: DataFrame) -> DataFrame:
     return summed.select("edges", F.concat(F.lit("sha256:"), F.substring(F.sha2(F.concat_ws("|", *lanes), 256), 1, 32)).alias("graph_snapshot_id"))
 
 
-def block_keys(frame: DataFrame, features: DataFrame) -> DataFrame:
-    """(unique_id, block): phonetic key, first four characters of the Latin key, each affiliation."""
-    by_entity = features.where("kind = 'affiliation'").select("entity_id", F.concat(F.lit("a:"), "value").alias("block"))
+def block_keys(frame: DataFrame, features: DataFrame, whole_lists: bool = False) -> DataFrame:
+    """(unique_id, block): phonetic key, first four characters of the Latin key, each affiliation.
+
+    ``whole_lists`` blocks on the equality of an entity's complete affiliation list instead, where all entities
+    without any share one block. That block is quadratic to enumerate; use it with ``pairs_above``, which does not.
+    """
+    affiliated = features.where("kind = 'affiliation'")
+    ids = frame.select("unique_id", "entity_id")
+    if whole_lists:
+        lists = affiliated.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("value")), "\u0001").alias("_list"))
+        third = ids.join(lists, "entity_id", "left").select("unique_id", F.concat(F.lit("a:"), F.coalesce("_list", F.lit(""))).alias("block"))
+    else:
+        by_entity = affiliated.select("entity_id", F.concat(F.lit("a:"), "value").alias("block"))
+        third = ids.join(by_entity, "entity_id").select("unique_id", "block")
     return (
         frame.where("phonetic_key IS NOT NULL").select("unique_id", F.concat(F.lit("p:"), "phonetic_key").alias("block"))
         .unionByName(frame.where("latin_key IS NOT NULL").select("unique_id", F.concat(F.lit("l:"), F.substring("latin_key", 1, 4)).alias("block")))
-        .unionByName(frame.select("unique_id", "entity_id").join(by_entity, "entity_id").select("unique_id", "block"))
+        .unionByName(third)
         .distinct()
     )
 
 
-def block_pairs(frame: DataFrame, features: DataFrame) -> DataFrame:
+def block_pairs(frame: DataFrame, features: DataFrame, whole_lists: bool = False) -> DataFrame:
     """Pairs meeting in any block, each pair once."""
-    return pairs_within(block_keys(frame, features), ["block"], "unique_id").select(
+    return pairs_within(block_keys(frame, features, whole_lists), ["block"], "unique_id").select(
         F.col("a.unique_id").alias("id_a"), F.col("b.unique_id").alias("id_b")
     ).distinct()
 
@@ -257,7 +277,7 @@ def _two_of(items: list[str]):
     return [(x, y) for i, x in enumerate(items) for y in items[i + 1:]]
 
 
-def pairs_above(frame: DataFrame, features: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def pairs_above(frame: DataFrame, features: DataFrame, threshold: float = THRESHOLD, whole_lists: bool = False) -> DataFrame:
     """The blocked pairs that can reach ``threshold``, without enumerating the blocks.
 
     Exact: a pair is produced when it agrees on two values some above-threshold level combination needs, and kept
@@ -265,7 +285,7 @@ def pairs_above(frame: DataFrame, features: DataFrame, threshold: float = THRESH
     """
     combos = sufficient_agreements(threshold)
     if combos is None:
-        return block_pairs(frame, features)
+        return block_pairs(frame, features, whole_lists)
     long = {
         "script": frame.select("unique_id", F.col("script_key").alias("v")),
         "latin": frame.select("unique_id", F.col("latin_key").alias("v")),
@@ -283,7 +303,7 @@ def pairs_above(frame: DataFrame, features: DataFrame, threshold: float = THRESH
     candidates = pairs_within(reduce(DataFrame.unionByName, keyed).distinct(), ["key"], "unique_id").select(
         F.col("a.unique_id").alias("id_a"), F.col("b.unique_id").alias("id_b")
     ).distinct()
-    blocks = block_keys(frame, features)
+    blocks = block_keys(frame, features, whole_lists)
     met = candidates.join(blocks.toDF("id_a", "block"), "id_a").join(blocks.toDF("id_b", "block"), ["id_b", "block"])
     return met.select("id_a", "id_b").distinct()
 

@@ -143,6 +143,15 @@ def e1(t: Inputs):
     return er.identifier_pairs(t.identifier)
 
 
+@query("e1_suppressed_conflicts", oracle("""
+SELECT a.predicate, count(*) FILTER (WHERE NOT coalesce(a.jurisdiction = b.jurisdiction, TRUE) OR coalesce(a.valid_to < b.valid_from, FALSE) OR coalesce(b.valid_to < a.valid_from, FALSE)) AS suppressed_conflict
+FROM fx_identifier a JOIN fx_identifier b ON upper(regexp_replace(a.value, '\\s+', '', 'g')) = upper(regexp_replace(b.value, '\\s+', '', 'g')) AND a.predicate = b.predicate AND a.mention_id < b.mention_id GROUP BY a.predicate
+"""))
+def e1_suppressed(t: Inputs):
+    observed = t.identifier
+    return er.suppressed_conflicts(observed, er.identifier_pairs(observed))
+
+
 @query("e2_same_key_pairs", oracle("""
 SELECT a.record_id, a.norm_key, a.mention_id AS mention_a, b.mention_id AS mention_b FROM fx_mention a JOIN fx_mention b ON a.record_id = b.record_id AND a.norm_key = b.norm_key AND a.mention_id < b.mention_id
 """))

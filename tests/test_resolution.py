@@ -58,8 +58,9 @@ def test_pairs_above_loses_nothing(spark):
     feats = [(f"m{i:03d}", k, f"{k[:2]}{rnd.randint(0, 9)}") for i in range(120) for k in ("alias", "affiliation", "associate", "associate") if rnd.random() < 0.6]
     features = spark.createDataFrame(feats, "entity_id string, kind string, value string").distinct()
     score = lambda pairs: {(r["id_a"], r["id_b"]) for r in er.score_pairs(er.compare_pairs(pairs, frame, features)).where(F.col("probability") >= er.THRESHOLD).collect()}
-    full, pruned = score(er.block_pairs(frame, features)), score(er.pairs_above(frame, features))
-    assert full and full == pruned
+    for whole in (False, True):
+        full, pruned = score(er.block_pairs(frame, features, whole)), score(er.pairs_above(frame, features, whole_lists=whole))
+        assert full and full == pruned
 
 
 def test_agreement_list_is_complete():
