@@ -15,6 +15,7 @@ CUSTODY_LINE = (
     r"\s*\(\s*(\d{4}-\d{2}-\d{2})\s+to\s+(\d{4}-\d{2}-\d{2}|ongoing)\s*\)\s*$"
 )
 CONTEXT_WINDOW = 120  # fixed value: characters kept on each side of a mention
+GRADING_SCHEME = "legacy-confidence-tag"  # fixed value: scheme name drafts carry
 CHUNK_CHARS = 12_000  # fixed value: documents up to this length are one chunk
 DEDUPE_KEY = ["source", "target", "relation", "layer", "start_date", "end_date"]
 
@@ -250,7 +251,7 @@ def draft_suggestions(edges: DataFrame, mentions: DataFrame, resolved: DataFrame
         F.struct(
             F.lit("reported").alias("assertion_type"), method.alias("collection_method"),
             F.col("credibility").alias("credibility_normalized"), F.col("confidence").alias("credibility_original"),
-            F.lit("legacy-confidence-tag").alias("credibility_scheme"), F.col("source_excerpt").alias("excerpt"),
+            F.lit(GRADING_SCHEME).alias("credibility_scheme"), F.col("source_excerpt").alias("excerpt"),
             F.col("location").alias("location_text"), "object_id", "object_mention_id", "predicate", "record_id",
             "subject_id", "subject_mention_id", F.col("start_date").cast("string").alias("valid_from"),
             F.col("end_date").cast("string").alias("valid_to"), F.col("verification").alias("verification_status"),

@@ -199,7 +199,7 @@ def identity_history(entities: DataFrame, canonical: DataFrame, memberships: Dat
     )
 
 
-def batch_confirm(candidates: DataFrame, memberships: DataFrame, parent_revision: int, max_rounds: int = 200) -> DataFrame:
+def batch_confirm(candidates: DataFrame, memberships: DataFrame, parent_revision: int) -> DataFrame:
     """Which pre-verified candidates are confirmed, taken in ``position`` order, and why the others are skipped.
 
     ``candidates(candidate_id, position, mention_a, mention_b, pre_verified, disposition)``. A confirmed pair makes
@@ -227,9 +227,7 @@ def batch_confirm(candidates: DataFrame, memberships: DataFrame, parent_revision
     judged = cut(rows.select(*keep, first_reason.alias("reason")))
     settled = [judged.where("reason IS NOT NULL").withColumn("confirmed", F.lit(False))]
     alive = judged.where("reason IS NULL").drop("reason")
-    for _ in range(max_rounds):
-        if alive.isEmpty():
-            break
+    while not alive.isEmpty():  # the earliest candidate left always wins, so every round settles some
         ends = alive.select("position", F.explode(F.array("entity_a", "entity_b")).alias("entity"))
         firsts = ends.groupBy("entity").agg(F.min("position").alias("first"))
         looked = alive.join(firsts.toDF("entity_a", "first_a"), "entity_a").join(firsts.toDF("entity_b", "first_b"), "entity_b")
@@ -252,8 +250,6 @@ def batch_confirm(candidates: DataFrame, memberships: DataFrame, parent_revision
         settled.append(won.withColumns({"reason": F.lit(None).cast("string"), "confirmed": F.lit(True)}))
         settled.append(marked.where("reason IS NOT NULL").withColumn("confirmed", F.lit(False)))
         alive = marked.where("reason IS NULL").drop("reason")
-    else:
-        raise RuntimeError("batch did not settle; raise max_rounds")
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)

@@ -190,7 +190,6 @@ CTES: dict[str, str] = {
         "segment_from AS start_date, segment_to AS end_date, coalesce(rs.source_file, '') AS source_file FROM "
         "(SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY w DESC, claim_id DESC) AS rn FROM best) b LEFT JOIN record_source rs ON rs.record_id = b.record_id WHERE rn = 1"
     ),
-    "live_entity": "SELECT * FROM fx_entity",
 }
 
 
