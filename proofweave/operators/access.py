@@ -153,11 +153,9 @@ def audit_failures(log: DataFrame, expected_hash: Column, genesis: str = GENESIS
 
 def audit_verify(log: DataFrame, expected_hash: Column, genesis: str = GENESIS_HASH) -> DataFrame:
     """One row: whether the chain holds, how many rows were good before the first failure, and that failure."""
-    first = audit_failures(log, expected_hash, genesis).agg(
-        F.min_by(F.struct("id", "step", "reason"), "id").alias("f")
-    ).select(F.lit(1).alias("k"), "f")
-    total = log.agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("k"), "n")
-    return total.join(first, "k").select(
+    failures = audit_failures(log, expected_hash, genesis).select(F.struct("id", "step", "reason").alias("f"), F.lit(0).cast("long").alias("n"))
+    rows = log.select(F.lit(None).cast(failures.schema["f"].dataType).alias("f"), F.lit(1).cast("long").alias("n"))
+    return failures.unionByName(rows).agg(F.min("f").alias("f"), F.sum("n").alias("n")).select(
         F.col("f").isNull().alias("ok"),
         F.coalesce(F.col("f.step") - 1, F.col("n")).alias("checked"),
         F.col("f.id").alias("failed_id"),

@@ -216,19 +216,21 @@ def support_summary(links: DataFrame, claims: DataFrame, index: DataFrame) -> Da
 
 def projection_stamps(projection: DataFrame, revisions: DataFrame) -> DataFrame:
     """The weakest stamps in the projection beside the active revision; an empty projection is not stale."""
-    active = revisions.agg(F.max("revision_id").alias("v")).select(F.lit("active").alias("k"), "v")
-    built = projection.agg(
+    none = lambda kind: F.lit(None).cast(kind)
+    built = projection.select(
+        "built_at_revision_id", "ontology_version", "builder_version", none("long").alias("active_revision_id")
+    ).unionByName(
+        revisions.select(
+            none("long").alias("built_at_revision_id"), none("string").alias("ontology_version"), none("string").alias("builder_version"),
+            F.col("revision_id").alias("active_revision_id"),
+        )
+    )
+    return built.agg(
         F.min("built_at_revision_id").alias("built_at_revision_id"),
+        F.max("active_revision_id").alias("active_revision_id"),
         F.min("ontology_version").alias("ontology_version"),
         F.min("builder_version").alias("builder_version"),
-    ).withColumn("k", F.lit("active"))
-    return built.join(active, "k").select(
-        "built_at_revision_id",
-        F.col("v").alias("active_revision_id"),
-        "ontology_version",
-        "builder_version",
-        F.coalesce(F.col("built_at_revision_id") < F.col("v"), F.lit(False)).alias("stale"),
-    )
+    ).withColumn("stale", F.coalesce(F.col("built_at_revision_id") < F.col("active_revision_id"), F.lit(False)))
 
 
 def edge_summary(claims: DataFrame) -> DataFrame:

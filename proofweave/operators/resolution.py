@@ -357,12 +357,13 @@ def evaluate(rule_pairs: DataFrame, model_pairs: DataFrame, same_document: DataF
         total("translit").alias("transliteration_pairs"),
         total(queued).alias("emitted_candidate_pairs"),
         total(queued * F.col("distinct")).alias("distinct_pairs_emitted"),
-    ).withColumn("k", F.lit(1))
-    mentions = truth.agg(F.count(F.lit(1)).alias("mention_count")).withColumn("k", F.lit(1))
+        F.lit(0).cast("long").alias("mention_count"),
+    )
+    counted = truth.agg(*[F.lit(0).cast("long").alias(c) for c in sums.columns[:-1]], F.count(F.lit(1)).alias("mention_count"))
+    merged = sums.unionByName(counted).agg(*[F.sum(c).alias(c) for c in sums.columns])
     ratio = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0)
     return (
-        sums.join(mentions, "k").drop("k")
-        .withColumn("rule_false_positives", F.col("_rule") - F.col("rule_true_positives"))
+        merged.withColumn("rule_false_positives", F.col("_rule") - F.col("rule_true_positives"))
         .withColumn("rule_pairwise_precision", F.round(ratio("rule_true_positives", "_rule"), 6))
         .withColumn("transliteration_pairwise_recall", F.round(ratio("transliteration_true_positives", "transliteration_pairs"), 6))
         .withColumn("review_load_per_1000_mentions", F.round(F.col("emitted_candidate_pairs") * 1000.0 / F.col("mention_count"), 6))

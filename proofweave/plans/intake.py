@@ -11,7 +11,7 @@ from ..operators import projection as pj
 from ..session import scratch_path
 from ..sources import landing, sinks
 from ..streaming import intake
-from .registry import RANK, SYMMETRIC, Inputs, oracle, query  # noqa: F401
+from .registry import SYMMETRIC, Inputs, oracle, query
 
 MAX_BYTES = 20_000
 

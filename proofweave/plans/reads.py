@@ -10,7 +10,7 @@ from ..operators import access, communities, graph, lists, provenance, search
 from ..operators import intervals as iv
 from ..operators import projection as pj
 from ..operators import resolution as er
-from .intake import NODE_OUT, PROJECTION_COLUMNS, PROJECTION_OUT
+from .intake import NODE_OUT, PROJECTION_OUT
 from .registry import CATEGORY, RANK, WEIGHT, Inputs, oracle, query
 
 # --- projection ------------------------------------------------------------------------------

@@ -2,7 +2,6 @@ import random
 from itertools import product
 
 import pytest
-from pyspark.sql import functions as F
 
 from proofweave.operators import communities, graph
 
