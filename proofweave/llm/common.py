@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
+from ..session import scratch_path as scratch
 
-__all__ = ["cut", "table", "bounded_batches", "fold", "with_blocks", "texts_of"]
+__all__ = ["cut", "scratch", "table", "bounded_batches", "fold", "with_blocks", "texts_of"]
 
 #: Bytes of one Arrow batch and of one block of documents; both bound what a Python worker holds at a time.
 BATCH_BYTES = 8 << 20
@@ -35,8 +36,8 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
-def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, text) dealt into blocks of about ``block_bytes`` of text.
+def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(block, doc_id, text) and the number of blocks; rows are dealt into blocks of about ``block_bytes`` of text.
 
     The block of a row is a hash of its id and length, so no source, key or null id gathers in one block. All consumers of
     the returned frame share one exchange.
@@ -45,8 +46,7 @@ def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
     dealt = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    # a few blocks to a partition: hashing whole blocks leaves partitions uneven otherwise
-    return dealt.select("block", "doc_id", "text").repartition(int(min(blocks, 20_000)), "block")
+    return dealt.select("block", "doc_id", "text").repartition(int(min(blocks, 20_000)), "block"), int(blocks)
 
 
 def texts_of(column) -> list[str]:

@@ -168,3 +168,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 def hexadecimal(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The rows of ``docs`` (all columns) with the smallest doc_id of their near-duplicate group, one row of each group."""
+    bounded_batches(docs.sparkSession)
+    at, names = docs.columns.index("text"), list(docs.columns)
+    from pyspark.sql.types import LongType, StructType
+
+    def run(batches):
+        for batch in batches:
+            prints = pa.array([fingerprint(t, shingle) for t in texts_of(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*names, "simhash_fp"])
+
+    marked = cut(docs.mapInArrow(run, StructType(docs.schema.fields).add("simhash_fp", LongType())))
+    prints = marked.select("doc_id", F.col("simhash_fp").alias("fp"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    roots = components(links(distinct, radius, tile_rows))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    # one (id, fingerprint) of each group; ids that are null come last
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp")).alias("b"))
+    keep = best.select(F.col("b.least_id").alias("keep_id"), F.col("b.fp").alias("keep_fp"))
+    kept = marked.join(keep, (marked.simhash_fp == keep.keep_fp) & marked.doc_id.eqNullSafe(keep.keep_id), "left_semi")
+    return kept.dropDuplicates(["doc_id", "simhash_fp"]).drop("simhash_fp")
