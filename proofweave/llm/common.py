@@ -9,17 +9,20 @@ Conventions that hold for every operator unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
 from ..session import scratch_path as scratch
 
-__all__ = ["cut", "scratch", "table", "bounded_batches", "fold", "with_blocks", "texts_of"]
+__all__ = ["cut", "scratch", "table", "bounded_batches", "fold", "packed_blocks", "unpacked", "shrunk", "grown", "texts_of"]
 
 #: Bytes of one Arrow batch and of one block of documents; both bound what a Python worker holds at a time.
 BATCH_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,17 +39,53 @@ def fold(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % modulus
 
 
-def with_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) and the number of blocks; rows are dealt into blocks of about ``block_bytes`` of text.
+def packed_blocks(docs: DataFrame, columns: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, data): neighbouring rows of each scan task, with about ``block_bytes`` of text, compressed to one value.
 
-    The block of a row is a hash of its id and length, so no source, key or null id gathers in one block. All consumers of
-    the returned frame share one exchange.
+    Blocks follow the scan, so no source, key or null id gathers in one. They are written out: every later step sees the same
+    blocks, and moves a text at about a third of its size.
     """
-    sized = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // block_bytes + 1
-    dealt = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    return dealt.select("block", "doc_id", "text").repartition(int(min(blocks, 20_000)), "block"), int(blocks)
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 20, [], 0
+        for batch in batches:
+            at, bounds = 0, batch.column(batch.schema.get_field_index("text")).cast(pa.large_string())
+            ends = np.cumsum(pc.fill_null(pc.binary_length(bounds), 0).to_numpy(zero_copy_only=False))
+            while at < len(batch):
+                before = int(ends[at - 1]) if at else 0
+                stop = min(len(batch), int(np.searchsorted(ends, before + block_bytes - size)) + 1)
+                held.append(batch.slice(at, stop - at))
+                size += int(ends[stop - 1]) - before
+                at = stop
+                if size >= block_bytes:
+                    yield _packed(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield _packed(number, held)
+
+    return cut(docs.select(*columns).mapInArrow(run, "block long, data binary"))
+
+
+def _packed(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_batches(batches).combine_chunks())
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data"])
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def shrunk(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def grown(data: bytes | None) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True) if data else b""
 
 
 def texts_of(column) -> list[str]:

@@ -28,16 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, texts_of, with_blocks
+from .common import BLOCK_BYTES, cut, grown, packed_blocks, shrunk, texts_of, unpacked
 
-ORDER = 4
+ORDER = 5
 BITS = 9
 END, START, SYMBOLS = 256, 257, 257
-BLOCK_BYTES = 32 << 20
 _CHUNK = 2 << 20
 _LOW = (1 << BITS) - 1
 GRAM, WORD, PAIR, STAT, GRAM_VALUE, WORD_COUNT = range(6)
-_MESSAGE = "block int, kind int, part int, keys binary, counts binary"
+_MESSAGE = "block long, kind int, part int, keys binary, counts binary"
 
 
 def _chunks(raw: list[bytes]):
@@ -82,13 +81,21 @@ def _raw(texts: list[str]) -> list[bytes]:
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
-    kinds = {"block": pa.int32(), "kind": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    kinds = {"block": pa.int64(), "kind": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds.items())})
 
 
-def _ask(group: pa.Table, parts: int) -> pa.Table:
+def _sent_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return shrunk(np.diff(keys, prepend=0).tobytes())
+
+
+def _read_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(grown(data), np.int64))
+
+
+def _ask(block: int, group: pa.Table, parts: int) -> pa.Table:
     """What one block holds: context strings and words with their training counts."""
-    block = group["block"][0].as_py()
     raw = _raw(texts_of(group["text"]))
     trains = group["trains"].to_numpy(zero_copy_only=False).astype(bool)
     every: list[tuple[np.ndarray, np.ndarray]] = []
@@ -108,7 +115,7 @@ def _ask(group: pa.Table, parts: int) -> pa.Table:
     keys, at = np.unique(np.concatenate([k for k, _ in every]), return_inverse=True)
     counts = np.bincount(at, weights=np.concatenate([n for _, n in every]), minlength=len(keys)).astype(np.int64)
     part = _part_of_keys(keys, parts)
-    rows = [(block, GRAM, int(p), keys[m].tobytes(), counts[m].tobytes()) for p in np.unique(part) for m in [part == p]]
+    rows = [(block, GRAM, int(p), _sent_keys(keys[m]), shrunk(counts[m].tobytes())) for p in np.unique(part) for m in [part == p]]
     low = keys & ((1 << (2 * BITS)) - 1)
     pair, at = np.unique(low, return_inverse=True)
     rows.append((block, PAIR, 0, pair.tobytes(), np.bincount(at, weights=counts, minlength=len(pair)).astype(np.int64).tobytes()))
@@ -116,7 +123,7 @@ def _ask(group: pa.Table, parts: int) -> pa.Table:
     lists: list[list[bytes]] = [[] for _ in range(parts)]
     for w in sorted(words.keys() | others):
         lists[_part_of_word(w, parts)].append(w)
-    rows += [(block, WORD, p, b" ".join(ws), np.array([words[w] for w in ws], np.int64).tobytes()) for p, ws in enumerate(lists) if ws]
+    rows += [(block, WORD, p, shrunk(b" ".join(ws)), shrunk(np.array([words[w] for w in ws], np.int64).tobytes())) for p, ws in enumerate(lists) if ws]
     return _messages(rows)
 
 
@@ -172,32 +179,31 @@ def _answer(group: pa.Table, pairs: Pairs) -> pa.Table:
     """Values of the keys, or counts of the words, of one part, for each block in the order it asked."""
     kind, part = group["kind"][0].as_py(), group["part"][0].as_py()
     blocks = group["block"].to_pylist()
-    asked, counts = group["keys"].to_pylist(), [np.frombuffer(c, np.int64) for c in group["counts"].to_pylist()]
+    asked, counts = group["keys"].to_pylist(), [np.frombuffer(grown(c), np.int64) for c in group["counts"].to_pylist()]
     if kind == GRAM:
-        sent = [np.frombuffer(a, np.int64) for a in asked]
+        sent = [_read_keys(a) for a in asked]
         keys, at = np.unique(np.concatenate(sent), return_inverse=True)
         value = string_values(keys, np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64), pairs)
         cuts = np.cumsum([len(s) for s in sent])[:-1]
-        return _messages([(b, GRAM_VALUE, part, b"", value[i].tobytes()) for b, i in zip(blocks, np.split(at, cuts), strict=True)])
+        return _messages([(b, GRAM_VALUE, part, b"", value[i].astype(np.float32).tobytes()) for b, i in zip(blocks, np.split(at, cuts), strict=True)])
     number: dict[bytes, int] = {}
     spots = []
     for a in asked:
-        spots.append(np.array([number.setdefault(w, len(number)) for w in a.split(b" ")], np.int64))
+        spots.append(np.array([number.setdefault(w, len(number)) for w in grown(a).split(b" ")], np.int64))
     total = np.zeros(len(number), np.int64)
     for i, c in zip(spots, counts, strict=True):
         total[i] += c
     known = np.array([(total > 0).sum()], np.int64).tobytes()  # the part's share of V, once
-    return _messages([(b, WORD_COUNT, part, known if k == 0 else b"", total[i].tobytes()) for k, (b, i) in enumerate(zip(blocks, spots, strict=True))])
+    return _messages([(b, WORD_COUNT, part, known if k == 0 else b"", shrunk(total[i].tobytes())) for k, (b, i) in enumerate(zip(blocks, spots, strict=True))])
 
 
 def _score(docs: pa.Table, told: pa.Table, end_count: int, types: list) -> pa.Table:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]
-    if not docs.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
+    docs = unpacked(docs["data"][0].as_py())
     sent: dict[tuple[int, int], tuple[bytes, bytes]] = {
         (k, p): (a, c) for k, p, a, c in zip(*(told[n].to_pylist() for n in ("kind", "part", "keys", "counts")), strict=True)
     }
-    grams = [(np.frombuffer(a, np.int64), np.frombuffer(sent[GRAM_VALUE, p][1], np.float64)) for (k, p), (a, _) in sent.items() if k == GRAM]
+    grams = [(_read_keys(a), np.frombuffer(sent[GRAM_VALUE, p][1], np.float32)) for (k, p), (a, _) in sent.items() if k == GRAM]
     keys, values = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
@@ -205,7 +211,7 @@ def _score(docs: pa.Table, told: pa.Table, end_count: int, types: list) -> pa.Ta
     fresh: set[bytes] = set()
     for (k, p), (a, _) in sent.items():
         if k == WORD:
-            words, c = a.split(b" "), np.frombuffer(sent[WORD_COUNT, p][1], np.int64)
+            words, c = grown(a).split(b" "), np.frombuffer(grown(sent[WORD_COUNT, p][1]), np.int64)
             value.update(zip(words, np.log10(c + 1.0).tolist(), strict=True))
             fresh.update(w for w, n in zip(words, c.tolist(), strict=True) if not n)
     raw = _raw(texts_of(docs["text"]))
@@ -213,7 +219,7 @@ def _score(docs: pa.Table, told: pa.Table, end_count: int, types: list) -> pa.Ta
     logs, tokens, known = [], [], []
     for lo, hi in _chunks(raw):
         asked, begin = context_keys(raw[lo:hi])
-        score[lo:hi] = np.add.reduceat(values[np.searchsorted(keys, asked)], begin)
+        score[lo:hi] = np.add.reduceat(values[np.searchsorted(keys, asked)], begin, dtype=np.float64)
         for text in raw[lo:hi]:
             words = text.lower().split()
             logs.append(math.fsum(map(value.__getitem__, words)) + math.log10(end_count + 1))
@@ -225,14 +231,18 @@ def _score(docs: pa.Table, told: pa.Table, end_count: int, types: list) -> pa.Ta
 
 def score_documents(docs: DataFrame, trains: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``trains`` (of doc_id) marks what is learnt from."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
     from pyspark.sql.pandas.types import to_arrow_type
 
     key = docs.schema["doc_id"].dataType
-    blocks, parts = with_blocks(docs, block_bytes)
-    blocks, parts = blocks.withColumn("trains", trains), max(12, parts)
-    asked = cut(blocks.groupBy("block").applyInArrow(lambda g: _ask(g, parts), _MESSAGE))
+    blocks = packed_blocks(docs.select("doc_id", "text", trains.alias("trains")), ["doc_id", "text", "trains"], block_bytes)
+    parts = max(12, blocks.count())
+
+    def ask(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _ask(block, unpacked(data.as_py()), parts).to_batches()
+
+    asked = cut(blocks.mapInArrow(ask, _MESSAGE))
     pair_rows = asked.where(F.col("kind") == PAIR).select("keys", "counts")
     # at most 258 * 257 pairs come back, added up on the way
     pair_sums = pair_rows.mapInArrow(_unpack_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()

@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, texts_of, with_blocks
+from .common import BLOCK_BYTES, cut, grown, packed_blocks, shrunk, texts_of, unpacked
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 24 << 20
 _CHUNK = 1 << 20
-_MESSAGE = "block int, kind int, part int, keys binary, extra binary, sizes binary"
+_MESSAGE = "block long, kind int, part int, keys binary, extra binary, sizes binary"
 MINIMA, SHARED, STRETCH, OLDEST = range(4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -99,7 +98,7 @@ def _raw(column) -> list[bytes]:
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
-    kinds = {"block": pa.int32(), "kind": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "extra": pa.binary(), "sizes": pa.binary()}
+    kinds = {"block": pa.int64(), "kind": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "extra": pa.binary(), "sizes": pa.binary()}
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds.items())})
 
 
@@ -118,9 +117,9 @@ def _ids(column) -> np.ndarray:
     return np.array([_NONE if v is None else v for v in column.to_pylist()], np.int64)
 
 
-def _minima(group: pa.Table, parts: int) -> pa.Table:
+def _minima(block: int, group: pa.Table, parts: int) -> pa.Table:
     """Distinct minima of a block; ``extra`` tells which of them several ids of the block share."""
-    block, ids = group["block"][0].as_py(), _ids(group["doc_id"])
+    ids = _ids(group["doc_id"])
     seen, low, high = [], [], []
     for at, _, text, _, _, least in _runs_of(_raw(group["text"])):
         order = np.argsort(least, kind="stable")
@@ -172,19 +171,18 @@ def _marked_runs(raw: list[bytes], known: np.ndarray):
 
 
 def _pack(strings: list[bytes]) -> tuple[bytes, bytes]:
-    return b"".join(strings), np.array([len(s) for s in strings], np.int32).tobytes()
+    return shrunk(b"".join(strings)), shrunk(np.array([len(s) for s in strings], np.int32).tobytes())
 
 
 def _unpack(joined: bytes, sizes: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int64).tolist()
+    joined, ends = grown(joined), np.cumsum(np.frombuffer(grown(sizes), np.int32), dtype=np.int64).tolist()
     return [joined[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
 
 def _stretch(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     """Distinct stretches of a block with a shared minimum, and the smallest id each occurs under (in ``extra``)."""
-    if not docs.num_rows:
-        return _messages([])
-    block, ids = docs["block"][0].as_py(), _ids(docs["doc_id"]).tolist()
+    block, docs = docs["block"][0].as_py(), unpacked(docs["data"][0].as_py())
+    ids = _ids(docs["doc_id"]).tolist()
     oldest: dict[bytes, int] = {}
     minimum: dict[bytes, int] = {}
     for t, _, run, m in _marked_runs(_raw(docs["text"]), _known(told, SHARED)):
@@ -197,7 +195,7 @@ def _stretch(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     for p, i in _split(_part_of(np.array([minimum[r] for r in runs], np.uint64), parts), parts):
         own = [runs[k] for k in i.tolist()]
         joined, sizes = _pack(own)
-        rows.append((block, STRETCH, p, joined, np.array([oldest[r] for r in own], np.int64).tobytes(), sizes))
+        rows.append((block, STRETCH, p, joined, shrunk(np.array([oldest[r] for r in own], np.int64).tobytes()), sizes))
     return _messages(rows)
 
 
@@ -313,7 +311,7 @@ def _oldest(group: pa.Table) -> pa.Table:
     asked = []
     for keys, extra, sizes in zip(group["keys"].to_pylist(), group["extra"].to_pylist(), group["sizes"].to_pylist(), strict=True):
         own = []
-        for run, old in zip(_unpack(keys, sizes), np.frombuffer(extra, np.int64).tolist(), strict=True):
+        for run, old in zip(_unpack(keys, sizes), np.frombuffer(grown(extra), np.int64).tolist(), strict=True):
             k = number.setdefault(run, len(number))
             if k == len(first):
                 first.append(old)
@@ -337,8 +335,7 @@ def _oldest(group: pa.Table) -> pa.Table:
 def _removed(docs: pa.Table, told: pa.Table, key_type) -> pa.Table:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     types = [key_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    if not docs.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
+    docs = unpacked(docs["data"][0].as_py())
     raw, ids = _raw(docs["text"]), _ids(docs["doc_id"]).tolist()
     sent = {(k, p): (a, e, s) for k, p, a, e, s in zip(*(told[n].to_pylist() for n in ("kind", "part", "keys", "extra", "sizes")), strict=True)}
     oldest: dict[bytes, bytes] = {}
@@ -377,14 +374,18 @@ def _digested(batches):
 
 def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes (``kept``) or their digest (``kept_sha256``)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
     from pyspark.sql.pandas.types import to_arrow_type
 
     key = docs.schema["doc_id"].dataType
-    blocks, n = with_blocks(docs, block_bytes)
-    parts = max(12, n)
-    asked = blocks.groupBy("block").applyInArrow(lambda g: _minima(g, parts), _MESSAGE)
+    blocks = packed_blocks(docs, ["doc_id", "text"], block_bytes)
+    parts = max(12, blocks.count())
+
+    def minima(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _minima(block, unpacked(data.as_py()), parts).to_batches()
+
+    asked = blocks.mapInArrow(minima, _MESSAGE)
     shared = cut(asked.groupBy("part").applyInArrow(_shared, _MESSAGE))
     runs = cut(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda d, m: _stretch(d, m, parts), _MESSAGE))
     told = cut(runs.groupBy("part").applyInArrow(_oldest, _MESSAGE))
@@ -397,10 +398,6 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_bytes:
 
     def last(d: pa.Table, m: pa.Table) -> pa.Table:
         found = _removed(d, m, kind)
-        return pa.Table.from_batches(finish(found.to_batches()) if finish and found.num_rows else found.to_batches()) if found.num_rows else _empty(found, finish)
+        return pa.Table.from_batches(finish(found.to_batches())) if finish else found
 
     return blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(last, schema)
-
-
-def _empty(found: pa.Table, finish) -> pa.Table:
-    return found if finish is None else found.drop_columns("kept").append_column("kept_sha256", pa.array([], pa.string()))
