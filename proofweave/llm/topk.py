@@ -111,7 +111,7 @@ class ImpactIndex:
             if len(sure) < k:
                 continue
             members = np.flatnonzero((most >= sure[-k]) & allowed)
-            if len(members) * len(query) <= total - posted:  # fewer components to rescore than postings left
+            if len(members) * np.count_nonzero(query) <= total - posted:  # fewer components to rescore than postings left
                 break
         score = self.score(members, query)
         order = np.lexsort((self.ids[members], -score))[:k]

@@ -45,11 +45,12 @@ def test_whole_table(spark):
 
 def test_stops_before_all_postings_on_peaked_rows():
     r = np.random.default_rng(0)
-    rows = np.where(r.random((4000, 32)) < 0.06, r.integers(50, 200, (4000, 32)), 0)
+    rows = r.integers(-20, 20, (4000, 32))
+    rows[:8] = 200 - r.integers(0, 9, (8, 32))  # a few rows that stand out
     index = topk.ImpactIndex(np.arange(4000), rows)
-    at, score, posted = index.best(rows[9], 9, 5)
-    full = rows @ rows[9]
-    full[9] = -1
+    at, score, posted = index.best(rows[3], 3, 5)
+    full = rows @ rows[3]
+    full[3] = -1
     want = np.lexsort((np.arange(4000), -full))[:5]
     assert at.tolist() == want.tolist() and score.tolist() == full[want].tolist()
-    assert posted < np.count_nonzero(rows[:, rows[9] > 0])
+    assert posted < rows.size // 10
