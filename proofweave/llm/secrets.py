@@ -8,8 +8,8 @@ comes from the texts of the same findings. Trees are plain arrays, so a scan app
 ``label_by_form`` labels findings where no reviewed ones are at hand: issuer-prefixed keys and long hexadecimal values
 assigned to a secret-like name are secrets, everything else is not.
 
-At most ``sample`` findings (those with the smallest hashes) and as many texts train the forest; every text is scanned as a
-whole. Null and empty texts hold no candidate. A null path is an empty path. With findings of one label only, every
+At most ``sample`` findings (those with the smallest hashes), taken from about ``sample_texts`` documents (an even share of
+all by the hash of the id), train the forest; every text is scanned as a whole. Null and empty texts hold no candidate. A null path is an empty path. With findings of one label only, every
 candidate gets that label; without findings, ``label_by_form`` decides. Repeated rows are scanned as often as they occur.
 Empty table: no rows.
 """
@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fold, texts_of
 
 SAMPLE = 20_000
-SAMPLE_TEXTS = 3_000
+SAMPLE_TEXTS = 20_000
 CONTEXT = 32
 TREES, DEPTH, BINS = 24, 9, 24
-CANDIDATE = re.compile(r"""(?:(?<=[=:])|(?<=[=:]["'])|(?<=[=:] ["']))(?!//)[^\s"'=:,;]{6,}|[A-Za-z0-9+/_\-]{12,}={0,2}""")
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
+ASSIGNED = re.compile(r"""[=:](?: ?["'])?(?!//)([^\s"'=:,;]{6,})""")
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)\W{0,4}$")
 _ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}")
 _LETTERS = re.compile(r"[a-z]{3,}")
@@ -42,7 +43,10 @@ FEATURES = 18 + 2 * HASHED
 
 def candidates(text: str) -> list[tuple[int, str, str, str]]:
     """(start, candidate, text before, text after) of each candidate, left to right."""
-    return [(m.start(), m.group(), text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]) for m in CANDIDATE.finditer(text)]
+    spans = [m.span(1) for m in ASSIGNED.finditer(text)]
+    taken = {p for a, z in spans for p in range(a, z)}
+    spans += [m.span() for m in RUN.finditer(text) if taken.isdisjoint(range(*m.span()))]
+    return [(a, text[a:z], text[max(0, a - CONTEXT) : a], text[z : z + CONTEXT]) for a, z in sorted(spans)]
 
 
 def label_by_form(found: str, before: str) -> int:
@@ -161,17 +165,15 @@ def labelled_findings(docs: DataFrame, path: str | None = "source", sample_texts
     """found, before, after, path, label by ``label_by_form`` for a bounded set of documents outside the held-out fold."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", _paths(docs, path).alias("path")).where(fold(F.col("doc_id"), 3) != 1)
-    # half of the texts at random, half among those in which something is labelled a secret
-    form = F.col("text").rlike(r"AKIA[0-9A-Z]{16}|(?i)(?:pass(?:word|wd)?|pwd|secret|token|key|credential|auth)\s{0,2}[=:]")
-    order = F.xxhash64("doc_id", "path")
-    picked = [rows.where(c).select(order.alias("k"), "text", "path").orderBy("k", "text").limit(sample_texts // 2) for c in (form, ~form)]
+    share = max(1, docs.count() // sample_texts)
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("findings")), F.lit(share)) == 0)
 
     def run(batches):
         for batch in batches:
             out = [(f, b, a, p or "", label_by_form(f, b)) for t, p in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True) for _, f, b, a in candidates(t)]
             yield pa.RecordBatch.from_pydict({n: pa.array([o[k] for o in out], pa.int32() if n == "label" else pa.string()) for k, n in enumerate(("found", "before", "after", "path", "label"))})
 
-    return picked[0].union(picked[1]).select("text", "path").mapInArrow(run, "found string, before string, after string, path string, label int")
+    return picked.select("text", "path").mapInArrow(run, "found string, before string, after string, path string, label int")
 
 
 def train(findings: DataFrame, sample: int = SAMPLE) -> Forest:

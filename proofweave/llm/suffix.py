@@ -4,14 +4,17 @@ A byte goes when it lies in a string of ``LENGTH`` bytes that also starts in a d
 looked up on the input; matches never cross documents.
 
 1. Every window of LENGTH bytes has a smallest gram hash (its minimum over the grams inside). Windows with equal bytes have
-   equal minima, so only stretches of windows whose minimum occurs in several documents can matter. Documents are dealt
-   into blocks; a block sends its distinct minima to parts by range, a part answers which of them occur elsewhere.
-2. A block sends each distinct stretch with a shared minimum, as bytes, with the smallest id it occurs under.
+   equal minima, so only stretches of windows whose minimum occurs in several documents can matter. A block of documents
+   sends its distinct minima to parts by range, a part answers with a bit for each that occurs elsewhere.
+2. A block sends each distinct stretch with a shared minimum, as bytes, with the smallest id it occurs under, and notes where
+   its stretches stand.
 3. A part lays its distinct stretches end to end and builds their suffix array in two stages: only suffixes that are smaller
    than their successors are sorted directly, all others are induced by scanning the buckets of first bytes from left to
    right. Common prefixes of neighbours give the classes of equal windows, and each class its smallest id.
 4. The smallest ids go back to the blocks that asked, which cut the bytes out of their documents.
 
+Minima are cut to HASH_BITS bits, which only lets a few more stretches through to the exact comparison.
+
 Stretches meet after equal ones were made one, per block and per part, so a passage that a third of all documents share is
 one row per block. Blocks and parts grow with the text, so a task's memory does not.
 
@@ -34,7 +37,8 @@ LENGTH = 50
 GRAM = 16
 _CHUNK = 1 << 20
 _MESSAGE = "block long, kind int, part int, keys binary, extra binary, sizes binary"
-MINIMA, SHARED, STRETCH, OLDEST = range(4)
+MINIMA, SHARED, STRETCH, OLDEST, PLACES = range(5)
+HASH_BITS = 44
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.iinfo(np.int64).max
@@ -90,7 +94,7 @@ def _runs_of(raw: list[bytes]):
         # a run also ends where its text has no more windows
         ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
         stop = np.union1d(stop, ends)
-        yield at, data, place[first], first, stop, least[first]
+        yield at, data, place[first], first, stop, least[first] >> np.uint64(64 - HASH_BITS)
 
 
 def _raw(column) -> list[bytes]:
@@ -102,15 +106,20 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds.items())})
 
 
-def _part_of(minima: np.ndarray, parts: int) -> np.ndarray:
-    return ((minima * _MIX >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+def _bounds(values: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins in sorted minima; parts are equal ranges of hashes."""
+    return np.searchsorted((values * np.uint64(parts)) >> np.uint64(HASH_BITS), np.arange(parts + 1))
+
 
+def _settle() -> None:
+    """Gives freed memory back between blocks; a worker otherwise keeps the peak of every step it ran."""
+    import ctypes
 
-def _split(part: np.ndarray, parts: int):
-    """(part, indices) of each part that occurs."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return [(p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def _ids(column) -> np.ndarray:
@@ -134,31 +143,38 @@ def _minima(block: int, group: pa.Table, parts: int) -> pa.Table:
     value, low, high = value[order], low[order], high[order]
     start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     value, several = value[start], np.minimum.reduceat(low, start) != np.maximum.reduceat(high, start)
-    return _messages([(block, MINIMA, p, value[i].tobytes(), np.packbits(several[i]).tobytes(), None) for p, i in _split(_part_of(value, parts), parts)])
+    cuts = _bounds(value, parts)
+    rows = [(block, MINIMA, p, shrunk(np.diff(value[a:z], prepend=np.uint64(0)).tobytes()), np.packbits(several[a:z]).tobytes(), None) for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
+    return _messages(rows)
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Which minima of each block occur under several ids of that block or in several blocks."""
+    """A bit for each minimum of each block: it occurs under several ids of that block, or in several blocks."""
     part = group["part"][0].as_py()
-    sent = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
+    sent = [np.cumsum(np.frombuffer(grown(k), np.uint64), dtype=np.uint64) for k in group["keys"].to_pylist()]
     several = [np.unpackbits(np.frombuffer(e, np.uint8), count=len(s)).astype(bool) for e, s in zip(group["extra"].to_pylist(), sent, strict=True)]
-    value, at, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+    _, at, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
     shared = count > 1
     shared[at[np.concatenate(several)]] = True
     cuts = np.cumsum([len(s) for s in sent])[:-1]
-    return _messages([(b, SHARED, part, s[m].tobytes(), None, None) for b, s, m in zip(group["block"].to_pylist(), sent, np.split(shared[at], cuts), strict=True) if m.any()])
+    rows = [(b, SHARED, part, None, np.packbits(m).tobytes(), None) for b, m in zip(group["block"].to_pylist(), np.split(shared[at], cuts), strict=True) if m.any()]
+    _settle()
+    return _messages(rows)
 
 
-def _known(told: pa.Table, kind: int) -> np.ndarray:
-    own = [np.frombuffer(k, np.uint64) for k, t in zip(told["keys"].to_pylist(), told["kind"].to_pylist(), strict=True) if t == kind]
-    return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+def _known(values: np.ndarray, told: pa.Table, parts: int) -> np.ndarray:
+    """The block's (sorted, distinct) minima that its answers mark as shared."""
+    cuts, keep = _bounds(values, parts), np.zeros(len(values), bool)
+    for p, bits in zip(told["part"].to_pylist(), told["extra"].to_pylist(), strict=True):
+        keep[cuts[p] : cuts[p + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cuts[p + 1] - cuts[p]))
+    return values[keep]
 
 
-def _marked_runs(raw: list[bytes], known: np.ndarray):
-    """(text index, offset in the text, bytes, minimum) of each run with a known minimum."""
-    for at, data, text, first, stop, least in _runs_of(raw):
-        if not len(known) or not len(least):
-            continue
+def _marked_runs(raw: list[bytes], told: pa.Table, parts: int):
+    """(text index, offset in the text, bytes, minimum) of each run with a shared minimum."""
+    runs = list(_runs_of(raw))
+    known = _known(np.unique(np.concatenate([r[5] for r in runs])), told, parts) if runs else ()
+    for at, data, text, first, stop, least in runs if len(known) else ():
         slot = np.minimum(np.searchsorted(known, least), len(known) - 1)
         hit = np.flatnonzero(known[slot] == least)
         if not len(hit):
@@ -180,22 +196,35 @@ def _unpack(joined: bytes, sizes: bytes) -> list[bytes]:
 
 
 def _stretch(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
-    """Distinct stretches of a block with a shared minimum, and the smallest id each occurs under (in ``extra``)."""
+    """Distinct stretches of a block with a shared minimum and the smallest id each occurs under (``extra``), and their places."""
     block, docs = docs["block"][0].as_py(), unpacked(docs["data"][0].as_py())
     ids = _ids(docs["doc_id"]).tolist()
-    oldest: dict[bytes, int] = {}
-    minimum: dict[bytes, int] = {}
-    for t, _, run, m in _marked_runs(_raw(docs["text"]), _known(told, SHARED)):
-        if run not in oldest:
-            oldest[run], minimum[run] = ids[t], m
-        elif ids[t] < oldest[run]:
-            oldest[run] = ids[t]
-    runs = list(oldest)
-    rows = []
-    for p, i in _split(_part_of(np.array([minimum[r] for r in runs], np.uint64), parts), parts):
-        own = [runs[k] for k in i.tolist()]
-        joined, sizes = _pack(own)
-        rows.append((block, STRETCH, p, joined, shrunk(np.array([oldest[r] for r in own], np.int64).tobytes()), sizes))
+    number: dict[bytes, int] = {}
+    oldest: list[int] = []
+    minimum: list[int] = []
+    places: list[tuple[int, int, int]] = []
+    for t, begin, run, m in _marked_runs(_raw(docs["text"]), told, parts):
+        k = number.setdefault(run, len(number))
+        if k == len(oldest):
+            oldest.append(ids[t])
+            minimum.append(m)
+        elif ids[t] < oldest[k]:
+            oldest[k] = ids[t]
+        places.append((t, begin, k))
+    if not number:
+        return _messages([])
+    runs, old, least = list(number), np.array(oldest, np.int64), np.array(minimum, np.uint64)
+    order = np.argsort(least, kind="stable")
+    cuts, rows = _bounds(least[order], parts), []
+    for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if z > a:
+            joined, sizes = _pack([runs[k] for k in order[a:z].tolist()])
+            rows.append((block, STRETCH, p, joined, shrunk(old[order[a:z]].tobytes()), sizes))
+    rank = np.empty(len(order), np.int64)  # a stretch's place among all answers of the block, parts in order
+    rank[order] = np.arange(len(order))
+    spot = np.array(places, np.int64).T
+    rows.append((block, PLACES, -1, shrunk(np.diff(spot[0], prepend=0).astype(np.int32).tobytes()), shrunk(spot[1].astype(np.int32).tobytes()), shrunk(rank[spot[2]].astype(np.int32).tobytes())))
+    _settle()
     return _messages(rows)
 
 
@@ -216,7 +245,7 @@ def _direct_order(words: np.ndarray, places: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         key = words[places[order[open_]] + at]
-        sub = np.lexsort((key, group[open_]))
+        sub = np.lexsort((key, group[open_])) if at else np.argsort(key)
         order[open_], key, own = order[open_][sub], key[sub], group[open_][sub]
         fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))
         group[open_] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]
@@ -224,46 +253,55 @@ def _direct_order(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     return places[order]
 
 
-def suffix_array(text: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _small(text: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than its successor; a run of equal symbols goes by its last member, the end is smallest."""
+    step = np.append(np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16)), -1)
+    last = np.flatnonzero(step)
+    return step[last[np.searchsorted(last, np.arange(len(text)))]] > 0
+
+
+def suffix_array(text: np.ndarray, words: np.ndarray, small: np.ndarray | None = None, keep: np.ndarray | None = None) -> np.ndarray:
     """Suffixes ordered by at least their first LENGTH symbols, in two stages.
 
-    A suffix is small when it is smaller than its successor (first differing symbol; the end is the smallest). Small ones
-    are sorted directly. In one scan of the buckets of first symbols from left to right, each suffix that has its place
-    gives its predecessor, if that is not small, the next free place at the front of the predecessor's bucket.
+    A suffix is small when it is smaller than its successor. Small ones are sorted directly. In one scan of the buckets of
+    first symbols from left to right, each suffix that has its place gives its predecessor, if that is not small, the next
+    free place at the front of the predecessor's bucket. ``keep`` marks the suffixes wanted; the successor of one that is not
+    small must be wanted too.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    # type of a run of equal symbols is that of its last member
-    step = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
-    known = np.append(step, -1)
-    last = np.flatnonzero(known)
-    small = known[last[np.searchsorted(last, np.arange(n))]] > 0
-    begin = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=256))))
-    order = np.full(n, -1, np.int64)
-    direct = _direct_order(words, np.flatnonzero(small))
+    small = _small(text) if small is None else small
+    keep = np.ones(n, bool) if keep is None else keep
+    begin = np.concatenate(([0], np.cumsum(np.bincount(text[keep], minlength=256))))
+    order = np.full(int(begin[-1]), -1, np.int64)
+    direct = _direct_order(words, np.flatnonzero(small & keep))
     first = text[direct]
     ends = begin[1:]
     count = np.bincount(first, minlength=256)
+    at_first = np.concatenate(([0], np.cumsum(count)))
     for c in np.flatnonzero(count):
-        order[ends[c] - count[c] : ends[c]] = direct[np.searchsorted(first, c) : np.searchsorted(first, c, side="right")]
+        order[ends[c] - count[c] : ends[c]] = direct[at_first[c] : at_first[c + 1]]
     free = begin[:-1].copy()
+    induced = keep & ~small
 
     def induce(found: np.ndarray) -> None:
         """Places the predecessors that are not small, stably, at the front of their buckets."""
         before = found[found > 0] - 1
-        before = before[~small[before]]
+        before = before[induced[before]]
         own = text[before]
-        sub = np.argsort(own, kind="stable")
-        before, own = before[sub], own[sub]
-        for c in np.unique(own):
-            a, z = np.searchsorted(own, c), np.searchsorted(own, c, side="right")
+        before = before[np.argsort(own, kind="stable")]
+        a = 0
+        counts = np.bincount(own, minlength=256)
+        for c in np.flatnonzero(counts).tolist():
+            z = a + int(counts[c])
             order[free[c] : free[c] + z - a] = before[a:z]
             free[c] += z - a
+            a = z
 
-    # the last suffix is not small and has no successor: it heads its bucket
-    order[free[text[-1]]] = n - 1
-    free[text[-1]] += 1
+    if keep[-1]:  # the last suffix is not small and has no successor: it heads its bucket
+        order[free[text[-1]]] = n - 1
+        free[text[-1]] += 1
     for c in np.flatnonzero(np.diff(begin)):
         at = begin[c]
         while at < free[c]:  # what is induced into the bucket itself is scanned in turn
@@ -284,23 +322,32 @@ def _prefix_breaks(words: np.ndarray, order: np.ndarray) -> np.ndarray:
     return differs
 
 
-def oldest_windows(strings: list[bytes], oldest: np.ndarray) -> list[np.ndarray]:
-    """For each string the smallest id under which each of its windows occurs in any of the strings."""
+def oldest_windows(strings: list[bytes], oldest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string the smallest id under which each of its windows occurs in any string, as runs.
+
+    Returns rows (windows, id) and where the rows of each string begin. Strings have at least LENGTH bytes.
+    """
     sizes = np.array([len(s) for s in strings], np.int64)
     text = np.frombuffer(b"".join(strings), np.uint8)
-    words = _words(text)
-    order = suffix_array(text, words)
-    owner = np.repeat(np.arange(len(strings)), sizes)
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
     ends = np.cumsum(sizes)
-    whole = order + LENGTH <= ends[owner[order]]
-    order = order[whole]
-    if not len(order):
-        return [np.zeros(0, np.int64) for _ in strings]
+    window = np.arange(len(text)) + LENGTH <= ends[owner]
+    # wanted: the windows, and what follows each string's last one up to the next small suffix
+    small = _small(text)
+    spots = np.append(np.flatnonzero(small), len(text))
+    limit = spots[np.searchsorted(spots, ends - LENGTH)]
+    keep = window | (np.arange(len(text)) <= limit[owner])
+    words = _words(text)
+    order = suffix_array(text, words, small, keep)
+    order = order[window[order]]
     group = np.flatnonzero(_prefix_breaks(words, order))
-    least = np.minimum.reduceat(oldest[owner[order]], group)
-    result = np.full(len(text), _NONE, np.int64)
-    result[order] = np.repeat(least, np.diff(np.append(group, len(order))))
-    return [r[: len(r) - LENGTH + 1] for r in np.split(result, ends[:-1])]
+    result = np.empty(len(text), np.int64)
+    result[order] = np.repeat(np.minimum.reduceat(oldest[owner[order]], group), np.diff(np.append(group, len(order))))
+    at = np.flatnonzero(window)
+    value, of = result[at], owner[at]
+    first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (of[1:] != of[:-1]))))
+    rows = np.column_stack((np.diff(np.append(first, len(at))), value[first]))
+    return rows, np.searchsorted(of[first], np.arange(len(strings) + 1))
 
 
 def _oldest(group: pa.Table) -> pa.Table:
@@ -319,16 +366,14 @@ def _oldest(group: pa.Table) -> pa.Table:
                 first[k] = old
             own.append(k)
         asked.append(own)
-    found = oldest_windows(list(number), np.array(first, np.int64))
-    # most windows of a stretch share one smallest id: sent as runs (length, id)
-    short = []
-    for values in found:
-        at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        short.append(np.column_stack((np.diff(np.append(at, len(values))), values[at])).astype(np.int64).tobytes())
+    found, at = oldest_windows(list(number), np.array(first, np.int64))
+    del number
+    raw, at = found.astype(np.int64).tobytes(), (16 * at).tolist()
     rows = []
     for b, own in zip(group["block"].to_pylist(), asked, strict=True):
-        joined, sizes = _pack([short[k] for k in own])
+        joined, sizes = _pack([raw[at[k] : at[k + 1]] for k in own])
         rows.append((b, OLDEST, part, None, joined, sizes))
+    _settle()
     return _messages(rows)
 
 
@@ -337,17 +382,19 @@ def _removed(docs: pa.Table, told: pa.Table, key_type) -> pa.Table:
     types = [key_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     docs = unpacked(docs["data"][0].as_py())
     raw, ids = _raw(docs["text"]), _ids(docs["doc_id"]).tolist()
-    sent = {(k, p): (a, e, s) for k, p, a, e, s in zip(*(told[n].to_pylist() for n in ("kind", "part", "keys", "extra", "sizes")), strict=True)}
-    oldest: dict[bytes, bytes] = {}
-    for (k, p), (a, _, s) in sent.items():
-        if k == STRETCH:
-            _, e, z = sent[OLDEST, p]
-            oldest.update(zip(_unpack(a, s), _unpack(e, z), strict=True))
+    answers: dict[int, list[bytes]] = {}
+    places: list[np.ndarray] = []
+    for kind, part, keys, extra, sizes in zip(*(told[n].to_pylist() for n in ("kind", "part", "keys", "extra", "sizes")), strict=True):
+        if kind == PLACES:
+            places = [np.frombuffer(grown(x), np.int32) for x in (keys, extra, sizes)]
+        else:
+            answers[part] = _unpack(extra, sizes)
+    oldest = [x for p in sorted(answers) for x in answers[p]]
     spans: dict[int, list[tuple[int, int]]] = {}
-    for t, begin, run, _ in _marked_runs(raw, _known(told, SHARED)):
+    for t, begin, k in zip(np.cumsum(places[0], dtype=np.int64).tolist(), places[1].tolist(), places[2].tolist(), strict=True) if places else ():
         if ids[t] == _NONE:
             continue
-        for n, old in np.frombuffer(oldest[run], np.int64).reshape(-1, 2).tolist():
+        for n, old in np.frombuffer(oldest[k], np.int64).reshape(-1, 2).tolist():
             if old < ids[t]:
                 spans.setdefault(t, []).append((begin, begin + n + LENGTH - 1))
             begin += n
@@ -363,6 +410,7 @@ def _removed(docs: pa.Table, told: pa.Table, key_type) -> pa.Table:
         edges = [0, *(x for m in merged for x in m), len(raw[t])]
         kept[t] = b"".join(raw[t][a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
     columns = [docs["doc_id"].combine_chunks(), [len(r) for r in raw], removed, count, kept]
+    _settle()
     return pa.table({n: pa.array(c, t) if isinstance(c, list) else c for n, c, t in zip(names, columns, types, strict=True)})
 
 
@@ -378,7 +426,7 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_bytes:
 
     key = docs.schema["doc_id"].dataType
     blocks = packed_blocks(docs, ["doc_id", "text"], block_bytes)
-    parts = max(12, blocks.count())
+    parts = 2 * max(8, blocks.count())
 
     def minima(batches):
         for batch in batches:
@@ -388,8 +436,8 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_bytes:
     asked = blocks.mapInArrow(minima, _MESSAGE)
     shared = cut(asked.groupBy("part").applyInArrow(_shared, _MESSAGE))
     runs = cut(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda d, m: _stretch(d, m, parts), _MESSAGE))
-    told = cut(runs.groupBy("part").applyInArrow(_oldest, _MESSAGE))
-    messages = shared.union(runs.withColumn("extra", F.lit(None).cast("binary"))).union(told)
+    told = runs.where(F.col("kind") == STRETCH).groupBy("part").applyInArrow(_oldest, _MESSAGE)
+    messages = runs.where(F.col("kind") == PLACES).union(told)
     kind = to_arrow_type(key)
     if with_bytes:
         schema, finish = f"doc_id {key.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary", None

@@ -60,3 +60,19 @@ def test_suffix_array_orders_all_suffixes():
             assert sorted(order.tolist()) == list(range(n))
             cut = [raw[k : k + 50] for k in order]
             assert cut == sorted(cut)
+
+
+def test_oldest_windows_against_a_dictionary():
+    r = np.random.default_rng(6)
+    for kinds in (2, 3, 30):
+        base = r.integers(97, 97 + kinds, 300).astype(np.uint8).tobytes()
+        strings = list({base[a : a + 50 + r.integers(0, 40)] for a in r.integers(0, 210, 40).tolist()} | {b"z" * n for n in (50, 51, 90)})
+        oldest = r.integers(0, 1000, len(strings))
+        first = {}
+        for s, old in zip(strings, oldest.tolist(), strict=True):
+            for k in range(len(s) - 49):
+                first[s[k : k + 50]] = min(old, first.get(s[k : k + 50], old))
+        rows, at = suffix.oldest_windows(strings, oldest)
+        for k, s in enumerate(strings):
+            got = np.repeat(rows[at[k] : at[k + 1], 1], rows[at[k] : at[k + 1], 0]).tolist()
+            assert got == [first[s[i : i + 50]] for i in range(len(s) - 49)]
