@@ -191,11 +191,11 @@ def with_scores(docs: DataFrame, model: Attention, column: str) -> DataFrame:
     """``docs`` with all its columns and the score (0 to 1, higher: label 1 likelier) as ``column``."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    from pyspark.sql.types import DoubleType, StructType
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType(docs.schema.fields).add(column, DoubleType()) if column not in docs.columns else None
-    if schema is None:
+    if column in docs.columns:
         raise ValueError(f"column {column} exists")
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 
     def run(batches):
         for batch in batches:

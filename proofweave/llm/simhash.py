@@ -174,14 +174,14 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, t
     """The rows of ``docs`` (all columns) with the smallest doc_id of their near-duplicate group, one row of each group."""
     bounded_batches(docs.sparkSession)
     at, names = docs.columns.index("text"), list(docs.columns)
-    from pyspark.sql.types import LongType, StructType
+    from pyspark.sql.types import LongType, StructField, StructType
 
     def run(batches):
         for batch in batches:
             prints = pa.array([fingerprint(t, shingle) for t in texts_of(batch.column(at))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*names, "simhash_fp"])
 
-    marked = cut(docs.mapInArrow(run, StructType(docs.schema.fields).add("simhash_fp", LongType())))
+    marked = cut(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("simhash_fp", LongType())])))
     prints = marked.select("doc_id", F.col("simhash_fp").alias("fp"))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(distinct, radius, tile_rows))
