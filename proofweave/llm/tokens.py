@@ -1,8 +1,9 @@
 """Token ids of whole texts, word by word.
 
-Both vocabularies used here split a text into words before any merge, and a single space before a visible character is
-always such a split. A text is therefore cut at these spaces, the library encodes each distinct piece once per worker, and
-the ids of a text are the pieces' ids joined. The result equals one library call on the whole text.
+Both vocabularies used here split a text into words before any merge. A single space before a visible character is always
+such a split, and so is a line break between visible characters, and the end of letters before closing punctuation. Texts
+are cut there, the library encodes each distinct piece once per worker, and the ids of a text are its pieces' ids joined.
+The result equals one library call on the whole text.
 """
 
 from __future__ import annotations
@@ -10,9 +11,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BREAK = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
+_ODD_LINE = re.compile(r"(?:\A|\s)\n|\n(?:\s|\Z)")
+# a space or line break with white space (any that either library counts) or an end of the text beside it
+_BLANK = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD_TEXT = rf" (?:[{_BLANK}]|\z)|(?:\A|[{_BLANK}])\n|\n(?:[{_BLANK}]|\z)"
+_CLOSING = ".,;:!?*#$%&|)"
 _GROUP = 64  # distinct pieces that one library call encodes together
 
 
@@ -24,8 +32,9 @@ def pieces(text: str) -> list[str]:
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, with a bounded memo of pieces.
 
-    ``spaced``: the vocabulary keeps the space in front of a word (byte-level merges) instead of dropping white space.
-    The memo has two generations of at most ``memo`` pieces each; it only saves time.
+    ``spaced``: the vocabulary keeps the space in front of a word (byte-level merges) instead of dropping white space; pieces
+    behind a space and pieces without one then have memos of their own. A memo has two generations of at most ``memo``
+    pieces each; it only saves time.
     """
 
     def __init__(self, path: str, spaced: bool, memo: int = 300_000):
@@ -36,62 +45,145 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.spaced, self.memo = Tokenizer.from_file(path), spaced, memo
-        self.first: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # pieces as they stand
+        self.after: dict[str, bytes] = {}  # pieces behind a space
+        self.old: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
         size = self.library.get_vocab_size(with_added_tokens=True)
         names = [self.library.id_to_token(i) or "" for i in range(size)]
-        self.edge = np.array([n.startswith("Ġ") if spaced else n.endswith("</w>") for n in names])
+        self.opens = np.array([n.startswith("Ġ") for n in names])
+        self.ends = np.array([n.endswith("</w>") for n in names])
+        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _simple(self, piece: str) -> bool:
-        return bool(piece) and (piece.split() == [piece] if self.spaced else piece.isalpha())
-
-    def _learn(self, wanted: set[str], into: dict[str, bytes]) -> None:
-        lead = " " if self.spaced else ""
-        simple = [p for p in wanted if self._simple(p)]
-        rest = [p for p in wanted if not self._simple(p)]
-        groups = [simple[i : i + _GROUP] for i in range(0, len(simple), _GROUP)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            edge = np.flatnonzero(self.edge[ids])
-            if len(edge) != len(group):
-                rest += group
-                continue
-            cuts = [*edge, len(ids)] if self.spaced else [0, *(edge + 1)]
-            if cuts[0] != 0 or cuts[-1] != len(ids):
+    def _cuts(self, ids: np.ndarray, behind: bool) -> list[tuple[int, int]]:
+        """Where the pieces of a group lie in its ids."""
+        if not self.spaced:
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            return list(zip([0, *stops[:-1]], stops, strict=True)) if len(stops) and stops[-1] == len(ids) else []
+        if behind:
+            starts = np.flatnonzero(self.opens[ids])
+            return list(zip(starts, [*starts[1:], len(ids)], strict=True)) if len(starts) and starts[0] == 0 else []
+        lines = np.flatnonzero(ids == self.line[0])
+        return list(zip([0, *(lines + 1)], [*lines, len(ids)], strict=True))
+
+    def _learn(self, wanted: set[str], into: dict[str, bytes], behind: bool) -> None:
+        closed: dict[str, tuple[str, str]] = {}
+        plain: set[str] = set()
+        rest: list[str] = []
+        for p in wanted:
+            if p.isalpha():
+                plain.add(p)
+            elif (base := p.rstrip(_CLOSING)).isalpha() and base[-1].lower()[-1].isalpha():
+                closed[p] = base, p[len(base) :]
+            elif self.spaced and p and p.split() == [p]:
+                plain.add(p)
+            else:
+                rest.append(p)
+        plain |= {b for b, _ in closed.values() if b not in into}
+        order = list(plain)
+        groups = [order[i : i + _GROUP] for i in range(0, len(order), _GROUP)]
+        text = (lambda g: " " + " ".join(g)) if behind or not self.spaced else "\n".join
+        for group, ids in zip(groups, self._ids([text(g) for g in groups]), strict=True):
+            cuts = self._cuts(ids, behind)
+            if len(cuts) != len(group):
                 rest += group
                 continue
             raw = ids.tobytes()
-            for k, piece in enumerate(group):
-                into[piece] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
+            for piece, (a, z) in zip(group, cuts, strict=True):
+                into[piece] = raw[4 * a : 4 * z]
+        lead = " " if behind else ""
         for piece, ids in zip(rest, self._ids([lead + p for p in rest]), strict=True):
             into[piece] = ids.tobytes()
+        tails = list({t for _, t in closed.values() if t not in self.bare})
+        for tail, ids in zip(tails, self._ids(tails), strict=True):
+            self.bare[tail] = ids.tobytes()
+        for p, (base, tail) in closed.items():
+            into[p] = into[base] + self.bare[tail]
+
+    def _provide(self, wanted: set[str], behind: bool) -> dict[str, bytes]:
+        memo = self.after if behind else self.bare
+        if len(memo) > self.memo:
+            self.old[behind], memo = memo, {}
+            if behind:
+                self.after = memo
+            else:
+                self.bare = memo
+        old, missing = self.old[behind], wanted - memo.keys()
+        for piece in [p for p in missing if p in old]:
+            memo[piece] = old[piece]
+            missing.discard(piece)
+        self._learn(missing, memo, behind)
+        return memo
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [pieces(t) for t in texts]
+        """Ids of each text; the common case stays in arrays, only distinct pieces become Python strings."""
+        if not texts:
+            return []
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _ODD_TEXT).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(len(texts), bool)
+        out: list[bytes] = [b""] * len(texts)
+        for k, ids in zip(np.flatnonzero(~odd).tolist(), self._arrays(column.filter(pa.array(~odd))), strict=True):
+            out[k] = ids
+        strange = np.flatnonzero(odd).tolist()
+        for k, ids in zip(strange, self._encode_spaced([texts[k] for k in strange]) if strange else [], strict=True):
+            out[k] = ids
+        return out
+
+    def _arrays(self, column: pa.Array) -> list[bytes]:
+        if not len(column):
+            return []
         if self.spaced:
-            heads = {c[0] for c in cuts} - self.first.keys()
-            if len(self.first) > self.memo:
-                self.first, heads = {}, {c[0] for c in cuts}
-            for piece, ids in zip(heads, self._ids(list(heads)), strict=True):
-                self.first[piece] = ids.tobytes()
-        tails = [c[1:] for c in cuts] if self.spaced else cuts
+            lines = pc.split_pattern(column, "\n")
+            per_text = np.diff(lines.offsets.to_numpy())
+            words = pc.split_pattern(lines.flatten(), " ")
+        else:
+            words = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+            per_text = np.ones(len(column), np.int64)
+        per_line = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        piece, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        begins = np.zeros(len(piece), bool)
+        begins[np.cumsum(per_line) - per_line] = True
+        # numbers of pieces: behind a space, then as they stand, then the line break
+        bare = begins if self.spaced else np.ones(len(piece), bool)
+        piece[bare] += len(names)
+        seen = np.zeros(2 * len(names), bool)
+        seen[piece] = True
+        used, stream = np.flatnonzero(seen), (np.cumsum(seen) - 1)[piece]
+        split = int(np.searchsorted(used, len(names)))
+        behind, plain = [names[i] for i in used[:split].tolist()], [names[i - len(names)] for i in used[split:].tolist()]
+        after = self._provide(set(behind), True) if behind else {}
+        stand = self._provide(set(plain), False)
+        held = [after[p] for p in behind] + [stand[p] for p in plain] + [self.line.tobytes()]
+        pool = np.frombuffer(b"".join(held), np.uint32)
+        size = np.array([len(h) >> 2 for h in held], np.int64)
+        start = np.cumsum(size) - size
+        last = np.cumsum(per_line)  # a line break follows each line but the last of its text
+        inner = np.ones(len(per_line), bool)
+        inner[np.cumsum(per_text) - 1] = False
+        stream = np.insert(stream, last[inner], len(held) - 1)
+        owner = np.repeat(np.arange(len(column)), np.add.reduceat(per_line, np.cumsum(per_text) - per_text) + per_text - 1)
+        n = size[stream]
+        stop = np.cumsum(n)
+        raw = pool[np.repeat(start[stream] - (stop - n), n) + np.arange(int(stop[-1]))].tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, weights=n, minlength=len(column)).astype(np.int64))).tolist()
+        return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+    def _encode_spaced(self, texts: list[str]) -> list[bytes]:
+        lines = [t.split("\n") if "\n" in t and not _ODD_LINE.search(t) else [t] for t in texts]
+        cuts = [[pieces(x) for x in own] for own in lines]
+        heads: set[str] = set()
         wanted: set[str] = set()
-        for c in tails:
-            wanted.update(c)
-        if len(self.young) > self.memo:
-            self.old, self.young = self.young, {}
-        missing = wanted - self.young.keys()
-        for piece in [p for p in missing if p in self.old]:
-            self.young[piece] = self.old[piece]
-            missing.discard(piece)
-        self._learn(missing, self.young)
-        get = self.young.__getitem__
-        if self.spaced:
-            return [b"".join([self.first[c[0]], *map(get, t)]) for c, t in zip(cuts, tails, strict=True)]
-        return [b"".join(map(get, t)) for t in tails]
+        for own in cuts:
+            for c in own:
+                heads.add(c[0])
+                wanted.update(c[1:])
+        after = self._provide(wanted, True).__getitem__
+        bare = self._provide(heads, False)
+        line = self.line.tobytes()
+        return [line.join([b"".join([bare[c[0]], *map(after, c[1:])]) for c in own]) for own in cuts]
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
