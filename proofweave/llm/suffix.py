@@ -36,6 +36,8 @@ from .common import BLOCK_BYTES, cut, grown, packed_blocks, shrunk, texts_of, un
 LENGTH = 50
 GRAM = 16
 _CHUNK = 1 << 20
+SORT_BYTES = 1 << 20
+RUN_WINDOWS = 2 * (LENGTH - GRAM + 1)
 _MESSAGE = "block long, kind int, part int, keys binary, extra binary, sizes binary"
 MINIMA, SHARED, STRETCH, OLDEST, PLACES = range(5)
 HASH_BITS = 44
@@ -94,7 +96,10 @@ def _runs_of(raw: list[bytes]):
         # a run also ends where its text has no more windows
         ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
         stop = np.union1d(stop, ends)
-        yield at, data, place[first], first, stop, least[first] >> np.uint64(64 - HASH_BITS)
+        # only periodic text keeps one minimum for long; cut evenly, its pieces repeat and are made one
+        n = -(-(stop - first) // RUN_WINDOWS)
+        begin = np.repeat(first, n) + RUN_WINDOWS * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        yield at, data, np.repeat(place[first], n), begin, np.minimum(begin + RUN_WINDOWS, np.repeat(stop, n)), np.repeat(least[first] >> np.uint64(64 - HASH_BITS), n)
 
 
 def _raw(column) -> list[bytes]:
@@ -350,6 +355,27 @@ def oldest_windows(strings: list[bytes], oldest: np.ndarray) -> tuple[np.ndarray
     return rows, np.searchsorted(of[first], np.arange(len(strings) + 1))
 
 
+def _first_minima(strings: list[bytes]) -> np.ndarray:
+    """The minimum that all windows of each string share."""
+    out = np.empty(len(strings), np.uint64)
+    for a in range(0, len(strings), 8192):
+        rows = np.frombuffer(b"".join(s[:LENGTH] for s in strings[a : a + 8192]), np.uint8)
+        out[a : a + 8192] = gram_hashes(rows).take(np.arange(len(rows) // LENGTH)[:, None] * LENGTH + np.arange(LENGTH - GRAM + 1)).min(1)
+    return out
+
+
+def _shares(least: np.ndarray, sizes: np.ndarray):
+    """Ranges of strings, sorted by minimum, that are sorted together: about SORT_BYTES each, one minimum never apart."""
+    change = np.append(np.flatnonzero(least[1:] != least[:-1]) + 1, len(least))
+    total = np.cumsum(sizes)
+    a = 0
+    while a < len(least):
+        z = int(np.searchsorted(total, (total[a - 1] if a else 0) + SORT_BYTES)) + 1
+        z = int(change[np.searchsorted(change, min(z, len(least)))])
+        yield a, z
+        a = z
+
+
 def _oldest(group: pa.Table) -> pa.Table:
     """Smallest ids of the windows of every stretch, for each block in the order it asked."""
     part = group["part"][0].as_py()
@@ -366,12 +392,20 @@ def _oldest(group: pa.Table) -> pa.Table:
                 first[k] = old
             own.append(k)
         asked.append(own)
-    found, at = oldest_windows(list(number), np.array(first, np.int64))
+    strings, old = list(number), np.array(first, np.int64)
     del number
-    raw, at = found.astype(np.int64).tobytes(), (16 * at).tolist()
+    least = _first_minima(strings)
+    order = np.argsort(least, kind="stable")
+    answer: list[bytes] = [b""] * len(strings)
+    for a, z in _shares(least[order], np.array([len(strings[k]) for k in order.tolist()])):
+        own = order[a:z].tolist()
+        found, at = oldest_windows([strings[k] for k in own], old[own])
+        raw, at = found.astype(np.int64).tobytes(), (16 * at).tolist()
+        for j, k in enumerate(own):
+            answer[k] = raw[at[j] : at[j + 1]]
     rows = []
     for b, own in zip(group["block"].to_pylist(), asked, strict=True):
-        joined, sizes = _pack([raw[at[k] : at[k + 1]] for k in own])
+        joined, sizes = _pack([answer[k] for k in own])
         rows.append((b, OLDEST, part, None, joined, sizes))
     _settle()
     return _messages(rows)
@@ -426,7 +460,7 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_bytes:
 
     key = docs.schema["doc_id"].dataType
     blocks = packed_blocks(docs, ["doc_id", "text"], block_bytes)
-    parts = 2 * max(8, blocks.count())
+    parts = max(12, blocks.count())
 
     def minima(batches):
         for batch in batches:
