@@ -79,8 +79,8 @@ QUERIES = {
 ORACLES = {
     "op3_impact_topk": """
         WITH w AS (
-          SELECT vec_id, list_transform(embedding, c -> CAST(floor(CAST(c AS DOUBLE) * 256) AS DOUBLE)) AS v FROM embeddings
-          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+          SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS DOUBLE)) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
         s AS (
           SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
           FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
