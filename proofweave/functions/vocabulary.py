@@ -198,6 +198,21 @@ def property_table(spark: SparkSession) -> DataFrame:
         rows, "object_type string, property string, type string, sensitivity string, is_title boolean")
 
 
+def _rank(code: str) -> int:
+    return HANDLING_CODES.index(code) if code in HANDLING_CODES else UNKNOWN_HANDLING_RANK
+
+
+def predicates_above(clearance: int) -> list[str]:
+    """Predicates whose own property, or an identifier property of whose subject types, is too sensitive."""
+    rated = [(t, p, kind, _rank(code)) for t, (_, properties) in OBJECT_TYPES.items() for p, (kind, code) in properties.items() if code is not None]
+    return [n for n, s in PREDICATES.items() if any(r > clearance and (p == n or (s[4] and kind == "identifier" and t in s[0])) for t, p, kind, r in rated)]
+
+
+def types_above(clearance: int) -> list[str]:
+    """Entity types whose display title is too sensitive."""
+    return [t for t, (title, properties) in OBJECT_TYPES.items() if title in properties and properties[title][1] is not None and _rank(properties[title][1]) > clearance]
+
+
 def verb_table(spark: SparkSession) -> DataFrame:
     """Verbs to predicates; a verb without an entry maps to the predicate of the same name."""
     facts = lambda p: (PREDICATES[p][2], PREDICATES[p][3])

@@ -91,12 +91,7 @@ def readable_claims(
 def readable_by(claims: DataFrame, clearance: int, cases: list[str] = (), auditor: bool = False) -> DataFrame:
     """The same rule for one reader, as plain filters that reach the scan."""
     codes = list(V.HANDLING_CODES[: clearance + 1])
-    spark = claims.sparkSession
-    above = [
-        r["predicate"]
-        for r in predicate_sensitivity(V.predicate_table(spark), V.property_table(spark)).where(F.col("required_rank") > clearance).collect()
-    ]  # vocabulary rows only
-    keep = F.col("handling_code").isin(codes) & ~F.col("predicate").isin(above)
+    keep = F.col("handling_code").isin(codes) & ~F.col("predicate").isin(V.predicates_above(clearance))
     scope = F.col("case_id").isNull()
     if cases:
         scope = scope | F.col("case_id").isin(list(cases))

@@ -329,13 +329,16 @@ def validate_claims(drafts: DataFrame, entities: DataFrame, records: DataFrame,
 
 
 def claim_dedupe(drafts: DataFrame, claims: DataFrame) -> DataFrame:
-    """Drafts without a live claim of the same predicate, record, endpoints (either way round when symmetric) and window."""
-    key = ["subject_id", "object_id", "predicate", "record_id", "valid_from", "valid_to"]
+    """Drafts without a live claim of the same predicate, record, endpoints (either way round when symmetric), literal value
+    and window."""
+    key = ["subject_id", "object_id", "object_value", "predicate", "record_id", "valid_from", "valid_to"]
+    literal = lambda df: df if "object_value" in df.columns else df.withColumn("object_value", F.lit(None).cast("string"))
+    drafts, claims = literal(drafts), literal(claims)
     have = orient_symmetric(claims.where("retracted_on IS NULL")).select(*[F.col(k).alias(f"_{k}") for k in key])
     want = orient_symmetric(drafts)
     same = None
     for k in key:
-        test = F.col(k).eqNullSafe(F.col(f"_{k}")) if k in ("object_id", "valid_from", "valid_to") else F.col(k) == F.col(f"_{k}")
+        test = F.col(k).eqNullSafe(F.col(f"_{k}")) if k in ("object_id", "object_value", "valid_from", "valid_to") else F.col(k) == F.col(f"_{k}")
         same = test if same is None else same & test
     return want.join(have, same, "left_anti")
 

@@ -23,6 +23,7 @@ MAX_SEEDS = 100
 MAX_PATHS = 25
 MAX_WEIGHTED_HOPS = 4
 TOP_WEIGHTED = 10
+SALTS = 32  # shares in which the first edges of a set are picked
 # -------------------------------------------------------------------------------------------------
 EDGE = ["edge_id", "subject_id", "object_id", "predicate", "segment_from", "segment_to"]
 
@@ -42,13 +43,25 @@ def edges_in_window(edges: DataFrame, since=None, until=None, categories: list[s
     return edges
 
 
-def resolve_seeds(seeds: DataFrame, canonical: DataFrame) -> DataFrame:
-    """``seeds(set_id, pos, entity_id)`` to (set_id, entity_id, pos): canonical, distinct, first place kept."""
-    used = seeds.where(F.col("pos") < MAX_SEEDS)
+UNBOUNDED = (1 << 62) - 1
+
+
+def resolve_seeds(seeds: DataFrame, canonical: DataFrame, max_seeds: int | None = MAX_SEEDS) -> DataFrame:
+    """``seeds(set_id, pos, entity_id)`` to (set_id, entity_id, pos): canonical, distinct, first place kept.
+
+    ``max_seeds``: places used of each set, None for all; ``seed_counts`` tells which sets have more.
+    """
+    used = seeds if max_seeds is None else seeds.where(F.col("pos") < max_seeds)
     merged = canonical.where("entity_id <> canonical_entity_id").select("entity_id", "canonical_entity_id")
     return used.join(merged, "entity_id", "left").groupBy("set_id", F.coalesce("canonical_entity_id", "entity_id").alias("entity_id")).agg(F.min("pos").alias("pos"))
 
 
+def seed_counts(seeds: DataFrame, max_seeds: int | None = MAX_SEEDS) -> DataFrame:
+    """(set_id, seeds, truncated) as asked for."""
+    over = F.lit(False) if max_seeds is None else F.max("pos") >= max_seeds
+    return seeds.groupBy("set_id").agg(F.count(F.lit(1)).alias("seeds"), over.alias("truncated"))
+
+
 def _both_ends(edges: DataFrame, *columns: str) -> DataFrame:
     out = edges.select(F.col("subject_id").alias("near"), F.col("object_id").alias("far"), *columns)
     back = edges.select(F.col("object_id").alias("near"), F.col("subject_id").alias("far"), *columns)
@@ -59,15 +72,15 @@ def _reading_order():
     return [F.col("subject_id"), F.col("object_id"), F.col("predicate"), F.col("segment_from").asc_nulls_last(), F.col("edge_id")]
 
 
-def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_elements: int = MAX_ELEMENTS) -> tuple[DataFrame, DataFrame]:
+def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_elements: int | None = MAX_ELEMENTS) -> tuple[DataFrame, DataFrame]:
     """Breadth-first expansion of every seed set under its own node-plus-edge budget.
 
     Returns (set_id, hop, edge columns) and (set_id, elements, truncated). Each hop admits edges in reading order and
-    stops at the first that does not fit; only the first ``budget + 1`` edges of a hop can matter, so a hub's other
-    edges are dropped inside the scan side of the window (group limit) before anything is shuffled.
+    stops at the first that does not fit. Only the first ``budget + 1`` edges of a hop can matter: they are picked from
+    ``SALTS`` shares of each set first, so that a hub's edges never meet in one task. ``max_elements`` None: no budget.
     """
-    max_hops = max(0, min(max_hops, MAX_HOPS))
-    budget = max(1, min(max_elements, MAX_ELEMENTS))
+    max_hops = max(0, max_hops)
+    budget = UNBOUNDED if max_elements is None else max(1, max_elements)
     ends = edges.select(*EDGE)
     touch = ends.withColumn("node", F.col("subject_id")).unionByName(ends.withColumn("node", F.col("object_id")))
     reached = cut(seeds.select("set_id", F.col("entity_id").alias("node")).distinct())
@@ -77,8 +90,10 @@ def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_elements:
         found = frontier.join(touch, "node").select("set_id", *EDGE).distinct()
         if taken is not None:
             found = found.join(taken.select("set_id", "edge_id"), ["set_id", "edge_id"], "left_anti")
-        ranked = found.withColumn("rank", F.row_number().over(by_set.orderBy(*_reading_order()))).where(F.col("rank") <= budget + 1)
-        ranked = cut(ranked)
+        share = Window.partitionBy("set_id", "salt").orderBy(*_reading_order())
+        salted = found.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(SALTS)))
+        first = salted.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= budget + 1).drop("salt", "rank")
+        ranked = cut(first.withColumn("rank", F.row_number().over(by_set.orderBy(*_reading_order()))).where(F.col("rank") <= budget + 1))
         ends_of = ranked.select("set_id", "rank", F.explode(F.array("subject_id", "object_id")).alias("node"))
         fresh = ends_of.join(reached, ["set_id", "node"], "left_anti").groupBy("set_id", "node").agg(F.min("rank").alias("rank"))
         new_nodes = fresh.groupBy("set_id", "rank").agg(F.count(F.lit(1)).alias("new"))
@@ -108,12 +123,12 @@ def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_elements:
     return taken, sets
 
 
-def overview(edges: DataFrame, max_elements: int = MAX_ELEMENTS) -> DataFrame:
+def overview(edges: DataFrame, max_elements: int = MAX_ELEMENTS) -> DataFrame:  # the feature is a bounded slice
     """Seedless slice: the first ``budget + 1`` edges in reading order, keeping each that fits the element budget.
 
     Returns the kept edges with ``truncated``. The fold runs over at most ``budget + 1`` rows picked by a bounded sort.
     """
-    budget = max(1, min(max_elements, MAX_ELEMENTS))
+    budget = max(1, max_elements)
     first = edges.select(*EDGE).orderBy(*_reading_order()).limit(budget + 1)
     numbered = first.withColumn("rank", F.row_number().over(Window.orderBy(*_reading_order())))
     rows = numbered.agg(F.array_sort(F.collect_list(F.struct("rank", *EDGE))).alias("rows"))  # at most budget + 1 rows
@@ -133,16 +148,16 @@ def overview(edges: DataFrame, max_elements: int = MAX_ELEMENTS) -> DataFrame:
     return shown.where(F.array_contains("s.kept", F.col("r.rank"))).select(*[F.col(f"r.{c}").alias(c) for c in EDGE], "truncated")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS, max_paths: int = MAX_PATHS) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS, max_paths: int | None = MAX_PATHS) -> DataFrame:
     """All shortest undirected routes of each pair, parallel edges apart: (pair_id, hops, nodes, edge_ids, truncated).
 
     ``pairs(pair_id, source, target)``, ids already resolved. Balls grow from both ends in turn until they meet, so a
     hub in the middle is entered but not expanded. When more than ``max_paths`` exist, the ones a backward walk that
     prefers the largest (edge_id, previous node) meets first are kept; partial routes beyond that are pruned level by
-    level, which loses nothing because each of them completes.
+    level, which loses nothing because each of them completes. ``max_paths`` None: all routes.
     """
-    max_hops = max(1, min(max_hops, MAX_PATH_HOPS))
-    max_paths = max(1, min(max_paths, MAX_PATHS))
+    max_hops = max(1, max_hops)
+    max_paths = UNBOUNDED if max_paths is None else max(1, max_paths)
     steps = _both_ends(edges, "edge_id")
     pairs = cut(pairs.select("pair_id", "source", "target"))
     apart = pairs.where("source <> target")
@@ -217,7 +232,7 @@ def _routes(hop: int, kf: int, kb: int, middle: DataFrame, links: dict, targets:
 
 def hydrate_edges(edges: DataFrame, links: DataFrame, readable: DataFrame, relations: DataFrame) -> DataFrame:
     """Edges with counts recomputed over the readable claims behind the returned edges only."""
-    seen = links.join(edges.select("edge_id").distinct(), "edge_id", "left_semi").select("edge_id", "claim_id").join(readable.select("claim_id"), "claim_id", "left_semi")
+    seen = cut(links.join(edges.select("edge_id").distinct(), "edge_id", "left_semi").select("edge_id", "claim_id").join(readable.select("claim_id"), "claim_id", "left_semi"))
     index = pj.relation_index(relations, seen.select("claim_id").distinct())
     summary = pj.support_summary(seen, readable, index)
     claims = seen.groupBy("edge_id").agg(F.count(F.lit(1)).alias("claim_count"))
@@ -302,7 +317,7 @@ def weighted_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_WEIGH
         trails.append(
             met.select(
                 F.col("f.pair_id").alias("pair_id"), F.lit(hops).alias("hops"),
-                F.concat("f.nodes", F.slice(F.reverse("b.nodes"), 2, 1000)).alias("nodes"), F.concat("f.ids", F.reverse("b.ids")).alias("edge_ids"),
+                F.concat("f.nodes", F.slice(F.reverse("b.nodes"), F.lit(2), F.size("b.nodes"))).alias("nodes"), F.concat("f.ids", F.reverse("b.ids")).alias("edge_ids"),
                 F.concat("f.layers", F.reverse("b.layers")).alias("layers"), F.round(F.round(F.col("f.product") * F.col("b.product"), 9), 3).alias("path_confidence"),
             )
         )

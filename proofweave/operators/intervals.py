@@ -19,19 +19,21 @@ LAST_DAY = "9999-12-31"
 
 
 def half_open(df: DataFrame, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Adds ``lo``/``hi`` with ``[lo, hi)``; windows that are empty or leave the date range never cover a day."""
+    """Adds ``lo``/``hi`` with ``[lo, hi)``. The last day of the calendar as an end means no end. Rows that cover no day
+    are left to ``unrepresentable``."""
+    last = F.to_date(F.lit(LAST_DAY))
     rows = df.withColumn("lo", F.coalesce(F.col(start), F.to_date(F.lit(FIRST_DAY)))).withColumn(
-        "hi", F.when(F.col(end).isNull(), F.to_date(F.lit(LAST_DAY))).otherwise(F.date_add(F.col(end), 1))
+        "hi", F.when(F.col(end).isNull() | (F.col(end) >= last), last).otherwise(F.date_add(F.col(end), 1))
     )
-    return rows.where((F.col("lo") < F.col("hi")) & (F.col("hi") <= F.to_date(F.lit(LAST_DAY))))
+    return rows.where(F.col("lo") < F.col("hi"))
 
 
 def unrepresentable(df: DataFrame, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """Rows ``half_open`` leaves out, with the reason."""
     return df.withColumn(
         "error",
-        F.when(F.col(end) >= F.to_date(F.lit(LAST_DAY)), "valid_to beyond the date range").when(
-            F.col(end) < F.col(start), "valid_to before valid_from"
+        F.when(F.col(end) < F.col(start), "valid_to before valid_from").when(
+            F.col(start) >= F.to_date(F.lit(LAST_DAY)), "valid_from beyond the date range"
         ),
     ).where(F.col("error").isNotNull())
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from .access import predicate_sensitivity, type_sensitivity
 
 MAX_LIMIT = 200  # fixed value: largest page
 
@@ -16,7 +15,7 @@ def keyset_page(df: DataFrame, order: list[tuple[str, str]], after: list | None
 
     ``order`` lists (column, "asc" | "desc"); ``after`` holds the cursor row's values in the same order.
     """
-    limit = max(1, min(limit, MAX_LIMIT))
+    limit = max(1, limit)
     if after is not None:
         beyond, equal = F.lit(False), F.lit(True)
         for (column, direction), value in zip(order, after):
@@ -39,7 +38,6 @@ def candidate_inbox(
     candidates: DataFrame, mentions: DataFrame, records: DataFrame, memberships: DataFrame, entities: DataFrame, clearance: int
 ) -> DataFrame:
     """Candidates whose both sides the reader may see; page with ``CANDIDATE_ORDER``."""
-    spark = candidates.sparkSession
     readable = records.where(F.col("handling_code").isin(_codes(clearance))).select("record_id")
     seen = mentions.select("mention_id", "record_id", "raw_text").join(readable, "record_id", "left_semi").select("mention_id", "record_id", "raw_text")
     members = memberships.where("closed_revision_id IS NULL").select("mention_id", "entity_id")
@@ -51,9 +49,7 @@ def candidate_inbox(
             .join(members.toDF(f"mention_{s}", f"entity_{s}"), f"mention_{s}", "left")
             .join(kinds.toDF(f"entity_{s}", f"type_{s}", f"label_{s}"), f"entity_{s}", "left")
         )
-    properties = V.property_table(spark)
-    hidden = [r[0] for r in type_sensitivity(properties).where(F.col("required_rank") > clearance).collect()]  # vocabulary rows
-    barred = [r[0] for r in predicate_sensitivity(V.predicate_table(spark), properties).where(F.col("required_rank") > clearance).collect()]
+    hidden, barred = V.types_above(clearance), V.predicates_above(clearance)
     for s in "ab":
         if hidden:
             rows = rows.where(F.col(f"type_{s}").isNull() | ~F.col(f"type_{s}").isin(hidden))
@@ -72,11 +68,10 @@ def review_inbox(
     status: str | None = None, producer: str | None = None, record: str | None = None,
 ) -> DataFrame:
     """Suggestions in the reader's case scope whose record and predicate they may see; page with ``REVIEW_ORDER``."""
-    spark = queue.sparkSession
     scope = F.col("case_id").isNull()
     if cases:
         scope = scope | F.col("case_id").isin(list(cases))
-    barred = [r[0] for r in predicate_sensitivity(V.predicate_table(spark), V.property_table(spark)).where(F.col("required_rank") > clearance).collect()]
+    barred = V.predicates_above(clearance)
     rows = queue.where(scope)
     predicate = F.get_json_object("payload", "$.predicate")
     if barred:

@@ -84,12 +84,15 @@ def edge_id(subject: str, obj: str, predicate: str, start: str, end: str) -> Col
     return F.concat(F.lit("edg_"), F.substring(digest, 1, 32))
 
 
-def _swept(rows: DataFrame, index: DataFrame | None) -> DataFrame:
+def _swept(rows: DataFrame, index: DataFrame | None, cuts: DataFrame | None = None) -> DataFrame:
+    """``cuts``: claims whose days cut the segments as well, without being counted."""
     rank = V.handling_rank(F.col("handling_code"))
     counted = {"claim_count": F.lit(1)}
     for r in (1, 2, V.UNKNOWN_HANDLING_RANK):
         counted[f"rank_{r}"] = (rank == r).cast("int")
     parts = [iv.deltas(rows, KEYS, counted), iv.presence(rows, KEYS, ["record_id"], {"record_count": F.lit(1)})]
+    if cuts is not None:
+        parts.append(iv.deltas(cuts, KEYS, {"cut_only": F.lit(1)}))
     if index is not None:
         touching = rows.select(*KEYS, "claim_id", "lo", "hi").join(index, "claim_id").select(
             *KEYS,
@@ -153,6 +156,27 @@ def edge_projection(resolved: DataFrame, relations: DataFrame, revision: Column
     )
 
 
+def edge_rows(resolved: DataFrame) -> DataFrame:
+    """The edges alone (edge_id, subject, object, predicate, segment): the covered ranges of one sweep, no claim in sight."""
+    swept = iv.sweep([iv.deltas(iv.half_open(resolved.where("NOT collapsed")), KEYS, {"claim_count": F.lit(1)})], KEYS, "claim_count")
+    return iv.bounds(swept.where("covered")).select(edge_id(*KEYS, "segment_from", "segment_to").alias("edge_id"), *KEYS, "segment_from", "segment_to")
+
+
+def visible_edge_rows(resolved: DataFrame, readable: DataFrame) -> DataFrame:
+    """Edges with at least one readable supporting claim, from one sweep that counts the readable ones."""
+    rows = iv.half_open(resolved.where("NOT collapsed")).select(*KEYS, "claim_id", "lo", "hi")
+    flagged = rows.join(readable.select("claim_id", F.lit(1).alias("seen")), "claim_id", "left")
+    swept = iv.sweep([iv.deltas(flagged, KEYS, {"seen": F.coalesce("seen", F.lit(0))})], KEYS, "seen")
+    return iv.bounds(swept.where("covered")).select(edge_id(*KEYS, "segment_from", "segment_to").alias("edge_id"), *KEYS, "segment_from", "segment_to")
+
+
+def visible_projection(resolved: DataFrame, readable: DataFrame, relations: DataFrame) -> DataFrame:
+    """Every visible edge with the counts a reader of ``readable`` sees: claims, records and relations between them."""
+    rows = _ranged(resolved)
+    mine = rows.join(readable.select("claim_id"), "claim_id", "left_semi")
+    return _edges(_swept(mine, relation_index(relations, mine), rows)).drop("idx", "handling_rank")
+
+
 def edge_claims(resolved: DataFrame) -> DataFrame:
     """Long table (edge_id, subject, object, predicate, segment, claim_id): which claim supports which edge."""
     rows = _ranged(resolved)

@@ -67,9 +67,10 @@ def live_entities(entities: DataFrame, tombstoned: DataFrame, visible: DataFrame
     return entities.join(tombstoned.where("tombstoned").select("entity_id"), "entity_id", "left_anti").join(visible, "entity_id", "left_semi")
 
 
-def query_texts(queries: DataFrame) -> DataFrame:
-    """``queries(query_id, text)`` trimmed to the length searched; empty ones find nothing."""
-    return queries.select("query_id", F.substring(F.trim("text"), 1, MAX_QUERY).alias("text")).where("text <> ''")
+def query_texts(queries: DataFrame, length: int | None = MAX_QUERY) -> DataFrame:
+    """``queries(query_id, text)`` trimmed, and cut to the ``length`` searched unless that is None; empty ones find nothing."""
+    text = F.trim("text") if length is None else F.substring(F.trim("text"), 1, length)
+    return queries.select("query_id", text.alias("text")).where("text <> ''")
 
 
 def search_labels(queries: DataFrame, entities: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:

@@ -9,15 +9,22 @@ SPLITS = 64
 CHUNK = 4096
 
 
-def order_bucket(df: DataFrame, order: str, splits: int = SPLITS) -> Column:
-    """Bucket number that grows with ``order``; cut points are a bounded sketch of the column."""
-    probs = [i / splits for i in range(1, splits)]
-    as_number = F.col(order).cast("double")
-    found = df.select(F.percentile_approx(as_number, probs, 10_000).alias("p")).first()["p"]
-    points = sorted(set(found or []))
+def order_bucket(df: DataFrame, order: list[str], splits: int = SPLITS) -> Column:
+    """Bucket number that grows with the ``order`` columns, compared by their own types.
+
+    Cut points are rows of the frame: those with the smallest hashes, a bounded number, sorted, every n-th of them. Rows
+    that tie in the first column are told apart by the others, so a column of one value still spreads.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+    sample = keyed.orderBy(F.xxhash64(*names)).limit(splits * 16)
+    rows = sample.distinct().orderBy(*names).collect()
+    points = rows[16::16] or rows[1:][:: max(1, len(rows) // splits)]
     if not points:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: p <= as_number))
+    own = F.struct(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+    cuts = [F.struct(*[F.lit(p[n]).cast(keyed.schema[n].dataType).alias(n) for n in names]) for p in points]
+    return F.size(F.filter(F.array(*cuts), lambda p: p <= own))
 
 
 def ordered_steps(
@@ -30,7 +37,7 @@ def ordered_steps(
     """
     columns = df.columns
     ordering = [order] + ([tie] if tie else [])
-    b = df.withColumn("_b", order_bucket(df, order, splits))
+    b = df.withColumn("_b", order_bucket(df, ordering, splits))
     inner = Window.partitionBy(*keys, "_b").orderBy(*ordering)
     sort_key = F.struct(*ordering)
     carried = F.struct(*[F.col(c).alias(f"c_{a}") for a, c in carry.items()]) if carry else F.struct(F.lit(1).alias("c_"))

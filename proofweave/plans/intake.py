@@ -105,6 +105,16 @@ def s4(t: Inputs):
     return edges.select("record_id", "source", "target", "relation", "layer", "confidence", "weight", "start_date", "end_date", "error")
 
 
+@query("s4_malformed", oracle("""
+SELECT doc_id AS record_id, CASE WHEN doc_id % 7 = 0 THEN 'no body' ELSE 'malformed body' END AS error FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0
+"""))
+def s4_malformed(t: Inputs):
+    """Bodies that are cut off or missing give error rows instead of vanishing."""
+    bodies = t.sql("SELECT doc_id AS record_id, to_json(named_struct('nodes', array(named_struct('name', text)))) AS body FROM documents")
+    broken = F.when(F.col("record_id") % 7 == 0, F.lit(None).cast("string")).when(F.col("record_id") % 5 == 0, F.expr("substr(body, 1, length(body) - 2)")).otherwise(F.col("body"))
+    return landing.extraction_errors(bodies.withColumn("body", broken))
+
+
 @query("s4_load_extraction_nodes", oracle(f"""
 SELECT record_id, pos, {SLUG('name')} AS node_id, name, node_type FROM
  (SELECT record_id, 0 AS pos, person AS name, 'PERSON' AS node_type FROM extracted UNION ALL SELECT record_id, 1, other, 'ORGANIZATION' FROM extracted)
@@ -198,8 +208,8 @@ def x2(t: Inputs):
 
 
 NAMED = """
-SELECT CAST(doc_id AS STRING) AS record_id, 'own' AS ref, lower(regexp_extract(text, '[^ ]+ [^ ]+ [^ ]+', 0)) AS name FROM documents
-UNION ALL SELECT CAST(d.doc_id AS STRING), 'item', regexp_extract(b.text, '[^ ]+ [^ ]+ [^ ]+', 0) FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+SELECT CAST(doc_id AS STRING) AS record_id, 'own' AS ref, lower(regexp_extract(substring(text, CAST(floor(length(text) / 2) AS INT) + 1), '[^ ]+ [^ ]+ [^ ]+', 0)) AS name FROM documents
+UNION ALL SELECT CAST(d.doc_id AS STRING), 'item', regexp_extract(b.text, '[^ ]+ [^ ]+ [^ ]+', 0) FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS pick FROM documents) d JOIN benchmark b ON b.item_id = d.pick
 """
 
 
@@ -213,9 +223,17 @@ def x3(t: Inputs):
     return cl.locate_mentions(docs, t.sql(NAMED))
 
 
-@query("x4_paragraph_chunks")
+@query("x4_paragraph_chunks", oracle(r"""
+SELECT doc_id, generate_subscripts(chunks, 1) - 1 AS chunk_index, unnest(chunks) AS chunk FROM (
+ SELECT doc_id, CASE WHEN length(text) <= 400 THEN [text] WHEN len(blocks) = 0 THEN CAST([] AS VARCHAR[])
+  ELSE string_split(list_reduce(blocks, lambda a, b: CASE WHEN length(string_split(a, chr(1))[-1]) >= 400 THEN concat(a, chr(1), b) ELSE concat(a, chr(10), chr(10), b) END), chr(1)) END AS chunks FROM (
+  SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: b <> '') AS blocks FROM (
+   SELECT doc_id, replace(text, '. ', concat('.', chr(10), ' ', chr(10))) AS text FROM documents)))
+"""))
 def x4(t: Inputs):
-    return cl.paragraph_chunks(t.raw("documents"))
+    """Sentences as paragraphs, so that chunks are really merged."""
+    spaced = t.raw("documents").withColumn("text", F.regexp_replace("text", r"\. ", ".\n \n"))
+    return cl.paragraph_chunks(spaced, min_chars=400)
 
 
 @query("x5_merge_nodes", oracle(f"""
@@ -433,6 +451,17 @@ def x14(t: Inputs):
     return new.select("draft_id", F.least("subject_id", "object_id").alias("low"), F.greatest("subject_id", "object_id").alias("high"), "predicate")
 
 
+@query("x14_literal_dedupe", oracle("""
+SELECT c_custkey AS draft_id, CASE WHEN c_custkey % 3 = 0 THEN 'alias' ELSE c_name END AS object_value FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 4 = 0
+"""))
+def x14_literals(t: Inputs):
+    """Literal drafts: another value of the same predicate is not a repeat, an equal one is."""
+    base = "SELECT c_custkey AS draft_id, concat('ent_', CAST(c_custkey AS STRING)) AS subject_id, CAST(NULL AS STRING) AS object_id, 'known_as' AS predicate, 'rec' AS record_id, CAST(NULL AS DATE) AS valid_from, CAST(NULL AS DATE) AS valid_to, "
+    drafts = t.sql(base + "CASE WHEN c_custkey % 3 = 0 THEN 'alias' ELSE c_name END AS object_value FROM customer")
+    claims = t.sql(base + "c_name AS object_value, CASE WHEN c_custkey % 4 = 0 THEN DATE '2020-01-01' END AS retracted_on FROM customer")
+    return cl.claim_dedupe(drafts, claims.drop("draft_id")).select("draft_id", "object_value")
+
+
 @query("x15_entities_for_new_mentions", oracle("""
 SELECT m.mention_id, concat('ent_', substr(sha256(m.mention_id), 1, 24)) AS entity_id, 'person' AS entity_type, m.raw_text AS label, CAST(NULL AS VARCHAR) AS error
 FROM (SELECT DISTINCT subject_mention_id AS mention_id FROM fx_claim WHERE subject_mention_id IS NOT NULL) d JOIN fx_mention m ON m.mention_id = d.mention_id
@@ -471,9 +500,9 @@ def n1(t: Inputs):
 
 @query("n1_text_keys")
 def n1_text(t: Inputs):
-    """Keys of the leading words of every document: four languages, accents, marks."""
-    lead = t.sql("SELECT doc_id, regexp_extract(text, '[^ ]+ [^ ]+ [^ ]+', 0) AS raw_text FROM documents")
-    return names.mention_keys(lead)
+    """Keys of every distinct word of all documents: four languages, accents, marks."""
+    words = t.raw("documents").select(F.explode(F.split("text", r"\s+")).alias("raw_text")).distinct()
+    return names.mention_keys(words.withColumn("word", F.col("raw_text")))
 
 
 @query("t1_stream_landing", oracle(LANDED_SQL))
@@ -485,7 +514,7 @@ def t1(t: Inputs):
         "source AS source_system", "concat('file_', CAST(doc_id % 5 AS STRING), '.txt') AS filename", "text", "doc_id AS arrival"
     )
     intake.stream_landing(arrivals, table, checkpoint, MAX_BYTES).awaitTermination()
-    return t.spark.read.parquet(table).drop("batch_id")
+    return t.spark.read.parquet(table).drop("batch_id", "bucket")
 
 
 @query("t2_stream_suggestions", oracle("""
@@ -495,7 +524,20 @@ def t2(t: Inputs):
     """Each (type, user) proposal once, however often it arrives."""
     table, checkpoint = scratch_path(t.spark, "suggestions"), scratch_path(t.spark, "suggestions-checkpoint")
     arrivals = t.spark.readStream.schema(t.raw("events").schema).parquet(f"{t.folder}/events*.parquet").select(
-        F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256).alias("idempotency_key"), "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts")
+        F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256).alias("idempotency_key"), "event_type", "user_id"
     )
-    intake.stream_suggestions(arrivals, table, checkpoint, event_time="ts").awaitTermination()
+    intake.stream_suggestions(arrivals, table, checkpoint).awaitTermination()
     return t.spark.read.parquet(table).select("idempotency_key", "event_type", "user_id")
+
+
+@query("t2_late_suggestions", oracle("""
+SELECT idempotency_key, min(day) AS first_batch FROM (SELECT concat(event_type, '|', CAST(user_id AS VARCHAR)) AS idempotency_key, user_id % 7 AS day FROM events) GROUP BY idempotency_key
+"""))
+def t2_late(t: Inputs):
+    """Seven batches over one table, the newest events first: a key that arrives late for the first time is still queued."""
+    table, schema = scratch_path(t.spark, "late-suggestions"), "`idempotency_key` string, `day` bigint"
+    rows = t.sql("SELECT concat(event_type, '|', CAST(user_id AS STRING)) AS idempotency_key, CAST(user_id % 7 AS BIGINT) AS day FROM events")
+    for batch in range(7):
+        repeats = rows.where(F.col("day") == (batch + 6) % 7)  # the previous day's rows come once more
+        intake.suggestion_batch(t.spark, rows.where(F.col("day") == batch).unionByName(repeats.limit(0) if batch == 0 else repeats), batch, table, schema)
+    return t.spark.read.parquet(table).select("idempotency_key", F.col("batch_id").cast("bigint").alias("first_batch"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical
@@ -40,6 +41,26 @@ def p2(t: Inputs):
     return iv.segments(iv.half_open(t.claim), pj.KEYS).select(*pj.KEYS, "segment_from", "segment_to", "cover")
 
 
+@query("p2_unrepresentable", oracle("""
+SELECT claim_id, 'valid_to before valid_from' AS error FROM fx_claim WHERE credibility_normalized = 'doubtful' AND valid_from IS NOT NULL
+"""))
+def p2_errors(t: Inputs):
+    """Windows that end before they begin are reported; an end on the last day of the calendar is an open end."""
+    doubtful = F.col("credibility_normalized") == "doubtful"
+    bent = t.claim.withColumn("valid_to", F.when(doubtful, F.date_sub("valid_from", 1)).otherwise(F.coalesce("valid_to", F.to_date(F.lit("9999-12-31")))))
+    return iv.unrepresentable(bent).select("claim_id", "error")
+
+
+@query("p2_last_day", oracle("""
+SELECT count(*) AS claims, count(*) FILTER (WHERE valid_to IS NULL) AS open_ended FROM fx_claim
+"""))
+def p2_last_day(t: Inputs):
+    """Claims that end on the last day of the calendar are kept as open-ended ones."""
+    ended = t.claim.withColumn("valid_to", F.coalesce("valid_to", F.to_date(F.lit("9999-12-31"))))
+    kept = iv.half_open(ended)
+    return kept.agg(F.count(F.lit(1)).alias("claims"), F.count(F.when(F.col("hi") == F.to_date(F.lit("9999-12-31")), 1)).alias("open_ended"))
+
+
 @query("p2_segment_claims", oracle("SELECT edge_id, claim_id FROM links"))
 def p2_claims(t: Inputs):
     return pj.edge_claims(t.resolved()).select("edge_id", "claim_id")
@@ -158,7 +179,7 @@ def p11(t: Inputs):
 SELECT DISTINCT edge_id, subject_id, object_id, predicate, segment_from, segment_to FROM links WHERE claim_id IN (SELECT claim_id FROM readable)
 """))
 def g1(t: Inputs):
-    return graph.visible_edges(t.links(), t.readable())
+    return pj.visible_edge_rows(t.resolved(), t.readable())
 
 
 @query("g2_edges_in_window", oracle(f"""
@@ -181,6 +202,11 @@ def g3(t: Inputs):
     return graph.resolve_seeds(t.sql(SEEDS), t.canonical())
 
 
+@query("g3_seed_counts", oracle("SELECT set_id, count(*) AS seeds, max(pos) >= 100 AS truncated FROM seeds GROUP BY set_id", seeds=SEEDS))
+def g3_counts(t: Inputs):
+    return graph.seed_counts(t.sql(SEEDS))
+
+
 def nation_seeds(t: Inputs):
     return graph.resolve_seeds(t.nation_firsts().select("set_id", F.lit(0).alias("pos"), "entity_id"), t.canonical())
 
@@ -199,9 +225,34 @@ def g4_hops(t: Inputs):
     return found.join(sets, "set_id").select("set_id", "hop", "edge_id", "elements", "truncated")
 
 
-@query("g5_overview")
+ALLIED = "SELECT * FROM edges WHERE predicate = 'allied_with'"
+
+
+@query("g4_allied_three_hops", oracle("""
+SELECT set_id, min(hop) AS hop, edge_id FROM (
+ SELECT set_id, 1 AS hop, edge_id FROM h0 JOIN allied ON node IN (subject_id, object_id)
+ UNION ALL SELECT set_id, 2, edge_id FROM h1 JOIN allied ON node IN (subject_id, object_id)
+ UNION ALL SELECT set_id, 3, edge_id FROM h2 JOIN allied ON node IN (subject_id, object_id)) GROUP BY set_id, edge_id
+""", allied=ALLIED, h0="SELECT n.set_id, c.canonical_entity_id AS node FROM nation_firsts n JOIN canon c ON c.entity_id = n.entity_id",
+    h1="SELECT DISTINCT set_id, unnest([subject_id, object_id]) AS node FROM h0 JOIN allied ON node IN (subject_id, object_id)",
+    h2="SELECT DISTINCT set_id, unnest([subject_id, object_id]) AS node FROM h1 JOIN allied ON node IN (subject_id, object_id)"))
+def g4_allied(t: Inputs):
+    """Three hops without a budget."""
+    found, _ = graph.expand(t.edges().where("predicate = 'allied_with'"), nation_seeds(t), 3, None)
+    return found.select("set_id", "hop", "edge_id")
+
+
+@query("g5_overview", oracle("""
+SELECT edge_id, subject_id, object_id, predicate, segment_from, segment_to, (SELECT count(*) FROM first) > 2000 OR (SELECT bool_or(NOT took) FROM fold WHERE rank > 0) AS truncated
+FROM first JOIN fold USING (rank) WHERE took
+""", visible="SELECT DISTINCT edge_id, subject_id, object_id, predicate, segment_from, segment_to FROM links WHERE claim_id IN (SELECT claim_id FROM readable)",
+    first="SELECT * FROM (SELECT *, row_number() OVER (ORDER BY subject_id, object_id, predicate, segment_from NULLS LAST, edge_id) AS rank FROM visible) WHERE rank <= 2001",
+    fold="""SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS VARCHAR[]) AS nodes, 0 AS kept, false AS took
+ UNION ALL SELECT rank, CASE WHEN took THEN grown ELSE nodes END, kept + CAST(took AS INTEGER), took FROM (
+  SELECT f.rank, o.nodes, o.kept, list_distinct(list_concat(o.nodes, [f.subject_id, f.object_id])) AS grown, o.kept + len(list_distinct(list_concat(o.nodes, [f.subject_id, f.object_id]))) + 1 <= 2000 AS took
+  FROM fold o JOIN first f ON f.rank = o.rank + 1)"""))
 def g5(t: Inputs):
-    return graph.overview(graph.visible_edges(t.links(), t.readable()))
+    return graph.overview(pj.visible_edge_rows(t.resolved(), t.readable()))
 
 
 STEPS = "SELECT edge_id, subject_id AS near, object_id AS far FROM edges UNION ALL SELECT edge_id, object_id, subject_id FROM edges"
@@ -228,6 +279,27 @@ def g6(t: Inputs):
     return found.select("pair_id", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edge_ids"), "truncated")
 
 
+FAR_PAIRS = """SELECT p.pair_id, a.canonical_entity_id AS source, b.canonical_entity_id AS target FROM
+ (SELECT set_id AS pair_id, entity_id, concat('ent_c', lpad(CAST(CAST(substr(entity_id, 6, 9) AS BIGINT) + 8 AS STRING), 9, '0')) AS far_id FROM nation_firsts) p
+ JOIN canon a ON a.entity_id = p.entity_id JOIN canon b ON b.entity_id = p.far_id"""
+
+
+@query("g6_allied_paths", oracle("""
+SELECT pair_id, hops, array_to_string(nodes, '>') AS nodes, array_to_string(edge_ids, '>') AS edge_ids FROM (SELECT *, min(hops) OVER (PARTITION BY pair_id) AS least FROM walks WHERE node = target) WHERE hops = least
+""", allied=ALLIED, pairs=FAR_PAIRS, steps="SELECT edge_id, subject_id AS near, object_id AS far FROM allied UNION ALL SELECT edge_id, object_id, subject_id FROM allied",
+    walks="""SELECT pair_id, source AS node, target, 0 AS hops, [source] AS nodes, CAST([] AS VARCHAR[]) AS edge_ids FROM pairs
+ UNION ALL SELECT w.pair_id, s.far, w.target, w.hops + 1, list_append(w.nodes, s.far), list_append(w.edge_ids, s.edge_id) FROM walks w JOIN steps s ON s.near = w.node
+ WHERE w.hops < 3 AND w.node <> w.target AND NOT list_contains(w.nodes, s.far)"""))
+def g6_allied(t: Inputs):
+    """All shortest routes of up to three hops between people eight numbers apart, over alliances only."""
+    c = t.canonical().select("entity_id", "canonical_entity_id")
+    far = F.concat(F.lit("ent_c"), F.lpad((F.substring("entity_id", 6, 9).cast("long") + 8).cast("string"), 9, "0"))
+    n = t.nation_firsts().select(F.col("set_id").alias("pair_id"), "entity_id", far.alias("far_id"))
+    pairs = n.join(c.toDF("entity_id", "source"), "entity_id").join(c.toDF("far_id", "target"), "far_id").select("pair_id", "source", "target")
+    found = graph.shortest_paths(t.edges().where("predicate = 'allied_with'"), pairs, 3, None)
+    return found.select("pair_id", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edge_ids"))
+
+
 @query("g7_hydrate_edges", oracle("""
 SELECT s.edge_id, count(*) AS claim_count, count(DISTINCT s.record_id) AS record_count, coalesce(max(r.cor), 0) AS corroboration_count, coalesce(max(r.con), 0) AS contradiction_count
 FROM seen s LEFT JOIN (SELECT edge_id, count(*) FILTER (WHERE relation = 'corroborates') AS cor, count(*) FILTER (WHERE relation = 'contradicts') AS con FROM
@@ -235,15 +307,14 @@ FROM seen s LEFT JOIN (SELECT edge_id, count(*) FILTER (WHERE relation = 'corrob
  ON r.edge_id = s.edge_id GROUP BY s.edge_id
 """, seen="SELECT l.edge_id, l.claim_id, l.record_id FROM links l WHERE l.claim_id IN (SELECT claim_id FROM readable)"))
 def g7(t: Inputs):
-    visible = graph.visible_edges(t.links(), t.readable())
-    return graph.hydrate_edges(visible, t.links(), t.readable(), t.relation).select("edge_id", "claim_count", "record_count", "corroboration_count", "contradiction_count")
+    return pj.visible_projection(t.resolved(), t.readable(), t.relation).select("edge_id", "claim_count", "record_count", "corroboration_count", "contradiction_count")
 
 
 @query("g7_hydrate_nodes", oracle("""
 SELECT entity_id, label, entity_type FROM fx_entity WHERE entity_id IN (SELECT subject_id FROM visible) OR entity_id IN (SELECT object_id FROM visible) OR entity_id IN (SELECT entity_id FROM nation_firsts)
 """, visible="SELECT subject_id, object_id FROM links WHERE claim_id IN (SELECT claim_id FROM readable)"))
 def g7_nodes(t: Inputs):
-    return graph.hydrate_nodes(graph.visible_edges(t.links(), t.readable()), t.entity, t.nation_firsts())
+    return graph.hydrate_nodes(pj.visible_edge_rows(t.resolved(), t.readable()), t.entity, t.nation_firsts())
 
 
 SHOWN = ["edge_id", "source", "target", "relation", "layer", "confidence", "weight", "start_date", "end_date"]
@@ -530,39 +601,51 @@ def a6(t: Inputs):
 
 AUDIT_JSON = """concat('{"action":"', event_type, '","actor":"', CAST(user_id AS VARCHAR), '","at":"', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","case_id":null,"decision":"allow","detail":', replace(props, ': ', ':'),
  ',"id":', CAST(event_id AS VARCHAR), ',"purpose":null,"resource_id":null,"resource_type":"event","session_id":null}')"""
-AUDIT = f"""SELECT id, content, CASE WHEN id % 1499 = 1498 THEN md5(content) ELSE content END AS entry_hash, CASE WHEN id % 997 = 996 THEN md5(content) ELSE before END AS prev_hash, before FROM
- (SELECT event_id AS id, sha256({AUDIT_JSON}) AS content, coalesce(lag(CASE WHEN event_id % 1499 = 1498 THEN md5(sha256({AUDIT_JSON})) ELSE sha256({AUDIT_JSON}) END) OVER (ORDER BY event_id), repeat('0', 64)) AS before FROM events)"""
+AUDIT_SEGMENT = 32  # rows after which the planted chain starts anew, so that both engines can fold it
+AUDIT = f"""SELECT id, prev_hash, CASE WHEN id % 1499 = 1498 THEN md5(chained) ELSE chained END AS entry_hash, chained FROM (
+ SELECT id, CASE WHEN spot = 1 THEN start ELSE list_reduce(list_concat([start], jsons[1:spot - 1]), lambda a, b: sha256(concat(a, b))) END AS prev_hash,
+  list_reduce(list_concat([start], jsons[1:spot]), lambda a, b: sha256(concat(a, b))) AS chained FROM (
+  SELECT id, CASE WHEN seg = 0 THEN repeat('0', 64) ELSE sha256(CAST(seg AS VARCHAR)) END AS start, list(json) OVER (PARTITION BY seg ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS jsons,
+   row_number() OVER (PARTITION BY seg ORDER BY id) AS spot FROM (SELECT event_id AS id, CAST(floor(event_id / {AUDIT_SEGMENT}) AS BIGINT) AS seg, {AUDIT_JSON} AS json FROM events)))"""
 AUDIT_FAILS = """SELECT id, step, CASE WHEN prev_hash <> before THEN 'previous hash does not match the verified chain head' ELSE 'entry hash does not match canonical event data' END AS reason
- FROM (SELECT *, row_number() OVER (ORDER BY id) AS step FROM audit) WHERE prev_hash <> before OR entry_hash <> content"""
+ FROM (SELECT *, row_number() OVER (ORDER BY id) AS step, coalesce(lag(entry_hash) OVER (ORDER BY id), repeat('0', 64)) AS before FROM audit) WHERE prev_hash <> before OR entry_hash <> chained"""
 
 
 def audit_log(t: Inputs):
-    """Events as an audit log whose entries hash their own canonical form, with planted faults."""
-    from ..operators.windows import ordered_steps
-
-    e = t.raw("events").select(
-        F.col("event_id").alias("id"),
-        F.sha2(
-            canonical.canonical_event(
-                id=F.col("event_id"), at=F.col("ts").cast("timestamp"), actor=F.col("user_id").cast("string"), action=F.col("event_type"), resource_type=F.lit("event"), decision=F.lit("allow"), detail=F.col("props")
-            ), 256,
-        ).alias("content"),
-    ).withColumn("entry_hash", F.when(F.col("id") % 1499 == 1498, F.md5("content")).otherwise(F.col("content")))
-    linked = ordered_steps(e, [], "id", {"entry": "entry_hash"})
-    before = F.coalesce("prev_entry", F.lit(access.GENESIS_HASH))
-    return linked.select("id", "content", "entry_hash", F.when(F.col("id") % 997 == 996, F.md5("content")).otherwise(before).alias("prev_hash"))
+    """Events as an audit log (id, event_json, prev_hash, entry_hash) under the real chain rule, with planted faults.
+
+    The chain starts anew every AUDIT_SEGMENT rows, which is one kind of fault; every 1499th entry is overwritten.
+    """
+
+    def build():
+        event = canonical.canonical_event(
+            id=F.col("event_id"), at=F.col("ts").cast("timestamp"), actor=F.col("user_id").cast("string"), action=F.col("event_type"), resource_type=F.lit("event"), decision=F.lit("allow"), detail=F.col("props")
+        )
+        e = t.raw("events").select(F.col("event_id").alias("id"), event.alias("event_json"), F.floor(F.col("event_id") / AUDIT_SEGMENT).alias("seg"))
+        segment = Window.partitionBy("seg").orderBy("id")
+        before = F.collect_list("event_json").over(segment.rowsBetween(Window.unboundedPreceding, -1))  # fewer than AUDIT_SEGMENT
+        start = F.when(F.col("seg") == 0, F.lit(access.GENESIS_HASH)).otherwise(F.sha2(F.col("seg").cast("string"), 256))
+        prev = F.aggregate(before, start, canonical.entry_hash)
+        chained = e.withColumn("prev_hash", prev).withColumn("entry_hash", canonical.entry_hash(F.col("prev_hash"), F.col("event_json")))
+        return chained.withColumn("entry_hash", F.when(F.col("id") % 1499 == 1498, F.md5("entry_hash")).otherwise(F.col("entry_hash"))).drop("seg")
+
+    return t.stored("audit", build)
+
+
+def audit_expected():
+    return canonical.entry_hash(F.col("prev_hash"), F.col("event_json"))
 
 
 @query("a7_audit_failures", oracle("SELECT id, step, reason FROM fails", audit=AUDIT, fails=AUDIT_FAILS))
 def a7_failures(t: Inputs):
-    return access.audit_failures(audit_log(t), F.col("content"))
+    return access.audit_failures(audit_log(t), audit_expected())
 
 
 @query("a7_audit_verify", oracle("""
 SELECT count(*) = 0 AS ok, coalesce(min(step) - 1, (SELECT count(*) FROM events)) AS checked, min(id) AS failed_id, arg_min(reason, id) AS reason FROM fails
 """, audit=AUDIT, fails=AUDIT_FAILS))
 def a7(t: Inputs):
-    return access.audit_verify(audit_log(t), F.col("content"))
+    return access.audit_verify(audit_log(t), audit_expected())
 
 
 @query("a8_audit_query", oracle("""

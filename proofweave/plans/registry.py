@@ -67,7 +67,7 @@ class Inputs(Tables):
         return self.stored("links", lambda: pj.edge_claims(self.resolved()))
 
     def edges(self) -> DataFrame:
-        return self.stored("edges", lambda: self.links().select(*graph.EDGE).distinct())
+        return self.stored("edges", lambda: pj.edge_rows(self.resolved()))
 
     def readable(self, clearance: int = 1) -> DataFrame:
         return access.readable_by(self.claim, clearance)

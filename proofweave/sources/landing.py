@@ -125,6 +125,13 @@ def load_extractions(cached: DataFrame, ascii_only: bool = False) -> tuple[DataF
     return nodes, edges
 
 
+def extraction_errors(cached: DataFrame) -> DataFrame:
+    """(record_id, error) of cached bodies that give neither nodes nor edges because they are no JSON object."""
+    parsed = F.from_json("body", EXTRACTION_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    broken = F.col("body").isNull() | F.col("r").isNull() | F.col("r._bad").isNotNull()
+    return cached.withColumn("r", parsed).where(broken).select("record_id", F.when(F.col("body").isNull(), "no body").otherwise("malformed body").alias("error"))
+
+
 def content_integrity(objects: DataFrame) -> DataFrame:
     """Stored objects whose bytes no longer hash to their key: ``objects(content_hash, content)``."""
     actual = F.sha2(F.col("content").cast("binary"), 256)

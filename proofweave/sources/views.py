@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark")
@@ -88,7 +90,7 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         """Run ``text`` with the driver tables it names bound as views."""
         for table in TABLES:
-            if table in text:
+            if re.search(rf"\b{table}\b", text):
                 self.raw(table).createOrReplaceTempView(table)
         return self.spark.sql(text)
 

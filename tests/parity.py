@@ -13,6 +13,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: queries that SQL cannot state, each held against a brute-force version in the tests named
+WITHOUT_TWIN = {
+    "n1_text_keys": "test_resolution.py", "i6_batch_confirm": "test_identity.py", "p10_detect_cells": "test_graph.py", "g4_expand_three_hops": "test_graph.py",
+}
+
+
 def cell(v):
     if v is None:
         return None
@@ -49,7 +55,7 @@ def compare(spark, con, folder, name, queries, oracles):
     df = queries[name](spark, folder)
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if name not in oracles:
-        return True, f"{len(got)} rows, no twin"
+        return name in WITHOUT_TWIN, f"{len(got)} rows, no twin"
     cur = con.execute(oracles[name])
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_cols != want_cols:

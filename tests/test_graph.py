@@ -123,6 +123,43 @@ def test_weighted_trails(spark):
     assert [(list(r["edge_ids"]), r["path_confidence"], list(r["nodes"])) for r in got] == want
 
 
+def test_communities_are_connected_and_no_worse_than_label_propagation(spark):
+    rnd = random.Random(8)
+    group = {k: k // 12 for k in range(60)}
+    rows = [(f"n{a:02d}", f"n{b:02d}", "X", 1.0) for a in range(60) for b in range(a) if rnd.random() < (0.5 if group[a] == group[b] else 0.03)]
+    nodes = spark.createDataFrame([(f"n{k:02d}",) for k in range(60)], "node_id string")
+    edges = spark.createDataFrame(rows, "source string, target string, layer string, weight double")
+    got = {r["node_id"]: r["cluster_id"] for r in communities.detect_communities(nodes, edges).collect()}
+    near = {}
+    for a, b, _, _ in rows:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+
+    def modularity(at):
+        spread = {}
+        for n in near:
+            spread[at[n]] = spread.get(at[n], 0) + len(near[n])
+        return sum(at[a] == at[b] for a, b, _, _ in rows) / len(rows) - sum((k / (2 * len(rows))) ** 2 for k in spread.values())
+
+    label = {n: n for n in near}
+    for _ in range(20):
+        for n in sorted(near):
+            counts = {}
+            for m in near[n]:
+                counts[label[m]] = counts.get(label[m], 0) + 1
+            label[n] = max(sorted(counts), key=counts.get)
+    assert len(got) == 60 and modularity(got) >= modularity(label) - 1e-9 and modularity(got) > 0.4
+    for c in set(got.values()):
+        members = {n for n in got if got[n] == c}
+        seen, todo = set(), [min(members)]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [m for m in near.get(n, []) if m in members]
+        assert seen == members
+
+
 def test_communities_of_two_cliques(spark):
     rows = []
     for group in ("a", "b"):

@@ -32,7 +32,7 @@ def test_stream_equals_batch_over_several_files(spark):
     intake.stream_landing(stream(), table, mark, 20).awaitTermination()
     arrivals(spark).where("arrival > 2").coalesce(1).write.mode("append").parquet(source)
     intake.stream_landing(stream(), table, mark, 20).awaitTermination()
-    got, want = spark.read.parquet(table).drop("batch_id"), landing.land_records(arrivals(spark), 20)
+    got, want = spark.read.parquet(table).drop("batch_id", "bucket"), landing.land_records(arrivals(spark), 20)
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
 
 
@@ -45,6 +45,22 @@ def test_suggestions_queue_once(spark):
     assert sorted(r["idempotency_key"] for r in spark.read.parquet(table).collect()) == ["k1", "k2", "k3"]
 
 
+def test_a_new_key_may_arrive_late(spark):
+    source, table, mark = (scratch_path(spark, x) for x in ("in", "out", "mark"))
+    schema = "idempotency_key string, ts timestamp"
+    for batch in ([("k1", "2024-01-02 20:00:00")], [("k2", "2024-01-02 21:00:00")], [("late", "2024-01-02 02:00:00"), ("k1", "2024-01-02 20:00:00")]):
+        rows = spark.createDataFrame(batch, "idempotency_key string, t string").select("idempotency_key", F.col("t").cast("timestamp").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(source)
+        intake.stream_suggestions(spark.readStream.schema(schema).parquet(source), table, mark).awaitTermination()
+    assert sorted(r["idempotency_key"] for r in spark.read.parquet(table).collect()) == ["k1", "k2", "late"]
+
+
+def test_malformed_extractions_are_reported(spark):
+    bodies = [("a", '{"nodes": [{"name": "x"}]}'), ("b", '{"nodes": ['), ("c", None), ("d", "no json"), ("e", "{}")]
+    got = landing.extraction_errors(spark.createDataFrame(bodies, "record_id string, body string"))
+    assert {(r["record_id"], r["error"]) for r in got.collect()} == {("b", "malformed body"), ("c", "no body"), ("d", "malformed body")}
+
+
 def test_text_with_bad_bytes(spark):
     df = spark.createDataFrame([("1", "a.txt", None, bytearray(b"ok \xff!")), ("2", "b.bin", None, bytearray(b"x")), ("3", "c.TXT", None, bytearray(b"  "))], "record_id string, filename string, media_type string, content binary")
     got = {r["record_id"]: (r["outcome"], r["text"]) for r in landing.text_records(df).collect()}

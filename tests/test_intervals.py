@@ -28,6 +28,13 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+def test_last_day_is_open_and_reversed_windows_are_reported(spark):
+    rows = [("g", "a", D(2020, 1, 1), D(9999, 12, 31)), ("g", "b", D(2020, 1, 1), None), ("g", "c", D(2020, 1, 2), D(2020, 1, 1)), ("g", "d", D(9999, 12, 31), None)]
+    df = spark.createDataFrame(rows, "g string, claim_id string, valid_from date, valid_to date")
+    assert {r["claim_id"]: r["hi"] for r in iv.half_open(df).collect()} == {"a": D(9999, 12, 31), "b": D(9999, 12, 31)}
+    assert {r["claim_id"]: r["error"] for r in iv.unrepresentable(df).collect()} == {"c": "valid_to before valid_from", "d": "valid_from beyond the date range"}
+
+
 def segments(spark, rows):
     df = spark.createDataFrame(rows, "g string, claim_id string, valid_from date, valid_to date")
     r = iv.half_open(df)
@@ -72,5 +79,5 @@ def test_random_groups(spark):
 
 def test_out_of_range_is_reported(spark):
     df = spark.createDataFrame([("a", "1", None, D(9999, 12, 31)), ("a", "2", D(2020, 2, 1), D(2020, 1, 1))], "g string, claim_id string, valid_from date, valid_to date")
-    assert iv.half_open(df).count() == 0
-    assert {r["error"] for r in iv.unrepresentable(df).collect()} == {"valid_to beyond the date range", "valid_to before valid_from"}
+    assert [r["claim_id"] for r in iv.half_open(df).collect()] == ["1"]
+    assert [(r["claim_id"], r["error"]) for r in iv.unrepresentable(df).collect()] == [("2", "valid_to before valid_from")]

@@ -80,21 +80,28 @@ def test_jaro_winkler_against_the_checking_engine():
         assert v == pytest.approx(con.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchall()[0][0], abs=1e-9)
 
 
+def keys_of(spark, *texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "raw_text string")
+    return {r.raw_text: r for r in rows.withColumn("k", names.name_keys(F.col("raw_text"))).select("raw_text", "k.*").collect()}
+
+
 @pytest.mark.parametrize("text,key", [("Kasun WIJERATNE", "kasun_wijeratne"), ("José  Núñez", "jose_nunez"), ("පෙරේරා", "පෙරේරා"), ("a--b", "a_b")])
-def test_norm_keys(text, key):
+def test_norm_keys(spark, text, key):
     import unicodedata
 
-    assert names.norm_key(text) == unicodedata.normalize("NFKD", key)
+    assert keys_of(spark, text)[text].norm_key == unicodedata.normalize("NFKD", key)
 
 
-def test_keys_without_letters_stay_apart():
-    assert names.norm_key("!!!") != names.norm_key("???") and names.norm_key("!!!").startswith("u_")
+def test_keys_without_letters_stay_apart(spark):
+    keys = keys_of(spark, "!!!", "???", None, "")
+    assert keys["!!!"].norm_key != keys["???"].norm_key and keys["!!!"].norm_key.startswith("u_") and keys["!!!"].latin_key == ""
 
 
-def test_cross_script_keys():
-    assert names.phonetic_key("නිමල් පෙරේරා") == names.phonetic_key("Nimal Perera") == "NML PRR"
-    assert names.detect_script("නිමල්") == "Sinh" and names.detect_script("Nimal") == "Latn" and names.detect_script("123") is None
-    assert names.latin_key("நிமல்") == "niml"
+def test_cross_script_keys(spark):
+    keys = keys_of(spark, "නිමල් පෙරේරා", "Nimal Perera", "නිමල්", "123", "நிமல்", "ab නිමල්")
+    assert keys["නිමල් පෙරේරා"].phonetic_key == keys["Nimal Perera"].phonetic_key == "NML PRR"
+    assert [keys[k].script for k in ("නිමල්", "Nimal Perera", "123", "ab නිමල්")] == ["Sinh", "Latn", None, "Sinh"]
+    assert keys["நிமல்"].latin_key == "niml"
 
 
 def test_identifier_rules(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proofweave.operators import search
-from proofweave.operators.windows import ordered_steps, pairs_within
+from proofweave.operators.windows import order_bucket, ordered_steps, pairs_within
 
 
 def test_ordered_steps_on_a_hot_key(spark):
@@ -22,6 +22,18 @@ def test_ordered_steps_without_keys(spark):
     assert [r["prev_o"] for r in got][1:] == [r["o"] for r in got][:-1] and got[-1]["next_o"] is None
 
 
+def test_ordered_steps_with_ties_and_text_order(spark):
+    ties = spark.range(600).select(F.lit(1).alias("o"), F.col("id").cast("string").alias("v"))
+    got = ordered_steps(ties, [], "o", {"v": "v"}, tie="v", splits=8).orderBy("v").collect()
+    assert [r["step"] for r in got] == list(range(1, 601)) and [r["prev_v"] for r in got][1:] == [r["v"] for r in got][:-1]
+    assert order_bucket(ties, ["o", "v"], 8) is not None
+    assert ties.select(order_bucket(ties, ["o", "v"], 8).alias("b")).distinct().count() > 4
+    text = spark.range(300).select(F.concat(F.lit("t"), F.col("id") % 97).alias("o"), F.col("id").alias("v"))
+    got = ordered_steps(text, [], "o", {}, tie="v", splits=8).orderBy("o", "v").collect()
+    assert [r["step"] for r in got] == list(range(1, 301))
+    assert ordered_steps(text.limit(0), [], "o", {}, tie="v").count() == 0
+
+
 def test_pairs_of_a_hot_group(spark):
     rows = [("hot", i) for i in range(90)] + [("cold", i) for i in range(200, 210)] + [("one", 500)]
     df = spark.createDataFrame(rows, "k string, i int")
