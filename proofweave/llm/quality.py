@@ -74,10 +74,9 @@ def passages(column) -> tuple[np.ndarray, np.ndarray]:
     total = np.bincount(word, minlength=n)
     mixed = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(31)
-    spot = np.arange(len(data)) - (np.repeat(begin, np.diff([*begin, len(data)])) if len(begin) and begin[0] == 0 else np.zeros(len(data), int)) if len(begin) else np.zeros(0, int)
-    if len(begin) and begin[0] != 0:
-        lead = np.concatenate((np.zeros(begin[0], int), np.repeat(begin, np.diff([*begin, len(data)]))))
-        spot = np.arange(len(data)) - lead
+    lead = np.zeros(len(data), np.int64)
+    lead[begin] = begin
+    spot = np.arange(len(data)) - np.maximum.accumulate(lead)  # place in the word
     mixed *= (spot.astype(np.uint64) * np.uint64(2) + np.uint64(1))
     mixed[blank] = 0
     code = np.add.reduceat(mixed, begin) if len(begin) else mixed[:0]
