@@ -18,7 +18,7 @@ HEADLINE = [
     "p1_resolve_claims", "p2_segment_intervals", "p5_edge_projection", "p7_edge_summary", "p9_graph_edges",
     "g1_visible_edges", "g4_expand", "g6_shortest_paths", "g7_hydrate_edges", "q1_snapshot_as_of", "q5_weighted_paths",
     "v2_entity_claims", "r2_search_labels", "a1_readable_claims", "a7_audit_verify", "a9_custody_check", "l2_candidate_inbox",
-    "p10_detect_cells", "i6_batch_confirm", "e6_compare_pairs", "e9_evaluate_er", "r5_search_entities", "t1_stream_landing", "g4_allied_three_hops", "g6_allied_paths",
+    "e6_compare_pairs", "e9_evaluate_er", "r5_search_entities", "t1_stream_landing", "g4_allied_three_hops", "g6_allied_paths",
 ]
 
 
