@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from ..session import scratch_path as scratch
 
-__all__ = ["cut", "scratch", "table", "bounded_batches", "fold", "packed_blocks", "unpacked", "shrunk", "grown", "texts_of"]
+__all__ = ["cut", "scratch", "table", "bounded_batches", "settle", "small_slices", "fold", "packed_blocks", "unpacked", "shrunk", "grown", "texts_of"]
 
 #: Bytes of one Arrow batch and of one block of documents; both bound what a Python worker holds at a time.
 BATCH_BYTES = 8 << 20
@@ -34,6 +34,27 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def settle() -> None:
+    """Gives freed memory back at the end of a task or block; a reused worker otherwise keeps the peak of every step it ran."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def small_slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20):
+    """Parts of a batch with about ``size`` bytes of the text column, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; null keys fall into no fold."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

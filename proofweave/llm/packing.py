@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, texts_of
+from .common import bounded_batches, settle, texts_of
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -109,5 +109,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
             yield out(bins.take())
         bins.finish()
         yield out(bins.take())
+        settle()
 
     return docs.select("doc_id", "text").mapInArrow(run, ddl)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, cut, grown, packed_blocks, shrunk, texts_of, unpacked
+from .common import BLOCK_BYTES, cut, grown, packed_blocks, settle, shrunk, texts_of, unpacked
 
 ORDER = 5
 BITS = 9
@@ -225,6 +225,7 @@ def _score(docs: pa.Table, told: pa.Table, end_count: int, types: list) -> pa.Ta
             logs.append(math.fsum(map(value.__getitem__, words)) + math.log10(end_count + 1))
             tokens.append(len(words) + 1)
             known.append(len(words) - sum(map(fresh.__contains__, words)) + (end_count > 0))
+    settle()
     columns = [docs["doc_id"].combine_chunks(), pa.array(~docs["trains"].to_numpy(zero_copy_only=False).astype(bool)), tokens, known, logs, score]
     return pa.table({n: pa.array(c, t) if not isinstance(c, pa.Array) else c for n, c, t in zip(names, columns, types, strict=True)})
 

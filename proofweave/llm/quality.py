@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold
+from .common import bounded_batches, fold, settle, small_slices
 
 PASSAGE = 512
 SAMPLE = 4000
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passa
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_slices(whole, 0)):
             x, per_doc = passages(batch.column(0))
             at = np.concatenate(([0], np.cumsum(per_doc)))
             bags = []
@@ -198,7 +198,8 @@ def with_scores(docs: DataFrame, model: Attention, column: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            scores = model.score(*passages(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column])
+            scores = [model.score(*passages(part.column(at))) for part in small_slices(batch, at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*scores, np.zeros(0)]), pa.float64())], names=[*batch.schema.names, column])
+        settle()
 
     return docs.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, texts_of
+from .common import bounded_batches, cut, settle, texts_of
 from .tokens import encoder
 
 SCALE = 20
@@ -189,6 +189,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabula
                 [pa.array([part] * len(coded), pa.int32()), batch.column(0), pa.array(starts), pa.array(sizes), pa.array([np.frombuffer(c, np.uint32).astype(narrow).tobytes() for c in coded], pa.binary())],
                 names=["part", "doc_id", "start", "n", "ids"],
             )
+        settle()
 
     narrow = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     tokens = cut(ordered.mapInArrow(ids_of, "part int, doc_id long, start long, n long, ids binary"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, texts_of
+from .common import bounded_batches, fold, settle, texts_of
 
 SAMPLE = 20_000
 SAMPLE_TEXTS = 20_000
@@ -235,6 +235,7 @@ def redact(docs: DataFrame, forest: Forest | None, path: str | None = "source",
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        settle()
 
     clean = docs.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, texts_of
+from .common import bounded_batches, cut, settle, texts_of
 
 RADIUS = 3
 SHINGLE = 3
@@ -180,6 +180,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, t
         for batch in batches:
             prints = pa.array([fingerprint(t, shingle) for t in texts_of(batch.column(at))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*names, "simhash_fp"])
+        settle()
 
     marked = cut(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("simhash_fp", LongType())])))
     prints = marked.select("doc_id", F.col("simhash_fp").alias("fp"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, cut, grown, packed_blocks, shrunk, texts_of, unpacked
+from .common import BLOCK_BYTES, cut, grown, packed_blocks, settle, shrunk, texts_of, unpacked
 
 LENGTH = 50
 GRAM = 16
@@ -116,17 +116,6 @@ def _bounds(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((values * np.uint64(parts)) >> np.uint64(HASH_BITS), np.arange(parts + 1))
 
 
-def _settle() -> None:
-    """Gives freed memory back between blocks; a worker otherwise keeps the peak of every step it ran."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def _ids(column) -> np.ndarray:
     return np.array([_NONE if v is None else v for v in column.to_pylist()], np.int64)
 
@@ -163,7 +152,7 @@ def _shared(group: pa.Table) -> pa.Table:
     shared[at[np.concatenate(several)]] = True
     cuts = np.cumsum([len(s) for s in sent])[:-1]
     rows = [(b, SHARED, part, None, np.packbits(m).tobytes(), None) for b, m in zip(group["block"].to_pylist(), np.split(shared[at], cuts), strict=True) if m.any()]
-    _settle()
+    settle()
     return _messages(rows)
 
 
@@ -229,7 +218,7 @@ def _stretch(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
     rank[order] = np.arange(len(order))
     spot = np.array(places, np.int64).T
     rows.append((block, PLACES, -1, shrunk(np.diff(spot[0], prepend=0).astype(np.int32).tobytes()), shrunk(spot[1].astype(np.int32).tobytes()), shrunk(rank[spot[2]].astype(np.int32).tobytes())))
-    _settle()
+    settle()
     return _messages(rows)
 
 
@@ -407,7 +396,7 @@ def _oldest(group: pa.Table) -> pa.Table:
     for b, own in zip(group["block"].to_pylist(), asked, strict=True):
         joined, sizes = _pack([answer[k] for k in own])
         rows.append((b, OLDEST, part, None, joined, sizes))
-    _settle()
+    settle()
     return _messages(rows)
 
 
@@ -444,7 +433,7 @@ def _removed(docs: pa.Table, told: pa.Table, key_type) -> pa.Table:
         edges = [0, *(x for m in merged for x in m), len(raw[t])]
         kept[t] = b"".join(raw[t][a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
     columns = [docs["doc_id"].combine_chunks(), [len(r) for r in raw], removed, count, kept]
-    _settle()
+    settle()
     return pa.table({n: pa.array(c, t) if isinstance(c, list) else c for n, c, t in zip(names, columns, types, strict=True)})
 
 

@@ -37,7 +37,7 @@ class PieceEncoder:
     pieces each; it only saves time.
     """
 
-    def __init__(self, path: str, spaced: bool, memo: int = 300_000):
+    def __init__(self, path: str, spaced: bool, memo: int = 200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
