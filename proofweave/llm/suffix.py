@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, cut, grown, packed_blocks, settle, shrunk, texts_of, unpacked
+from .common import cut, grown, packed_blocks, settle, shrunk, texts_of, unpacked
 
 LENGTH = 50
 GRAM = 16
 _CHUNK = 1 << 20
 SORT_BYTES = 1 << 20
+BLOCK_BYTES = 6 << 20
 RUN_WINDOWS = 2 * (LENGTH - GRAM + 1)
 _MESSAGE = "block long, kind int, part int, keys binary, extra binary, sizes binary"
 MINIMA, SHARED, STRETCH, OLDEST, PLACES = range(5)
@@ -458,7 +459,8 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, with_bytes:
 
     asked = blocks.mapInArrow(minima, _MESSAGE)
     shared = cut(asked.groupBy("part").applyInArrow(_shared, _MESSAGE))
-    runs = cut(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda d, m: _stretch(d, m, parts), _MESSAGE))
+    # not written out: strings and places are worked out once each, which costs less than moving the strings twice
+    runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda d, m: _stretch(d, m, parts), _MESSAGE)
     told = runs.where(F.col("kind") == STRETCH).groupBy("part").applyInArrow(_oldest, _MESSAGE)
     messages = runs.where(F.col("kind") == PLACES).union(told)
     kind = to_arrow_type(key)
