@@ -8,10 +8,10 @@ comes from the texts of the same findings. Trees are plain arrays, so a scan app
 ``label_by_form`` labels findings where no reviewed ones are at hand: issuer-prefixed keys and long hexadecimal values
 assigned to a secret-like name are secrets, everything else is not.
 
-At most ``sample`` findings (those with the smallest hashes), taken from about ``sample_texts`` documents (an even share of
-all by the hash of the id), train the forest; every text is scanned as a whole. Null and empty texts hold no candidate. A null path is an empty path. With findings of one label only, every
-candidate gets that label; without findings, ``label_by_form`` decides. Repeated rows are scanned as often as they occur.
-Empty table: no rows.
+At most ``sample`` findings (half of each label, those with the smallest hashes) of all documents outside the held-out fold
+train the forest; every text is scanned as a whole. Null and empty texts hold no candidate. A null path is an empty path.
+With findings of one label only, every candidate gets that label; without findings, ``train`` gives None and
+``label_by_form`` decides. Repeated rows are scanned as often as they occur. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, settle, texts_of
+from .common import bounded_batches, cut, fold, settle, texts_of
 
 SAMPLE = 20_000
-SAMPLE_TEXTS = 20_000
 CONTEXT = 32
 TREES, DEPTH, BINS = 24, 9, 24
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
@@ -161,27 +160,28 @@ def _paths(docs: DataFrame, path: str | None):
     return F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
 
 
-def labelled_findings(docs: DataFrame, path: str | None = "source", sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """found, before, after, path, label by ``label_by_form`` for a bounded set of documents outside the held-out fold."""
+def labelled_findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
+    """found, before, after, path, label by ``label_by_form`` for all documents outside the held-out fold."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", _paths(docs, path).alias("path")).where(fold(F.col("doc_id"), 3) != 1)
-    share = max(1, docs.count() // sample_texts)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("findings")), F.lit(share)) == 0)
 
     def run(batches):
         for batch in batches:
             out = [(f, b, a, p or "", label_by_form(f, b)) for t, p in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True) for _, f, b, a in candidates(t)]
             yield pa.RecordBatch.from_pydict({n: pa.array([o[k] for o in out], pa.int32() if n == "label" else pa.string()) for k, n in enumerate(("found", "before", "after", "path", "label"))})
 
-    return picked.select("text", "path").mapInArrow(run, "found string, before string, after string, path string, label int")
+    return rows.select("text", "path").mapInArrow(run, "found string, before string, after string, path string, label int")
 
 
-def train(findings: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Forest from labelled findings (found, before, after, path, label); at most ``sample`` of each label."""
+def train(findings: DataFrame, sample: int = SAMPLE) -> Forest | None:
+    """Forest from labelled findings (found, before, after, path, label), at most ``sample // 2`` of each label; None without any."""
     columns = ["found", "before", "after", "path", "label"]
-    known = findings.where("label is not null and found <> ''").select(*columns, F.xxhash64(*columns).alias("k"))
+    # written out: both labels come from one pass over the texts
+    known = cut(findings.where("label is not null and found <> ''").select(*columns, F.xxhash64(*columns).alias("k")))
     parts = [known.where(F.col("label") == v).orderBy("k", "found").limit(sample // 2) for v in (0, 1)]
     rows = parts[0].union(parts[1]).orderBy("k", "found", "before").collect()
+    if not rows:
+        return None
     forest = Forest()
     counts = Counter(w for r in rows for w in re.findall(r"[a-z]{3,12}", f"{r.before} {r.after}".lower()))
     forest.words = frozenset(w for w, n in counts.items() if n >= 3)
