@@ -1,12 +1,16 @@
 """Secret scan: wide candidate patterns, then a random forest that removes the false positives.
 
-A candidate is a run of at least 12 key characters, or any run of at least 6 visible characters assigned with ``=`` or
-``:``. The forest sees its length, character kinds and transitions, entropy, how much of it dictionary words cover, the
-path it was found under and the words around it. It is trained from labelled findings (candidate, label); the dictionary
-comes from the texts of the same findings. Trees are plain arrays, so a scan applies them to a whole batch of candidates.
-
-``label_by_form`` labels findings where no reviewed ones are at hand: issuer-prefixed keys and long hexadecimal values
-assigned to a secret-like name are secrets, everything else is not.
+A candidate is a key in the form of an issuer (web tokens and private key blocks are such forms), any run of at least 6
+visible characters assigned with ``=`` or ``:``, with or without blanks around the sign, or a run of at least 12 key
+characters. A quoted value under a secret-like name is read to its closing quote, whatever it holds; other values end at
+white space, a quote or a separator before the next assignment, less closing punctuation. The forest sees its length,
+character kinds and transitions, entropy, how much of it dictionary words cover, the path it was found under and the words
+around it. It is trained from labelled findings (candidate, label); the dictionary comes from the texts of the same findings.
+Trees are plain arrays, so a scan applies them to a whole batch of candidates.
+
+``label_by_form`` labels findings where no reviewed ones are at hand: issuer-prefixed keys and values with digits assigned
+to a secret-like name are secrets, words and numbers without such a name are not. All other forms are unknown: nothing is
+learnt from them, and the forest decides; without a forest they are not masked.
 
 At most ``sample`` findings (half of each label, those with the smallest hashes) of all documents outside the held-out fold
 train the forest; every text is scanned as a whole. Null and empty texts hold no candidate. A null path is an empty path.
@@ -32,27 +36,54 @@ SAMPLE = 20_000
 CONTEXT = 32
 TREES, DEPTH, BINS = 24, 9, 24
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
-ASSIGNED = re.compile(r"""[=:](?: ?["'])?(?!//)([^\s"'=:,;]{6,})""")
-_NAMED = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)\W{0,4}$")
-_ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}")
+ASSIGNED = re.compile(r"""[=:]>?[ \t]{0,4}(?:"((?:[^"\\\n]|\\.){6,})"|'((?:[^'\\\n]|\\.){6,})'|["']?(?!//)((?:(?![,;&?]["']?[\w.\-]+["']?\s?[=:])[^\s"']){6,}))""")
+_NAMED = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)\W{0,8}$")
+_ISSUED = re.compile(
+    r"AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}"
+    r"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
+    r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+)
+_INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{_ISSUED.pattern})(?![A-Za-z0-9])")
+_CLOSING = ",;:.)]}>"
+_PLAIN = re.compile(r"\d+|(?:[^\W\d_]?[a-z]{2,})+|[A-Z]+|[^\W\d_a-zA-Z]+|[^\W\d_]")
 _LETTERS = re.compile(r"[a-z]{3,}")
 HASHED = 12
 FEATURES = 18 + 2 * HASHED
 
 
 def candidates(text: str) -> list[tuple[int, str, str, str]]:
-    """(start, candidate, text before, text after) of each candidate, left to right."""
-    spans = [m.span(1) for m in ASSIGNED.finditer(text)]
+    """(start, candidate, text before, text after) of each candidate, left to right; candidates do not overlap."""
+    issued = [m.span() for m in _INSIDE.finditer(text)]
+    inside = {p for a, z in issued for p in range(a, z)}
+    spans, at = [], 0
+    while m := ASSIGNED.search(text, at):
+        a, z = m.span(m.lastindex)
+        at = z
+        named = _NAMED.search(text, max(0, m.start() - CONTEXT), m.start())
+        sentence = m.lastindex < 3 and not named and any(c.isspace() for c in text[a:z])
+        if sentence:  # its first word is assigned
+            at = z = a + next(k for k, c in enumerate(text[a:z]) if c.isspace())
+        if sentence or m.lastindex == 3:
+            while z > a and text[z - 1] in _CLOSING:
+                z -= 1
+        # an issued key within a longer value without a name stands for itself
+        if z - a >= 6 and (named or inside.isdisjoint(range(a, z))):
+            spans.append((a, z))
     taken = {p for a, z in spans for p in range(a, z)}
+    spans += (keys := [s for s in issued if taken.isdisjoint(range(*s))])
+    taken |= {p for a, z in keys for p in range(a, z)}
     spans += [m.span() for m in RUN.finditer(text) if taken.isdisjoint(range(*m.span()))]
     return [(a, text[a:z], text[max(0, a - CONTEXT) : a], text[z : z + CONTEXT]) for a, z in sorted(spans)]
 
 
-def label_by_form(found: str, before: str) -> int:
+def label_by_form(found: str, before: str) -> int | None:
+    """1 for a secret, 0 for words and numbers, None for an unknown form."""
     if _ISSUED.fullmatch(found):
         return 1
     digits = sum(c.isdigit() for c in found)
-    return int(bool(_NAMED.search(before)) and digits >= 3 and digits < len(found))
+    if _NAMED.search(before):
+        return 1 if 3 <= digits < len(found) else None
+    return 0 if all(_PLAIN.fullmatch(part) for part in re.split(r"[\W_]+", found) if part) else None
 
 
 def coverage(found: str, words: frozenset[str]) -> float:
@@ -161,7 +192,7 @@ def _paths(docs: DataFrame, path: str | None):
 
 
 def labelled_findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """found, before, after, path, label by ``label_by_form`` for all documents outside the held-out fold."""
+    """found, before, after, path, label by ``label_by_form`` (null if unknown) for all documents outside the held-out fold."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", _paths(docs, path).alias("path")).where(fold(F.col("doc_id"), 3) != 1)
 
@@ -193,7 +224,7 @@ def judged(texts: list[str], paths: list[str], forest: Forest | None) -> list[li
     """(start, candidate, score) of all candidates of each text."""
     found = [candidates(t) for t in texts]
     if forest is None:
-        return [[(s, f, float(label_by_form(f, b))) for s, f, b, _ in c] for c in found]
+        return [[(s, f, float(label_by_form(f, b) or 0)) for s, f, b, _ in c] for c in found]
     x = [features(f, b, a, p, forest.words) for c, p in zip(found, paths, strict=True) for _, f, b, a in c]
     scores = iter(forest.score(np.array(x).reshape(-1, FEATURES)).tolist())
     return [[(s, f, next(scores)) for s, f, _, _ in c] for c in found]
