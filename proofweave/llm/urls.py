@@ -8,7 +8,9 @@ seed; a host is blocked when its distrust exceeds its trust by ``threshold`` or
 
 Links are the absolute and scheme-relative ``href`` hosts of anchors; links within a host do not count. A host's rank is
 split over its distinct targets by number of links; what reaches a host without links ends there. Everything is DataFrame
-operations; each round is one join and one aggregation over hosts, written out before the next.
+operations; each round is one join and one aggregation over hosts, written out before the next. Rounds go on until all rank
+that can still arrive anywhere is at most ``tolerance`` in sum, so the rank of no host is further than that from its limit.
+The SQL twin states a fixed number of rounds and agrees where rank comes to rest within them.
 
 Null urls and urls without ``://`` have an empty host and path: no rule fits, and the host '' has no links. Null html holds
 no links. Repeated pages count as often as they occur. Empty table: no rows.
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DAMPING = 0.85
+#: of the SQL twin only
 ROUNDS = 8
+TOLERANCE = 1e-4
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""<[aA]\s[^>]*[hH][rR][eE][fF]\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^"'\s<>/?#]+)"""
@@ -51,21 +55,23 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.where("source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, source: str, target: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) after ``rounds`` of personalised PageRank from seeds (host, seed), scaled by 1 / (1 - damping)."""
+def propagated(seeds: DataFrame, edges: DataFrame, source: str, target: str, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank) of personalised PageRank from seeds (host, seed), scaled by 1 / (1 - damping), within ``tolerance`` of its limit."""
     out = edges.groupBy(source).agg(F.sum("links").alias("all"))
     steps = cut(edges.join(out, source).select(F.col(source).alias("host"), F.col(target).alias("to"), (F.col("links") / F.col("all")).alias("w")))
     start = seeds.where("seed > 0").select("host", F.col("seed").alias("rank"))
-    rank = start
     if steps.isEmpty():
-        return rank
-    for _ in range(rounds):
-        moved = rank.join(steps, "host").select(F.col("to").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
-        rank = cut(start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
+        return start
+    # moving: what the last round brought to a host; later rounds bring at most its sum times damping / (1 - damping)
+    rank = start.withColumn("moving", F.col("rank"))
+    while (rank.agg(F.sum("moving")).first()[0] or 0.0) * damping / (1 - damping) > tolerance:
+        moved = rank.join(steps, "host").select(F.col("to").alias("host"), *((F.col(c) * F.col("w") * damping).alias(c) for c in ("rank", "moving")))
+        both = start.withColumn("moving", F.lit(0.0)).unionByName(moved)
+        rank = cut(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("moving").alias("moving")))
+    return rank.select("host", "rank")
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     host, path = host_and_path(F.col("url"))
     named = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
@@ -74,8 +80,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], rounds: int = RO
     share = lambda kind: F.avg((F.coalesce("said", F.lit("")) == kind).cast("double"))
     seeds = cut(named.groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")))
     edges = cut(host_links(named))
-    trust = propagated(seeds.select("host", F.col("allow").alias("seed")), edges, "source", "target", rounds, damping)
-    distrust = propagated(seeds.select("host", F.col("block").alias("seed")), edges, "target", "source", rounds, damping)
+    trust = propagated(seeds.select("host", F.col("allow").alias("seed")), edges, "source", "target", damping, tolerance)
+    distrust = propagated(seeds.select("host", F.col("block").alias("seed")), edges, "target", "source", damping, tolerance)
     net = distrust.select("host", "rank").unionByName(trust.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("net"))
     blocked = net.where(F.col("net") >= threshold).select("host", F.lit("block").alias("verdict"))
     kept = named.select("page_id", "host", "path", "rule", "said").join(blocked, "host", "left")
