@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, decontam, packing, ppm, quality, rans, secrets, simhash, suffix, topk, urls
+from . import common, conversations, decontam, packing, ppm, quality, rans, secrets, simhash, suffix, topk, urls
 
 #: rules of the registered URL query: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -65,6 +65,10 @@ def op10_string_tiling(spark, sf_dir):
     return found.select("doc_id", "item_id", "matched_words", "item_words", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+def op11_auction_repair(spark, sf_dir):
+    return conversations.repairs(conversations.damaged(common.table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_attention_quality, op2_harmonic_packing, op3_impact_topk, op4_ppm_scores, op5_rans_files, op6_simhash, op7_suffix_dedup, op8_secret_forest, op9_url_propagation, op10_string_tiling, pipeline)
+    for f in (op1_attention_quality, op2_harmonic_packing, op3_impact_topk, op4_ppm_scores, op5_rans_files, op6_simhash, op7_suffix_dedup, op8_secret_forest, op9_url_propagation, op10_string_tiling, op11_auction_repair, pipeline)
 }
 
 ORACLES = {
