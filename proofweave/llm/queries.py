@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, conversations, decontam, packing, passages, ppm, quality, rans, secrets, simhash, suffix, topk, urls
+from . import alignment, common, conversations, decontam, packing, passages, ppm, quality, rans, secrets, simhash, suffix, topk, urls
 
 #: rules of the registered URL query: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -69,6 +69,11 @@ def op11_auction_repair(spark, sf_dir):
     return conversations.repairs(conversations.damaged(common.table(spark, sf_dir, "conversations")))
 
 
+def op12_merge_path_alignment(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return alignment.aligned(docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"), with_groups=False)
+
+
 def op13_seed_extend_dedup(spark, sf_dir):
     return passages.without_repeats(common.table(spark, sf_dir, "documents"), with_text=False)
 
@@ -81,7 +86,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_attention_quality, op2_harmonic_packing, op3_impact_topk, op4_ppm_scores, op5_rans_files, op6_simhash, op7_suffix_dedup, op8_secret_forest, op9_url_propagation, op10_string_tiling, op11_auction_repair, op13_seed_extend_dedup, pipeline)
+    for f in (op1_attention_quality, op2_harmonic_packing, op3_impact_topk, op4_ppm_scores, op5_rans_files, op6_simhash, op7_suffix_dedup, op8_secret_forest, op9_url_propagation, op10_string_tiling, op11_auction_repair, op12_merge_path_alignment, op13_seed_extend_dedup, pipeline)
 }
 
 ORACLES = {
