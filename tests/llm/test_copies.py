@@ -81,3 +81,43 @@ def test_bands_meet_at_eight_tenths():
         x = copies.bands([a, b])
         missed += not (x[0] == x[1]).any()
     assert missed == 0
+
+
+def test_small_tiles_and_chunks_give_the_same_groups(spark):
+    rows = planted()
+    check(spark, rows, lambda docs: copies.one_of_each(docs, tile=4, group=3))
+    check(spark, rows, lambda docs: copies.one_of_each(docs, tile=1, group=7))
+
+
+def test_large_group_of_dissimilar_members_in_one_band(spark):
+    """Members share half their words, so they meet in bands but are not copies; a few of them have copies of their own."""
+    base = words(120, 77).split()
+    rows = [(k, " ".join(base[:90] + words(40, 3000 + k).split())) for k in range(150)]
+    rows += [(500 + k, rows[k][1] + " tail") for k in range(0, 150, 10)]
+    check(spark, rows)
+    check(spark, rows, lambda docs: copies.one_of_each(docs, tile=50, group=20))
+
+
+def test_forest_finds_what_all_pairs_find():
+    r = np.random.default_rng(9)
+    whole = r.integers(1, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((whole[: 100 + 5 * (k % 4)], r.integers(1, 1 << 63, int(r.integers(0, 40)), dtype=np.uint64)))) for k in range(60)]
+    fp = np.array([copies.fingerprint(s) for s in sets], np.int64)
+    every = np.ones(60, bool)
+    label = copies.similar_forest(fp, sets, np.arange(60), every, ~every)
+    expected = np.arange(60)
+    for a in range(60):
+        for b in range(a):
+            if copies.similar(sets[a], sets[b]):
+                expected[expected == expected[a]] = expected[b]
+    assert all((label[a] == label[b]) == (expected[a] == expected[b]) for a in range(60) for b in range(60))
+
+
+def test_within_the_radius_at_eight_tenths():
+    r = np.random.default_rng(14)
+    far = []
+    for _ in range(2000):
+        both, own = r.integers(0, 1 << 63, 80, dtype=np.uint64) * np.uint64(2), r.integers(0, 1 << 63, 20, dtype=np.uint64) * np.uint64(2)
+        a, b = (np.unique(np.concatenate((both, own[k : k + 10]))) for k in (0, 10))
+        far.append(int(np.bitwise_count(np.int64(copies.fingerprint(a) ^ copies.fingerprint(b)).view(np.uint64))))
+    assert 9 < np.mean(far) < 10.5 and np.mean(np.array(far) > copies.RADIUS) <= 0.001
