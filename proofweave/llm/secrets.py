@@ -12,14 +12,17 @@ Trees are plain arrays, so a scan applies them to a whole batch of candidates.
 to a secret-like name are secrets, words and numbers without such a name are not. All other forms are unknown: nothing is
 learnt from them, and the forest decides; without a forest they are not masked.
 
-At most ``sample`` findings (half of each label, those with the smallest hashes) of all documents outside the held-out fold
-train the forest; every text is scanned as a whole. Null and empty texts hold no candidate. A null path is an empty path.
+At most ``sample`` different findings (half of each label, those with the smallest hashes) of all documents outside the
+held-out fold train the forest; their features are computed in the tasks. Every text is scanned as a whole, and no pattern
+reads a run of characters more than a few times. A private key block counts from its BEGIN to its END line, header lines
+included, if what stands between is coded; without an END line its runs are candidates like any others. Null and empty texts hold no candidate. A null path is an empty path, and so is that of a table without the path column.
 With findings of one label only, every candidate gets that label; without findings, ``train`` gives None and
 ``label_by_form`` decides. Repeated rows are scanned as often as they occur. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import zlib
@@ -38,23 +41,46 @@ TREES, DEPTH, BINS = 24, 9, 24
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 ASSIGNED = re.compile(r"""[=:]>?[ \t]{0,4}(?:"((?:[^"\\\n]|\\.){6,})"|'((?:[^'\\\n]|\\.){6,})'|["']?(?!//)((?:(?![,;&?]["']?[\w.\-]+["']?\s?[=:])[^\s"']){6,}))""")
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth)\W{0,8}$")
+#: each alternative starts at most once in a run of its characters, so long runs cost one pass
 _ISSUED = re.compile(
-    r"AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}"
-    r"|eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
-    r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+    r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36}|(?<![A-Za-z0-9\-])xox[abp]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9A-Za-z]{16,}+"
+    r"|(?<![A-Za-z0-9_\-])glpat-[A-Za-z0-9_\-]{20,}+|(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+"
 )
 _INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{_ISSUED.pattern})(?![A-Za-z0-9])")
+#: a private key block from its first to its last line, header lines allowed; nothing in it is tried twice
+_BLOCK = re.compile(
+    r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----(?:\s|\\[nr])*+(?:[A-Za-z][\w\-]{0,40}:[^\n]*+\n\s*+)*+"
+    r"((?:[A-Za-z0-9+/=\s]|\\[nr])*+)-----END [A-Z0-9 ]{0,24}PRIVATE KEY-----"
+)
+_CODED = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _CLOSING = ",;:.)]}>"
-_PLAIN = re.compile(r"\d+|(?:[^\W\d_]?[a-z]{2,})+|[A-Z]+|[^\W\d_a-zA-Z]+|[^\W\d_]")
+_PLAIN = re.compile(r"\d+|[^\W\d_a-z]?[a-z]{2,}(?:[^\W\d_a-z][a-z]{2,})*|[A-Z]+|[^\W\d_a-zA-Z]+|[^\W\d_]")
 _LETTERS = re.compile(r"[a-z]{3,}")
 HASHED = 12
 FEATURES = 18 + 2 * HASHED
 
 
+def _is_key_block(m: re.Match) -> bool:
+    """Whether most of what stands between the lines is coded, in runs longer than words."""
+    body = re.sub(r"\\[nr]|\s", "", m.group(1))
+    return bool(body) and 2 * sum(len(r) for r in _CODED.findall(m.group(1))) >= len(body)
+
+
+def _issued(text: str) -> list[tuple[int, int]]:
+    """Spans of keys in the form of an issuer, left to right."""
+    blocks = [m.span() for m in _BLOCK.finditer(text) if _is_key_block(m)] if "PRIVATE KEY" in text else []
+    return sorted(blocks + [s for m in _INSIDE.finditer(text) if not _meets(blocks, *(s := m.span()))])
+
+
+def _meets(spans: list[tuple[int, int]], a: int, z: int) -> bool:
+    """Whether a..z touches one of the spans, which are sorted and apart."""
+    k = bisect.bisect_left(spans, (z,)) - 1
+    return k >= 0 and spans[k][1] > a
+
+
 def candidates(text: str) -> list[tuple[int, str, str, str]]:
     """(start, candidate, text before, text after) of each candidate, left to right; candidates do not overlap."""
-    issued = [m.span() for m in _INSIDE.finditer(text)]
-    inside = {p for a, z in issued for p in range(a, z)}
+    issued = _issued(text)
     spans, at = [], 0
     while m := ASSIGNED.search(text, at):
         a, z = m.span(m.lastindex)
@@ -67,18 +93,16 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
             while z > a and text[z - 1] in _CLOSING:
                 z -= 1
         # an issued key within a longer value without a name stands for itself
-        if z - a >= 6 and (named or inside.isdisjoint(range(a, z))):
+        if z - a >= 6 and (named or not _meets(issued, a, z)):
             spans.append((a, z))
-    taken = {p for a, z in spans for p in range(a, z)}
-    spans += (keys := [s for s in issued if taken.isdisjoint(range(*s))])
-    taken |= {p for a, z in keys for p in range(a, z)}
-    spans += [m.span() for m in RUN.finditer(text) if taken.isdisjoint(range(*m.span()))]
-    return [(a, text[a:z], text[max(0, a - CONTEXT) : a], text[z : z + CONTEXT]) for a, z in sorted(spans)]
+    spans = sorted(spans + [s for s in issued if not _meets(spans, *s)])
+    spans = sorted(spans + [s for m in RUN.finditer(text) if not _meets(spans, *(s := m.span()))])
+    return [(a, text[a:z], text[max(0, a - CONTEXT) : a], text[z : z + CONTEXT]) for a, z in spans]
 
 
 def label_by_form(found: str, before: str) -> int | None:
     """1 for a secret, 0 for words and numbers, None for an unknown form."""
-    if _ISSUED.fullmatch(found):
+    if _ISSUED.fullmatch(found) or ((m := _BLOCK.fullmatch(found)) and _is_key_block(m)):
         return 1
     digits = sum(c.isdigit() for c in found)
     if _NAMED.search(before):
@@ -188,7 +212,7 @@ class Forest:
 
 
 def _paths(docs: DataFrame, path: str | None):
-    return F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    return F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
 
 
 def labelled_findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
@@ -209,15 +233,24 @@ def train(findings: DataFrame, sample: int = SAMPLE) -> Forest | None:
     columns = ["found", "before", "after", "path", "label"]
     # written out: both labels come from one pass over the texts
     known = cut(findings.where("label is not null and found <> ''").select(*columns, F.xxhash64(*columns).alias("k")))
-    parts = [known.where(F.col("label") == v).orderBy("k", "found").limit(sample // 2) for v in (0, 1)]
-    rows = parts[0].union(parts[1]).orderBy("k", "found", "before").collect()
-    if not rows:
+    # the smallest hashes of each label, equal findings once; the driver sees contexts and features, never a value
+    keys = [known.where(F.col("label") == v).select("k").distinct().orderBy("k").limit(sample // 2) for v in (0, 1)]
+    chosen = cut(known.join(F.broadcast(keys[0].union(keys[1])), "k", "left_semi").dropDuplicates(["k"]))
+    near = chosen.select("k", "before", "after").collect()
+    if not near:
         return None
     forest = Forest()
-    counts = Counter(w for r in rows for w in re.findall(r"[a-z]{3,12}", f"{r.before} {r.after}".lower()))
-    forest.words = frozenset(w for w, n in counts.items() if n >= 3)
-    x = np.array([features(r.found, r.before or "", r.after or "", r.path or "", forest.words) for r in rows]).reshape(-1, FEATURES)
-    return forest.fit(x, np.array([r.label for r in rows], float))
+    counts = Counter(w for r in near for w in re.findall(r"[a-z]{3,12}", f"{(r.before or '')[-CONTEXT:]} {(r.after or '')[:CONTEXT]}".lower()))
+    words = forest.words = frozenset(w for w, n in counts.items() if n >= 3)
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            x = [features(r["found"], r["before"] or "", r["after"] or "", r["path"] or "", words) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(batch.schema.get_field_index("label"))], names=["k", "x", "label"])
+
+    rows = sorted(chosen.select("k", *columns).mapInArrow(run, "k long, x array<double>, label int").collect())
+    return forest.fit(np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.label for r in rows], float))
 
 
 def judged(texts: list[str], paths: list[str], forest: Forest | None) -> list[list[tuple[int, str, float]]]:
@@ -260,9 +293,13 @@ def redact(docs: DataFrame, forest: Forest | None, path: str | None = "source",
             texts = batch.column(at).to_pylist()
             paths = [str(p or "") for p in batch.column(where).to_pylist()] if where is not None else [""] * len(texts)
             for k, c in enumerate(judged([t or "" for t in texts], paths, forest)):
-                for s, f, p in reversed(c):
+                pieces, done = [], 0
+                for s, f, p in c:
                     if p >= threshold:
-                        texts[k] = texts[k][:s] + mask + texts[k][s + len(f) :]
+                        pieces += [texts[k][done:s], mask]
+                        done = s + len(f)
+                if done:
+                    texts[k] = "".join([*pieces, texts[k][done:]])
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
