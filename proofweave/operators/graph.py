@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
@@ -282,44 +282,106 @@ def cross_layer_brokers(edges: DataFrame) -> DataFrame:
     return on.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("layer")), ",").alias("layers"), F.count(F.lit(1)).alias("layer_count")).where("layer_count >= 2")  # layers: fixed short list
 
 
+def _weighted_halves(at: DataFrame, steps: DataFrame, limits: DataFrame, last: str, rest: float, strict: bool | None, top_degree: int) -> DataFrame:
+    """Half trails one edge longer, unless even the best rest of the trail stays at or under the pair's limit.
+
+    ``last``: column of ``limits`` with the best weight at the other end; ``rest``: the best product of the edges between.
+    ``strict`` None: halves that are grown further, which some node of a higher degree must follow; else halves that meet
+    here, so this node's degree is at least (True: above) that of all nodes before it.
+    """
+    grown = (
+        at.withColumnRenamed("node", "near").withColumn("peak", F.greatest("peak", "degree")).drop("degree").join(steps, "near")
+        .where(~F.array_contains("ids", F.col("edge_id")))
+    )
+    if strict is None:
+        grown = grown.where(F.col("peak") < top_degree)
+    else:
+        grown = grown.where(F.col("degree") > F.col("peak") if strict else F.col("degree") >= F.col("peak"))
+    grown = grown.select(
+        "pair_id", F.col("far").alias("node"), "degree", "peak", F.concat("nodes", F.array("far")).alias("nodes"), F.concat("ids", F.array("edge_id")).alias("ids"),
+        F.concat("layers", F.array("layer")).alias("layers"), (F.col("product") * F.col("weight")).alias("product"),
+    )
+    hope = _confidence(F.col("product") * F.col(last) * F.lit(rest))
+    return grown.join(limits, "pair_id").where(F.col("floor").isNull() | (hope > F.col("floor"))).select(*grown.columns)
+
+
+def _confidence(product) -> Column:
+    return F.round(F.round(product, 9), 3)
+
+
 def weighted_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_WEIGHTED_HOPS, top: int = TOP_WEIGHTED) -> DataFrame:
     """Best ``top`` undirected trails (no edge twice) of each pair by product of weights, at most ``max_hops`` long.
 
-    Two half trails are grown, one from each end, and joined where they meet. ``edges(edge_id, source, target, layer,
-    weight)``, ``pairs(pair_id, source, target)``. Ties: fewer hops, then edge ids.
+    ``edges(edge_id, source, target, layer, weight)``, weights of at least 0, ``pairs(pair_id, source, target)``. Ties:
+    fewer hops, then edge ids.
+
+    Lengths are searched one after the other. Once a pair has ``top`` trails, a longer one must beat the last of them, so that
+    confidence is shared by all halves of the pair as a limit: a half stays only while its product, times the best weight at
+    the other end and the best weights between, can exceed it, and a pair that nothing can improve is done.
+
+    Two half trails meet at the inner node of the highest degree (the first of equals), which is therefore entered but never
+    left: a hub between two people costs its edges to them, not all its edges. Each trail has one such node, so it is met once.
     """
     ends = edges.select(F.col("source").alias("subject_id"), F.col("target").alias("object_id"), "edge_id", "layer", "weight")
-    steps = cut(_both_ends(ends, "edge_id", "layer", "weight"))
+    both = _both_ends(ends, "edge_id", "layer", "weight")
+    at_node = cut(both.groupBy("near").agg(F.count(F.lit(1)).alias("degree"), F.max("weight").alias("best")))
+    steps = cut(both.join(at_node.select(F.col("near").alias("far"), "degree"), "far"))
+    best_weight, top_degree = at_node.agg(F.max("best"), F.max("degree")).first()
+    if best_weight is None:
+        best_weight, top_degree = 0.0, 0
+    pairs = cut(
+        pairs.select("pair_id", "source", "target")
+        .join(at_node.select(F.col("near").alias("source"), F.col("best").alias("at_source")), "source")
+        .join(at_node.select(F.col("near").alias("target"), F.col("best").alias("at_target")), "target")
+    )
 
-    def halves(start: str, length: int) -> list[DataFrame]:
-        at = pairs.select(
-            "pair_id", F.col(start).alias("node"), F.array(F.col(start)).alias("nodes"), F.array().cast("array<string>").alias("ids"),
-            F.array().cast("array<string>").alias("layers"), F.lit(1.0).alias("product"),
-        )
-        grown = [at]
-        for _ in range(length):
-            at = (
-                at.withColumnRenamed("node", "near").join(steps, "near").where(~F.array_contains("ids", F.col("edge_id")))
-                .select(
-                    "pair_id", F.col("far").alias("node"), F.concat("nodes", F.array("far")).alias("nodes"), F.concat("ids", F.array("edge_id")).alias("ids"),
-                    F.concat("layers", F.array("layer")).alias("layers"), (F.col("product") * F.col("weight")).alias("product"),
-                )
-            )
-            at = cut(at)
-            grown.append(at)
-        return grown
+    def rest(edges_between: int) -> float:
+        """Best product of so many edges; with weights above 1 more edges may be better, and all that may follow count."""
+        return best_weight**edges_between if best_weight <= 1 else best_weight**max_hops
 
-    front, back = halves("source", (max_hops + 1) // 2), halves("target", max_hops // 2)
-    trails = []
-    for hops in range(1, max_hops + 1):
-        f, b = front[(hops + 1) // 2].alias("f"), back[hops // 2].alias("b")
-        met = f.join(b, (F.col("f.pair_id") == F.col("b.pair_id")) & (F.col("f.node") == F.col("b.node"))).where(~F.arrays_overlap("f.ids", "b.ids"))
-        trails.append(
-            met.select(
-                F.col("f.pair_id").alias("pair_id"), F.lit(hops).alias("hops"),
-                F.concat("f.nodes", F.slice(F.reverse("b.nodes"), F.lit(2), F.size("b.nodes"))).alias("nodes"), F.concat("f.ids", F.reverse("b.ids")).alias("edge_ids"),
-                F.concat("f.layers", F.reverse("b.layers")).alias("layers"), F.round(F.round(F.col("f.product") * F.col("b.product"), 9), 3).alias("path_confidence"),
-            )
-        )
+    def start(column: str) -> DataFrame:
+        strings = F.array().cast("array<string>")
+        return pairs.select("pair_id", F.col(column).alias("node"), F.lit(-1).cast("long").alias("degree"), F.lit(-1).cast("long").alias("peak"), F.array(column).alias("nodes"), strings.alias("ids"), strings.alias("layers"), F.lit(1.0).alias("product"))
+
+    limits = pairs.select("pair_id", "at_source", "at_target", F.lit(None).cast("double").alias("floor"))
     order = Window.partitionBy("pair_id").orderBy(F.col("path_confidence").desc(), "hops", "edge_ids")
-    return reduce(DataFrame.unionByName, trails).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    sides = {"f": ("at_target", True), "b": ("at_source", False)}
+    full = {side: [start(column)] for side, column in (("f", "source"), ("b", "target"))}
+    found = None
+    for hops in range(1, max_hops + 1):
+        meet: dict[str, dict[int, DataFrame]] = {"f": {}, "b": {}}
+        for side, (last, strict) in sides.items():
+            # halves that later, longer halves grow from; then those that meet in this round
+            while len(full[side]) < hops - 1:
+                n = len(full[side])
+                full[side].append(cut(_weighted_halves(full[side][-1], steps, limits, last, rest(max(0, hops - n - 1)), None, top_degree)))
+            for n in range(1, hops):
+                meet[side][n] = cut(_weighted_halves(full[side][n - 1], steps, limits, last, rest(max(0, hops - n - 1)), strict, top_degree))
+        if hops == 1:
+            direct = _weighted_halves(start("source"), steps, limits.withColumn("at_target", F.lit(1.0)), "at_target", 1.0, True, top_degree)
+            trails = [direct.join(pairs.select("pair_id", F.col("target").alias("node")), ["pair_id", "node"]).select("pair_id", F.lit(1).alias("hops"), "nodes", F.col("ids").alias("edge_ids"), "layers", _confidence(F.col("product")).alias("path_confidence"))]
+        else:
+            trails = []
+            for n in range(1, hops):
+                f, b = meet["f"][n].alias("f"), meet["b"][hops - n].alias("b")
+                met = f.join(b, (F.col("f.pair_id") == F.col("b.pair_id")) & (F.col("f.node") == F.col("b.node"))).where(~F.arrays_overlap("f.ids", "b.ids"))
+                trails.append(
+                    met.select(
+                        F.col("f.pair_id").alias("pair_id"), F.lit(hops).alias("hops"),
+                        F.concat("f.nodes", F.slice(F.reverse("b.nodes"), F.lit(2), F.size("b.nodes"))).alias("nodes"), F.concat("f.ids", F.reverse("b.ids")).alias("edge_ids"),
+                        F.concat("f.layers", F.reverse("b.layers")).alias("layers"), _confidence(F.col("f.product") * F.col("b.product")).alias("path_confidence"),
+                    )
+                )
+        now = reduce(DataFrame.unionByName, trails)
+        now = now.join(limits.select("pair_id", "floor"), "pair_id").where(F.col("floor").isNull() | (F.col("path_confidence") > F.col("floor"))).drop("floor")
+        now = now if found is None else found.drop("rank").unionByName(now)
+        found = cut(now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
+        if hops == max_hops:
+            break
+        # pairs that a longer trail can still improve
+        floors = found.where(F.col("rank") == top).select("pair_id", F.col("path_confidence").alias("floor"))
+        hope = F.col("at_source") * F.col("at_target") * F.lit(rest(hops - 1))
+        limits = cut(pairs.select("pair_id", "at_source", "at_target").join(floors, "pair_id", "left").where(F.col("floor").isNull() | (_confidence(hope) > F.col("floor"))))
+        if limits.isEmpty():
+            break
+    return found

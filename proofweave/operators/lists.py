@@ -10,12 +10,13 @@ from ..functions import vocabulary as V
 MAX_LIMIT = 200  # fixed value: largest page
 
 
-def keyset_page(df: DataFrame, order: list[tuple[str, str]], after: list | None = None, limit: int = 50) -> DataFrame:
+def keyset_page(df: DataFrame, order: list[tuple[str, str]], after: list | None = None, limit: int = 50, max_limit: int | None = MAX_LIMIT) -> DataFrame:
     """One page after the cursor row plus ``has_more``; a bounded sort, never a sort of the whole table.
 
-    ``order`` lists (column, "asc" | "desc"); ``after`` holds the cursor row's values in the same order.
+    ``order`` lists (column, "asc" | "desc"); ``after`` holds the cursor row's values in the same order. Pages have between
+    one and ``max_limit`` rows whatever is asked for; ``max_limit`` None: no upper limit.
     """
-    limit = max(1, limit)
+    limit = max(1, limit if max_limit is None else min(limit, max_limit))
     if after is not None:
         beyond, equal = F.lit(False), F.lit(True)
         for (column, direction), value in zip(order, after):

@@ -341,18 +341,37 @@ def q4(t: Inputs):
     return graph.ambiguous_queue(t.display_edges()).select("edge_id", "source", "target", "relation", "layer", "source_file")
 
 
+WEIGHTED_TRAILS = {
+    "near_pairs": "SELECT set_id AS pair_id, entity_id AS source, near_id AS target FROM nation_firsts",
+    "weighted": "SELECT edge_id, source AS near, target AS far, weight FROM display UNION ALL SELECT edge_id, target, source, weight FROM display",
+    "f1": "SELECT p.pair_id, s.far AS node, s.edge_id AS e1, s.weight AS product FROM near_pairs p JOIN weighted s ON s.near = p.source",
+    "b1": "SELECT p.pair_id, s.far AS node, s.edge_id AS e1, s.weight AS product FROM near_pairs p JOIN weighted s ON s.near = p.target",
+    "f2": "SELECT f.pair_id, s.far AS node, f.node AS inner_node, f.e1, s.edge_id AS e2, f.product * s.weight AS product FROM f1 f JOIN weighted s ON s.near = f.node AND s.edge_id <> f.e1",
+    "b2": "SELECT f.pair_id, s.far AS node, f.node AS inner_node, f.e1, s.edge_id AS e2, f.product * s.weight AS product FROM b1 f JOIN weighted s ON s.near = f.node AND s.edge_id <> f.e1",
+    "short_trails": """SELECT p.pair_id, 1 AS hops, [p.source, p.target] AS nodes, [e1] AS edge_ids, round(round(product, 9), 3) AS path_confidence FROM near_pairs p JOIN f1 ON f1.pair_id = p.pair_id AND f1.node = p.target
+ UNION ALL SELECT p.pair_id, 2, [p.source, f.node, p.target], [f.e1, b.e1], round(round(f.product * b.product, 9), 3) FROM near_pairs p JOIN f1 f ON f.pair_id = p.pair_id
+  JOIN b1 b ON b.pair_id = f.pair_id AND b.node = f.node AND b.e1 <> f.e1
+ UNION ALL SELECT p.pair_id, 3, [p.source, f.inner_node, f.node, p.target], [f.e1, f.e2, b.e1], round(round(f.product * b.product, 9), 3) FROM near_pairs p JOIN f2 f ON f.pair_id = p.pair_id
+  JOIN b1 b ON b.pair_id = f.pair_id AND b.node = f.node AND b.e1 NOT IN (f.e1, f.e2)""",
+    "short_best": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY path_confidence DESC, hops, edge_ids) AS rank FROM short_trails) WHERE rank <= 10",
+    "weighted_floor": "SELECT p.pair_id, b.path_confidence AS least FROM near_pairs p LEFT JOIN short_best b ON b.pair_id = p.pair_id AND b.rank = 10",
+    # four hops must beat ten shorter trails; weights are at most 1
+    "long_trails": """SELECT p.pair_id, 4 AS hops, [p.source, f.inner_node, f.node, b.inner_node, p.target] AS nodes, [f.e1, f.e2, b.e2, b.e1] AS edge_ids, round(round(f.product * b.product, 9), 3) AS path_confidence
+ FROM near_pairs p JOIN weighted_floor l ON l.pair_id = p.pair_id JOIN f2 f ON f.pair_id = p.pair_id AND (l.least IS NULL OR round(round(f.product, 9), 3) > l.least)
+ JOIN b2 b ON b.pair_id = f.pair_id AND b.node = f.node AND b.e1 NOT IN (f.e1, f.e2) AND b.e2 NOT IN (f.e1, f.e2)
+ WHERE (l.least IS NULL OR round(round(b.product, 9), 3) > l.least) AND (l.least IS NULL OR round(round(f.product * b.product, 9), 3) > l.least)""",
+}
+
+
 @query("q5_weighted_paths", oracle("""
 SELECT pair_id, rank, hops, array_to_string(nodes, '>') AS nodes, array_to_string(edge_ids, '>') AS edge_ids, path_confidence FROM (
  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY path_confidence DESC, hops, edge_ids) AS rank FROM (
-  SELECT t.pair_id, hops, nodes, edge_ids, round(round(product, 9), 3) AS path_confidence FROM trails t WHERE hops > 0 AND spot = target)) WHERE rank <= 10
-""", financial="SELECT edge_id, source AS near, target AS far, weight FROM display WHERE layer = 'FINANCIAL' UNION ALL SELECT edge_id, target, source, weight FROM display WHERE layer = 'FINANCIAL'",
-   trails="""SELECT set_id AS pair_id, near_id AS target, entity_id AS spot, 0 AS hops, [entity_id] AS nodes, CAST([] AS VARCHAR[]) AS edge_ids, CAST(1.0 AS DOUBLE) AS product FROM nation_firsts
- UNION ALL SELECT t.pair_id, t.target, f.far, t.hops + 1, list_append(t.nodes, f.far), list_append(t.edge_ids, f.edge_id), t.product * f.weight FROM trails t JOIN financial f ON f.near = t.spot
- WHERE t.hops < 4 AND NOT list_contains(t.edge_ids, f.edge_id)"""))
+  SELECT pair_id, hops, nodes, edge_ids, path_confidence FROM short_best UNION ALL SELECT * FROM long_trails)) WHERE rank <= 10
+""", **WEIGHTED_TRAILS))
 def q5(t: Inputs):
-    """Trails inside the financial layer between a nation's first customer and the fifth id after it."""
+    """Trails over all layers between a nation's first customer and the fifth id after it."""
     pairs = t.nation_firsts().select(F.col("set_id").alias("pair_id"), F.col("entity_id").alias("source"), F.col("near_id").alias("target"))
-    found = graph.weighted_paths(graph.layer_projection(t.display_edges(), "FINANCIAL"), pairs)
+    found = graph.weighted_paths(t.display_edges(), pairs)
     return found.select("pair_id", "rank", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edge_ids"), "path_confidence")
 
 

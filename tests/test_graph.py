@@ -180,3 +180,36 @@ def test_window_and_unknown_category(spark):
     df, rows = network(spark)
     assert graph.edges_in_window(df, "2020-01-01", "2020-02-01").count() == len(rows)  # open bounds always overlap
     assert graph.edges_in_window(df, categories=["nothing_like_it"]).count() == 0
+
+
+def plain_trails(rows, source, target, max_hops, top):
+    def trails(at, used, product, nodes):
+        for e, a, b, _, w in rows:
+            if e in used or at not in (a, b):
+                continue
+            far = b if at == a else a
+            if far == target:
+                yield (used + [e], round(round(product * w, 9), 3), nodes + [far])
+            if len(used) + 1 < max_hops:
+                yield from trails(far, used + [e], product * w, nodes + [far])
+
+    return sorted(trails(source, [], 1.0, [source]), key=lambda t: (-t[1], len(t[0]), t[0]))[:top]
+
+
+@pytest.mark.parametrize("max_hops,top,seed", [(1, 3, 1), (2, 2, 2), (3, 4, 3), (4, 10, 4), (4, 2, 5), (5, 3, 6)])
+def test_weighted_trails_around_hubs(spark, max_hops, top, seed):
+    """Two hubs, parallel edges, all layers, weights that tie after rounding; some pairs have no trail."""
+    rnd = random.Random(seed)
+    ends = [("h1", f"n{k % 7}") for k in range(10)] + [("h2", f"n{k % 5}") for k in range(6)] + [("h1", "h2")] + [tuple(f"n{x}" for x in rnd.sample(range(7), 2)) for _ in range(6)] + [("x", "y")]
+    rows = [(f"e{i:02d}", *e, rnd.choice("LM"), rnd.choice([1.0, 1.0, 0.9999, 0.7, 0.4])) for i, e in enumerate(ends)]
+    pairs = [(0, "n0", "n1"), (1, "n2", "h1"), (2, "h1", "h2"), (3, "n3", "x"), (4, "x", "y"), (5, "n4", "n4"), (6, "n5", "none")]
+    df = spark.createDataFrame(rows, "edge_id string, source string, target string, layer string, weight double")
+    got = graph.weighted_paths(df, spark.createDataFrame(pairs, "pair_id int, source string, target string"), max_hops, top).orderBy("pair_id", "rank").collect()
+    for pid, a, b in pairs:
+        assert [(list(r["edge_ids"]), r["path_confidence"], list(r["nodes"])) for r in got if r["pair_id"] == pid] == plain_trails(rows, a, b, max_hops, top), pid
+    assert all(len(r["layers"]) == r["hops"] == len(r["edge_ids"]) for r in got)
+
+
+def test_weighted_trails_without_edges(spark):
+    df = spark.createDataFrame([], "edge_id string, source string, target string, layer string, weight double")
+    assert graph.weighted_paths(df, spark.createDataFrame([(1, "a", "b")], "pair_id int, source string, target string")).count() == 0
