@@ -1,7 +1,7 @@
 """Bounded reads over the edge projection, for many seed sets or pairs at once.
 
 Traversal is level-synchronous: a frontier table joined with the edge table, cut to storage after each level. The
-state kept per seed set is bounded by its element budget; the state per pair by the two half-way balls.
+state kept per seed set is bounded by its element budget; shortest paths keep one ball for each distinct end.
 """
 
 from __future__ import annotations
@@ -151,83 +151,108 @@ def overview(edges: DataFrame, max_elements: int = MAX_ELEMENTS) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_PATH_HOPS, max_paths: int | None = MAX_PATHS) -> DataFrame:
     """All shortest undirected routes of each pair, parallel edges apart: (pair_id, hops, nodes, edge_ids, truncated).
 
-    ``pairs(pair_id, source, target)``, ids already resolved. Balls grow from both ends in turn until they meet, so a
-    hub in the middle is entered but not expanded. When more than ``max_paths`` exist, the ones a backward walk that
-    prefers the largest (edge_id, previous node) meets first are kept; partial routes beyond that are pruned level by
-    level, which loses nothing because each of them completes. ``max_paths`` None: all routes.
+    ``pairs(pair_id, source, target)``, ids already resolved. Every distinct end has one ball, whatever pairs ask for it. In
+    each round every open pair names the end whose frontier has the fewer edges, and the named balls grow by one step; a pair
+    is settled once its two balls meet. So a hub between two people is entered but not left, and a far side is never grown
+    where the near side is cheaper. When more than ``max_paths`` routes exist, the ones a backward walk that prefers the
+    largest (edge_id, previous node) meets first are kept; partial routes beyond that are pruned level by level, which loses
+    nothing because each of them completes. ``max_paths`` None: all routes.
     """
     max_hops = max(1, max_hops)
     max_paths = UNBOUNDED if max_paths is None else max(1, max_paths)
     steps = _both_ends(edges, "edge_id")
+    degree = steps.groupBy(F.col("near").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     pairs = cut(pairs.select("pair_id", "source", "target"))
-    apart = pairs.where("source <> target")
-    ball = {
-        "f": cut(apart.select("pair_id", F.col("source").alias("node"), F.lit(0).alias("depth"))),
-        "b": cut(apart.select("pair_id", F.col("target").alias("node"), F.lit(0).alias("depth"))),
-    }
-    links: dict[str, DataFrame | None] = {"f": None, "b": None}  # (pair_id, node, toward, edge_id, depth)
-    reach = {"f": 0, "b": 0}
-    searching, met = apart.select("pair_id"), []
-    for hop in range(1, max_hops + 1):
-        side = "f" if hop % 2 else "b"
-        other = "b" if side == "f" else "f"
-        depth = reach[side] + 1
-        front = ball[side].where(F.col("depth") == reach[side]).join(searching, "pair_id", "left_semi")
-        found = front.select("pair_id", F.col("node").alias("near")).join(steps, "near").select(
-            "pair_id", F.col("far").alias("node"), F.col("near").alias("toward"), "edge_id"
-        ).distinct().join(ball[side].select("pair_id", "node"), ["pair_id", "node"], "left_anti")
-        found = cut(found.withColumn("depth", F.lit(depth)))
-        links[side] = found if links[side] is None else links[side].unionByName(found)
-        ball[side] = ball[side].unionByName(found.select("pair_id", "node", "depth").distinct())
-        reach[side] = depth
-        middle = cut(
-            ball[side].where(F.col("depth") == depth).join(ball[other].where(F.col("depth") == reach[other]).select("pair_id", "node"), ["pair_id", "node"])
-            .select("pair_id", "node").distinct()
+    open_ = pairs.where("source <> target")
+    ball = cut(open_.select(F.explode(F.array("source", "target")).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    links = None  # (root, node, toward, edge_id, depth): edges by which a ball was grown
+    status = cut(ball.join(degree, "node", "left").select("root", F.lit(0).alias("reach"), F.coalesce("degree", F.lit(0)).alias("cost")))
+    met = []
+    for _ in range(2 * max_hops):
+        side = lambda name, tag: status.select(F.col("root").alias(name), F.col("reach").alias(f"{tag}_reach"), F.col("cost").alias(f"{tag}_cost"))
+        known = open_.join(side("source", "s"), "source").join(side("target", "t"), "target")
+        # a ball that is all of its component, or two that reach as far as a route may, settle a pair without one
+        asks = cut(
+            known.where((F.col("s_reach") + F.col("t_reach") < max_hops) & (F.least("s_cost", "t_cost") > 0))
+            .withColumn("named", F.when(F.col("s_cost") <= F.col("t_cost"), F.col("source")).otherwise(F.col("target")))
         )
-        met.append((hop, reach["f"], reach["b"], middle))
-        searching = cut(searching.join(middle.select("pair_id").distinct(), "pair_id", "left_anti"))
-        if searching.isEmpty():
+        if asks.isEmpty():
             break
-    routes = [
-        pairs.where("source = target").select(
-            "pair_id", F.lit(0).alias("hops"), F.array("source").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.lit(1).alias("found")
+        named = asks.select(F.col("named").alias("root")).distinct()
+        front = ball.join(status.join(named, "root", "left_semi").select("root", F.col("reach").alias("depth")), ["root", "depth"])
+        found = front.select("root", F.col("node").alias("near"), (F.col("depth") + 1).alias("depth")).join(steps, "near").select(
+            "root", F.col("far").alias("node"), F.col("near").alias("toward"), "edge_id", "depth"
+        ).distinct().join(ball.select("root", "node"), ["root", "node"], "left_anti")
+        found = cut(found)
+        links = found if links is None else links.unionByName(found)
+        new = found.select("root", "node", "depth").distinct()
+        ball = cut(ball.unionByName(new))
+        costs = new.join(degree, "node").groupBy("root").agg(F.sum("degree").alias("grown"))
+        status = cut(
+            status.join(named.withColumn("named", F.lit(True)), "root", "left").join(costs, "root", "left").select(
+                "root", (F.col("reach") + F.coalesce("named", F.lit(False)).cast("int")).alias("reach"),
+                F.when(F.col("named"), F.coalesce("grown", F.lit(0))).otherwise(F.col("cost")).alias("cost"),
+            )
         )
-    ]
-    targets = apart.select("pair_id", F.col("target").alias("node"))
-    for hop, kf, kb, middle in met:
-        routes.append(_routes(hop, kf, kb, middle, links, targets, max_paths))
-    out = reduce(DataFrame.unionByName, routes)
+        # only the new nodes of a named ball can be the first ones that two balls have in common
+        at = asks.select("pair_id", "source", "target")
+        outer = new.select("root", F.col("node").alias("middle"), F.col("depth").alias("near_depth"))
+        inner = ball.select(F.col("root").alias("other"), F.col("node").alias("middle"), F.col("depth").alias("far_depth"))
+        both = [at.withColumnRenamed(one, "root").withColumnRenamed(two, "other") for one, two in (("source", "target"), ("target", "source"))]
+        common = reduce(DataFrame.unionByName, [b.select("pair_id", "root", "other").join(outer, "root").join(inner, ["other", "middle"]) for b in both])
+        least = common.groupBy("pair_id").agg(F.min(F.col("near_depth") + F.col("far_depth")).alias("hops")).where(F.col("hops") <= max_hops)
+        reached = at.join(least, "pair_id").join(status.select(F.col("root").alias("source"), "reach"), "source")
+        met.append(cut(reached.select("pair_id", "source", "target", "hops", F.least("reach", "hops").alias("middle"))))
+        # a pair that a deep ball of another pair has settled beyond max_hops has no route
+        open_ = asks.select("pair_id", "source", "target").join(met[-1], "pair_id", "left_anti")
+    same = pairs.where("source = target").select(
+        "pair_id", F.lit(0).alias("hops"), F.array("source").alias("nodes"), F.array().cast("array<string>").alias("edge_ids"), F.lit(1).alias("found")
+    )
+    out = same if not met else same.unionByName(_routes(reduce(DataFrame.unionByName, met), ball, links, max_hops, max_paths))
     return out.select("pair_id", "hops", "nodes", "edge_ids", (F.col("found") >= max_paths).alias("truncated"))
 
 
-def _routes(hop: int, kf: int, kb: int, middle: DataFrame, links: dict, targets: DataFrame, max_paths: int) -> DataFrame:
-    """Routes of the pairs whose balls met at (kf, kb), listed from the target back to the source."""
-    parents: dict[int, DataFrame] = {}
-    if links["f"] is not None:
-        for level in range(1, kf + 1):
-            parents[level] = links["f"].where(F.col("depth") == level).select("pair_id", "node", F.col("toward").alias("previous"), "edge_id")
-    useful = middle
-    for level in range(kf + 1, hop + 1):
-        # links of the target's ball read outward: the useful node is the one further from the target
-        step = links["b"].where(F.col("depth") == hop - level + 1).join(useful, ["pair_id", "node"]).select(
-            "pair_id", F.col("toward").alias("_n"), F.col("node").alias("previous"), "edge_id"
-        ).withColumnRenamed("_n", "node")
-        parents[level] = step
-        useful = step.select("pair_id", "node").distinct()
-    walk = targets.join(middle.select("pair_id").distinct(), "pair_id", "left_semi").select(
-        "pair_id", "node", F.array("node").alias("nodes"), F.array().cast("array<struct<edge_id:string,previous:string>>").alias("trail")
+def _routes(met: DataFrame, ball: DataFrame, links: DataFrame, max_hops: int, max_paths: int) -> DataFrame:
+    """Routes of ``met(pair_id, source, target, hops, middle)``, listed from the target back to the source.
+
+    Up to the middle the source's ball says what lies before a node. Behind it the target's ball does, read outward from
+    the nodes of the middle that both balls hold.
+    """
+    step = links.select("root", "node", "toward", "edge_id", "depth")
+    back = met.join(ball.select(F.col("root").alias("source"), "node", F.col("depth").alias("middle")), ["source", "middle"])
+    back = back.join(ball.select(F.col("root").alias("target"), "node", F.col("depth").alias("rest")), ["target", "node"]).where(F.col("middle") + F.col("rest") == F.col("hops"))
+    useful = cut(back.select("pair_id", "target", "node", "hops", F.col("middle").alias("place")))
+    behind = None
+    for _ in range(max_hops):
+        useful = useful.where(F.col("place") < F.col("hops"))
+        if useful.isEmpty():
+            break
+        out = useful.withColumn("depth", F.col("hops") - F.col("place")).withColumnRenamed("target", "root").join(step, ["root", "node", "depth"])
+        out = cut(out.select("pair_id", (F.col("place") + 1).alias("place"), F.col("toward").alias("node"), F.col("node").alias("previous"), "edge_id", F.col("root").alias("target"), "hops"))
+        behind = out.drop("target", "hops") if behind is None else behind.unionByName(out.drop("target", "hops"))
+        useful = out.select("pair_id", "target", "node", "hops", "place").distinct()
+    walk = met.select(
+        "pair_id", "source", "hops", "middle", F.col("hops").alias("place"), F.col("target").alias("node"), F.array("target").alias("nodes"),
+        F.array().cast("array<struct<edge_id:string,previous:string>>").alias("trail"),
     )
-    for level in range(hop, 0, -1):
-        grown = walk.join(parents[level], ["pair_id", "node"]).select(
-            "pair_id", F.col("previous").alias("node"), F.concat(F.array("previous"), "nodes").alias("nodes"),
+    done = []
+    order = Window.partitionBy("pair_id").orderBy(F.col("trail").desc())
+    for _ in range(max_hops):
+        before = walk.where("place <= middle").join(step.select(F.col("root").alias("source"), "node", F.col("depth").alias("place"), F.col("toward").alias("previous"), "edge_id"), ["source", "node", "place"])
+        if behind is not None:
+            before = before.unionByName(walk.where("place > middle").join(behind, ["pair_id", "node", "place"]))
+        grown = before.select(
+            "pair_id", "source", "hops", "middle", (F.col("place") - 1).alias("place"), F.col("previous").alias("node"), F.concat(F.array("previous"), "nodes").alias("nodes"),
             F.concat("trail", F.array(F.struct("edge_id", "previous"))).alias("trail"),
         )
-        order = Window.partitionBy("pair_id").orderBy(F.col("trail").desc())
-        walk = cut(grown.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_paths).drop("_r"))
-    counted = walk.groupBy("pair_id").agg(F.count(F.lit(1)).cast("int").alias("found"))
-    return walk.join(counted, "pair_id").select(
-        "pair_id", F.lit(hop).alias("hops"), "nodes", F.reverse(F.transform("trail", lambda t: t["edge_id"])).alias("edge_ids"), "found"
-    )
+        grown = cut(grown.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max_paths).drop("_r"))
+        done.append(grown.where("place = 0"))
+        walk = grown.where("place > 0")
+        if walk.isEmpty():
+            break
+    routes = reduce(DataFrame.unionByName, done)
+    counted = routes.groupBy("pair_id").agg(F.count(F.lit(1)).cast("int").alias("found"))
+    return routes.join(counted, "pair_id").select("pair_id", "hops", "nodes", F.reverse(F.transform("trail", lambda t: t["edge_id"])).alias("edge_ids"), "found")
 
 
 def hydrate_edges(edges: DataFrame, links: DataFrame, readable: DataFrame, relations: DataFrame) -> DataFrame:

@@ -213,3 +213,17 @@ def test_weighted_trails_around_hubs(spark, max_hops, top, seed):
 def test_weighted_trails_without_edges(spark):
     df = spark.createDataFrame([], "edge_id string, source string, target string, layer string, weight double")
     assert graph.weighted_paths(df, spark.createDataFrame([(1, "a", "b")], "pair_id int, source string, target string")).count() == 0
+
+
+def test_pairs_share_balls_and_settle_at_many_depths(spark):
+    """A long chain with a hub at one end: pairs of one source at all distances, some out of reach, one in another component."""
+    rows = [(f"c{k:02d}", f"x{k:02d}", f"x{k + 1:02d}", "allied_with", None, None) for k in range(7)] + [(f"h{k:03d}", "x00", f"leaf{k:03d}", "allied_with", None, None) for k in range(60)]
+    rows += [("p1", "x03", "x04", "allied_with", None, None), ("far", "y0", "y1", "allied_with", None, None)]
+    df = spark.createDataFrame(rows, "edge_id string, subject_id string, object_id string, predicate string, segment_from date, segment_to date")
+    pairs = [(k, "leaf001", f"x{k:02d}") for k in range(8)] + [(10, "leaf001", "leaf002"), (11, "x00", "y0"), (12, "nobody", "x01"), (13, "x02", "x02"), (14, "x05", "leaf001")]
+    got = {}
+    for r in graph.shortest_paths(df, spark.createDataFrame(pairs, "pair_id int, source string, target string"), 5, None).collect():
+        got.setdefault(r["pair_id"], []).append((r["hops"], list(r["nodes"])))
+    assert {p: {h for h, _ in v} for p, v in got.items()} == {**{k: {k + 1} for k in range(5)}, 10: {2}, 13: {0}} and len(got[4]) == 2
+    wide = graph.shortest_paths(df, spark.createDataFrame(pairs, "pair_id int, source string, target string"), 9, None).collect()
+    assert {(r["pair_id"], r["hops"]) for r in wide} == {(k, k + 1) for k in range(8)} | {(10, 2), (13, 0), (14, 6)}
