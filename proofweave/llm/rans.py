@@ -171,10 +171,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabula
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    # equal rows are told apart, so that many of them fill many partitions
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions or max(12, total // (16 << 20) + 1)
-    ordered = rows.repartitionByRange(int(n), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    ordered = rows.repartitionByRange(int(n), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
 
     def ids_of(batches):
         from pyspark import TaskContext
@@ -197,9 +198,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabula
     def histogram(batches):
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, narrow))
-                counts[: len(own)] += own
+            # the ids of a batch lie one behind the other
+            column = batch.column(0).cast(pa.large_binary())
+            if not len(column):
+                continue
+            first, last = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)[[0, -1]].tolist()
+            own = np.bincount(np.frombuffer(column.buffers()[2], narrow, (last - first) // np.dtype(narrow).itemsize, first) if last > first else np.zeros(0, narrow), minlength=1)
+            counts[: len(own)] += own
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["id", "n"])
 

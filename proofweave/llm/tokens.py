@@ -9,6 +9,7 @@ The result equals one library call on the whole text.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ _BLANK = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{20
 _ODD_TEXT = rf" (?:[{_BLANK}]|\z)|(?:\A|[{_BLANK}])\n|\n(?:[{_BLANK}]|\z)"
 _CLOSING = ".,;:!?*#$%&|)"
 _GROUP = 64  # distinct pieces that one library call encodes together
+_SLICE = 3 << 20  # characters of text whose arrays are held at a time
 
 
 def pieces(text: str) -> list[str]:
@@ -50,6 +52,7 @@ class PieceEncoder:
         self.old: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
         size = self.library.get_vocab_size(with_added_tokens=True)
         names = [self.library.id_to_token(i) or "" for i in range(size)]
+        self.model = self.library.model
         self.opens = np.array([n.startswith("Ġ") for n in names])
         self.ends = np.array([n.endswith("</w>") for n in names])
         self.line = self._ids(["\n"])[0]
@@ -77,12 +80,19 @@ class PieceEncoder:
                 plain.add(p)
             elif (base := p.rstrip(_CLOSING)).isalpha() and base[-1].lower()[-1].isalpha():
                 closed[p] = base, p[len(base) :]
+                if base not in into:
+                    plain.add(base)
             elif self.spaced and p and p.split() == [p]:
                 plain.add(p)
             else:
                 rest.append(p)
-        plain |= {b for b, _ in closed.values() if b not in into}
-        order = list(plain)
+        # letters of ASCII are one word that the library's normaliser and splitter leave as it is, but for case
+        lead, merged, order = "Ġ" if behind else "", self.model.tokenize, []
+        for p in plain:
+            if p.isascii() and p.isalpha():
+                into[p] = array("I", [t.id for t in merged(lead + p if self.spaced else p.lower())]).tobytes()
+            else:
+                order.append(p)
         groups = [order[i : i + _GROUP] for i in range(0, len(order), _GROUP)]
         text = (lambda g: " " + " ".join(g)) if behind or not self.spaced else "\n".join
         for group, ids in zip(groups, self._ids([text(g) for g in groups]), strict=True):
@@ -93,8 +103,7 @@ class PieceEncoder:
             raw = ids.tobytes()
             for piece, (a, z) in zip(group, cuts, strict=True):
                 into[piece] = raw[4 * a : 4 * z]
-        lead = " " if behind else ""
-        for piece, ids in zip(rest, self._ids([lead + p for p in rest]), strict=True):
+        for piece, ids in zip(rest, self._ids([" " + p if behind else p for p in rest]), strict=True):
             into[piece] = ids.tobytes()
         tails = list({t for _, t in closed.values() if t not in self.bare})
         for tail, ids in zip(tails, self._ids(tails), strict=True):
@@ -119,8 +128,16 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the common case stays in arrays, only distinct pieces become Python strings."""
-        if not texts:
-            return []
+        out: list[bytes] = []
+        at = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= _SLICE or k == len(texts) - 1:
+                out += self._encode(texts[at : k + 1])
+                at, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         column = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, _ODD_TEXT).to_numpy(zero_copy_only=False) if self.spaced else np.zeros(len(texts), bool)
         out: list[bytes] = [b""] * len(texts)
@@ -139,11 +156,11 @@ class PieceEncoder:
             per_text = np.diff(lines.offsets.to_numpy())
             words = pc.split_pattern(lines.flatten(), " ")
         else:
-            words = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+            words = pc.split_pattern(pc.ascii_lower(pc.replace_substring(column, "\n", " ")), " ")
             per_text = np.ones(len(column), np.int64)
         per_line = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
-        piece, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        piece, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         begins = np.zeros(len(piece), bool)
         begins[np.cumsum(per_line) - per_line] = True
         # numbers of pieces: behind a space, then as they stand, then the line break
@@ -158,7 +175,7 @@ class PieceEncoder:
         stand = self._provide(set(plain), False)
         held = [after[p] for p in behind] + [stand[p] for p in plain] + [self.line.tobytes()]
         pool = np.frombuffer(b"".join(held), np.uint32)
-        size = np.array([len(h) >> 2 for h in held], np.int64)
+        size = np.fromiter(map(len, held), np.int64, len(held)) >> 2
         start = np.cumsum(size) - size
         last = np.cumsum(per_line)  # a line break follows each line but the last of its text
         inner = np.ones(len(per_line), bool)
