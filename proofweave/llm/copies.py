@@ -4,7 +4,7 @@ Two texts are linked when their sets of distinct shingles (XXH64 of lower-cased
 similarity of at least ``SHARE``; a group is what links reach over any number of steps. A text of fewer words is one shingle.
 
 1. Texts with equal sets are one member. Members meet in tiles: all members that share one of ``BANDS`` hashes over ``ROWS``
-   least values each. A pair of similarity 0.8 shares none with probability 2e-7, more similar pairs with less.
+   least values each. A pair of similarity 0.8 shares none with probability 7e-6, more similar pairs with less.
 2. In a tile the fingerprints of all pairs are compared by exclusive-or and bit counts within ``RADIUS`` bits, tile pairs of
    too different population counts being skipped. At similarity 0.8 bits differ with probability arccos(8/9)/pi, 9.7 of 64
    on average, and more than RADIUS (22) with probability 2e-5. A tile answers with a spanning forest; a tile above ``TILE``
@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ..session import small
 from .common import bounded_batches, cut, settle, small_slices, texts_of
 from .simhash import _merge, components, shingle_hashes
 
@@ -36,7 +35,7 @@ SHINGLE = 5
 #: 4 / 5 as whole numbers, so that a similarity of exactly 0.8 counts
 SHARE = (4, 5)
 RADIUS = 22
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 30, 5
 TILE = 4096
 GROUP = 2000
 ELEMENTS = 4 << 20
@@ -174,9 +173,9 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _tiles(distinct: DataFrame, tile: int) -> DataFrame:
     """Edges (u, v) that join each neighbourhood."""
-    members = distinct.select("key", "size", "fp", F.explode("bands").alias("band"))
+    members = distinct.select("key", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
-    met = cut(members.join(shared, "band"))
+    met = cut(members.join(shared, "band").join(distinct.select("key", "size", "fp"), "key"))
     parts = met.count() // _PART_ROWS + 12
 
     def run(group: pa.Table) -> pa.Table:
@@ -261,7 +260,7 @@ def links(distinct: DataFrame, docs: DataFrame, shingle: int = SHINGLE, tile: in
     blobs = below.union(below.select(F.col("blob").alias("key"), "blob").distinct())
     wanted = cut(distinct.select("key", "size", "fp", F.col("doc_id").alias("copies_id"), F.col("text_hash").alias("copies_text")).join(blobs, "key"))
     per_blob = wanted.groupBy("blob").agg(F.ceil(F.greatest(F.count("*") / group, F.sum("size") / ELEMENTS)).alias("chunks"))
-    texts = docs.select("doc_id", "text").join(small(wanted.select("key", "copies_id", "copies_text")), _same_row())
+    texts = docs.select("doc_id", "text").join(wanted.select("key", "copies_id", "copies_text").hint("merge"), _same_row())
 
     def run(batches):
         for batch in batches:
@@ -290,11 +289,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, tile: int = TILE, group
     named = ends.select("key", "root").join(kept, "root").select("key", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("text_hash").eqNullSafe(F.col("kept_hash"))
     rows = marked.select("doc_id", "text_hash", "key").join(named, "key").groupBy("doc_id", "text_hash").agg(F.max(same).alias("stays"), F.count("*").alias("n"))
-    # rows that go, and rows that stand several times; all others pass without a shuffle while those are few
+    # rows that go, and rows that stand several times; the texts are shuffled once, at every size of the input
     special = cut(rows.where("NOT stays OR n > 1").select(F.col("doc_id").alias("copies_id"), F.col("text_hash").alias("copies_text"), "stays"))
-    passed = docs.join(small(special.select("copies_id", "copies_text")), _same_row(), "left_anti")
+    passed = docs.join(special.select("copies_id", "copies_text").hint("merge"), _same_row(), "left_anti")
     repeated = special.where("stays").select("copies_id", "copies_text")
     if repeated.isEmpty():
         return passed
-    again = docs.join(small(repeated), _same_row()).dropDuplicates(["copies_id", "copies_text"])
+    again = docs.join(repeated.hint("merge"), _same_row()).dropDuplicates(["copies_id", "copies_text"])
     return passed.union(again.select(*(docs[c] for c in docs.columns)))
