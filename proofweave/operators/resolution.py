@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.names import jaro_winkler
+from ..session import cut
 from .windows import pairs_within
 
 # --- fixed values: declared m/u weights, first matching level wins -----------------------------
@@ -161,8 +162,7 @@ def block_keys(frame: DataFrame, features: DataFrame, whole_lists: bool = False)
     affiliated = features.where("kind = 'affiliation'")
     ids = frame.select("unique_id", "entity_id")
     if whole_lists:
-        lists = affiliated.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("value")), "\u0001").alias("_list"))
-        third = ids.join(lists, "entity_id", "left").select("unique_id", F.concat(F.lit("a:"), F.coalesce("_list", F.lit(""))).alias("block"))
+        third = ids.join(_affiliation_lists(features), "entity_id", "left").select("unique_id", F.concat(F.lit("a:"), F.coalesce("list", F.lit(""))).alias("block"))
     else:
         by_entity = affiliated.select("entity_id", F.concat(F.lit("a:"), "value").alias("block"))
         third = ids.join(by_entity, "entity_id").select("unique_id", "block")
@@ -278,20 +278,23 @@ def _two_of(items: list[str]):
 
 
 def pairs_above(frame: DataFrame, features: DataFrame, threshold: float = THRESHOLD, whole_lists: bool = False) -> DataFrame:
-    """The blocked pairs that can reach ``threshold``, without enumerating the blocks.
+    """The blocked pairs of mentions of different entities that can reach ``threshold``, without enumerating the blocks.
 
     Exact: a pair is produced when it agrees on two values some above-threshold level combination needs, and kept
-    when it also meets in a block.
+    when it also meets in a block. Agreeing values are paired by entity first, so an entity of many mentions meets
+    others once and itself never; pairs inside an entity are counted by ``pairs_inside``.
     """
     combos = sufficient_agreements(threshold)
+    owner = frame.select("unique_id", "entity_id")
     if combos is None:
-        return block_pairs(frame, features, whole_lists)
+        pairs = block_pairs(frame, features, whole_lists)
+        return pairs.join(owner.toDF("id_a", "_ea"), "id_a").join(owner.toDF("id_b", "_eb"), "id_b").where("_ea <> _eb").select("id_a", "id_b")
     long = {
         "script": frame.select("unique_id", F.col("script_key").alias("v")),
         "latin": frame.select("unique_id", F.col("latin_key").alias("v")),
         "birth": frame.select("unique_id", F.col("date_of_birth").cast("string").alias("v")),
     }
-    owned = frame.select("unique_id", "entity_id").join(features, "entity_id")
+    owned = owner.join(features, "entity_id")
     for kind in ("alias", "affiliation", "associate"):
         long[kind] = owned.where(F.col("kind") == kind).select("unique_id", F.col("value").alias("v"))
     long = {k: d.where("v IS NOT NULL") for k, d in long.items()}
@@ -300,12 +303,112 @@ def pairs_above(frame: DataFrame, features: DataFrame, threshold: float = THRESH
         .select("unique_id", F.concat_ws("\u0001", F.lit(f"{x}+{y}"), "_x", "_y").alias("key"))
         for x, y in combos
     ]
-    candidates = pairs_within(reduce(DataFrame.unionByName, keyed).distinct(), ["key"], "unique_id").select(
-        F.col("a.unique_id").alias("id_a"), F.col("b.unique_id").alias("id_b")
-    ).distinct()
+    held = cut(reduce(DataFrame.unionByName, keyed).distinct().join(owner, "unique_id"))
+    met = pairs_within(held.select("key", "entity_id").distinct(), ["key"], "entity_id").select("key", F.col("a.entity_id").alias("_ea"), F.col("b.entity_id").alias("_eb"))
+    mentions = held.join(met.select(F.explode(F.array("_ea", "_eb")).alias("entity_id"), "key").distinct(), ["key", "entity_id"]).select("key", "entity_id", "unique_id")
+    spread = met.join(mentions.toDF("key", "_ea", "_x"), ["key", "_ea"]).join(mentions.toDF("key", "_eb", "_y"), ["key", "_eb"])
+    candidates = spread.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")).distinct()
     blocks = block_keys(frame, features, whole_lists)
-    met = candidates.join(blocks.toDF("id_a", "block"), "id_a").join(blocks.toDF("id_b", "block"), ["id_b", "block"])
-    return met.select("id_a", "id_b").distinct()
+    blocked = candidates.join(blocks.toDF("id_a", "block"), "id_a").join(blocks.toDF("id_b", "block"), ["id_b", "block"])
+    return blocked.select("id_a", "id_b").distinct()
+
+
+def _choose_two(n: str) -> Column:
+    """n * (n - 1) / 2 of a long column without overflow."""
+    half = f"CAST(CASE WHEN {n} % 2 = 0 THEN {n} DIV 2 ELSE {n} END AS DECIMAL(19, 0)) * CAST(CASE WHEN {n} % 2 = 0 THEN {n} - 1 ELSE ({n} - 1) DIV 2 END AS DECIMAL(19, 0))"
+    return F.expr(half)
+
+
+def _total(column: Column) -> Column:
+    return F.coalesce(F.sum(column), F.lit(0)).cast("long")
+
+
+def _affiliation_lists(features: DataFrame) -> DataFrame:
+    """(entity_id, list): the complete affiliation list of an entity as one value; entities without any are absent."""
+    own = features.where("kind = 'affiliation'").select("entity_id", "value")
+    return own.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("value")), "\u0001").alias("list"))
+
+
+def compared_pairs(frame: DataFrame, features: DataFrame) -> DataFrame:
+    """How many pairs meet in some block when whole affiliation lists block: one row, ``compared``.
+
+    A mention has one phonetic key, one prefix and one list, so the union of the three relations follows from the sizes
+    of seven groupings (inclusion and exclusion), all in one aggregation; no pair is listed.
+    """
+    rows = frame.select("entity_id", F.col("phonetic_key").alias("p"), F.substring("latin_key", 1, 4).alias("l"))
+    rows = rows.join(_affiliation_lists(features), "entity_id", "left").withColumn("a", F.coalesce("list", F.lit("")))
+    groups = []
+    for names in ("p", "l", "a", "pl", "pa", "la", "pla"):
+        key = F.struct(F.lit(names).alias("of"), *(F.when(F.lit(c in names), F.col(c)).alias(c) for c in "pla"))
+        known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names])
+        groups.append(F.when(known, key))
+    sizes = rows.select(F.explode(F.array(*groups)).alias("g")).where("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    sign = F.when(F.length("g.of") == 2, -1).otherwise(1)
+    return sizes.agg(_total(_choose_two("n") * sign).alias("compared"))
+
+
+def pairs_inside(frame: DataFrame, features: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
+    """How many pairs of mentions of one entity reach ``threshold``: one row, ``same_entity``.
+
+    Inside an entity everything but the name is the same for all pairs: every alias, affiliation and associate is shared,
+    and so is the date of birth. So each entity says which levels of the name comparison would reach the threshold. The
+    upper levels are counted from the sizes of groups of equal names; only where a similarity of names decides are
+    different names of the entity compared, each pair of names once.
+    """
+    held = features.groupBy("entity_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("alias", "affiliation", "associate")])
+    level = lambda c, top: F.least(F.coalesce(F.col(c), F.lit(0)), F.lit(top)).cast("int")
+    mentions = frame.select("unique_id", "entity_id", "latin_key", "script_key", "date_of_birth")
+    by_entity = mentions.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.count("latin_key").alias("named"), F.max("date_of_birth").alias("born")).where("n > 1")
+    odds = F.lit(prior / (1 - prior))
+    for name, gamma in (("alias", level("alias", 1)), ("affiliation", level("affiliation", 1)), ("associate", level("associate", 2)), ("birth", F.when(F.col("born").isNull(), -1).otherwise(1))):
+        odds = odds * bayes_factor(gamma, COMPARISONS[name])
+    floor = threshold / (1 - threshold) if threshold < 1 else float("inf")
+    reaches = {g: F.col("odds") * F.lit(m / u) / (1 + F.col("odds") * F.lit(m / u)) >= threshold for g, (m, u) in NAME_LEVELS.items()}
+    reaches[-1] = F.col("odds") / (1 + F.col("odds")) >= threshold
+    best = max(m / u for m, u in NAME_LEVELS.values())
+    entities = by_entity.join(held, "entity_id", "left").withColumn("odds", odds).where(F.col("odds") * F.lit(max(best, 1.0)) >= F.lit(floor * (1 - 1e-9)))
+    entities = cut(entities.select("entity_id", "n", "named", *[r.alias(f"r{g}") for g, r in sorted(reaches.items())]).toDF("entity_id", "n", "named", "missing", "r0", "r1", "r2", "r3", "r4"))
+    names = cut(mentions.where("latin_key IS NOT NULL").join(entities.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id", "latin_key", "script_key").agg(F.count(F.lit(1)).alias("n")))
+    # equal names: same script (level 4), same Latin key only (level 3)
+    scripted = names.where("script_key IS NOT NULL")
+    equal = lambda d, column, name: d.groupBy("entity_id", column).agg(F.sum("n").alias("n")).groupBy("entity_id").agg(F.sum(_choose_two("n")).alias(name))
+    script, latin = equal(scripted, "script_key", "same_script"), equal(names, "latin_key", "same_latin")
+    both = scripted.groupBy("entity_id").agg(F.sum(_choose_two("n")).alias("same_both"))
+    counts = entities.join(script, "entity_id", "left").join(latin, "entity_id", "left").join(both, "entity_id", "left").na.fill(0, ["same_script", "same_latin", "same_both"])
+    at_3 = F.col("same_latin") - F.col("same_both")
+    rest = _choose_two("named") - F.col("same_script") - at_3
+    gain = lambda flag, count: F.when(F.col(flag), count).otherwise(F.lit(0))
+    all_levels = F.col("r0") & F.col("r1") & F.col("r2")
+    counted = counts.agg(
+        _total(gain("missing", _choose_two("n") - _choose_two("named")) + gain("r4", F.col("same_script")) + gain("r3", at_3) + F.when(all_levels, rest).otherwise(F.lit(0))).alias("same_entity")
+    )
+    # a similarity decides: different names of those entities
+    close = names.join(entities.where((F.col("r0") | F.col("r1") | F.col("r2")) & ~all_levels), "entity_id").select("entity_id", "latin_key", "script_key", names["n"].alias("m"), "r0", "r1", "r2")
+    met = pairs_within(close.withColumn("name", F.concat_ws("\u0001", "latin_key", "script_key")), ["entity_id"], "name")
+    differ = met.where((F.col("a.latin_key") != F.col("b.latin_key")) & ~F.coalesce(F.col("a.script_key") == F.col("b.script_key"), F.lit(False)))
+    jw = jaro_winkler(F.col("a.latin_key"), F.col("b.latin_key"))
+    judged = differ.select((F.col("a.m") * F.col("b.m")).alias("pairs"), F.col("a.r0").alias("r0"), F.col("a.r1").alias("r1"), F.col("a.r2").alias("r2"), jw.alias("jw"))
+    hit = F.when(F.col("jw") >= JW_CLOSE, F.col("r2")).when(F.col("jw") >= JW_NEAR, F.col("r1")).otherwise(F.col("r0"))
+    similar = judged.where(hit).agg(_total(F.col("pairs")).alias("same_entity"))
+    return counted.unionByName(similar).agg(F.sum("same_entity").alias("same_entity"))
+
+
+OUTCOMES = ("suppressed_constraint", "already_open", "emitted")
+
+
+def run_report(frame: DataFrame, features: DataFrame, judged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Counters of a run in one row: compared, below_threshold, same_entity and the outcomes of ``judged``.
+
+    ``judged``: ``judge_candidates`` of the pairs of ``pairs_above`` with whole lists. What is not listed is counted: pairs
+    inside an entity by ``pairs_inside``, all blocked pairs by ``compared_pairs``; the rest is below the threshold.
+    """
+    outcomes = judged.agg(*[_total(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES])
+    parts = [compared_pairs(frame, features), pairs_inside(frame, features, threshold), outcomes]
+    names = ["compared", "same_entity", *OUTCOMES]
+    rows = [d.select(*[F.col(n) if n in d.columns else F.lit(0).cast("long").alias(n) for n in names]) for d in parts]
+    total = reduce(DataFrame.unionByName, rows).agg(*[F.sum(n).alias(n) for n in names])
+    below = F.col("compared") - F.col("same_entity") - F.col("suppressed_constraint") - F.col("already_open") - F.col("emitted")
+    return total.select("compared", below.alias("below_threshold"), "same_entity", *OUTCOMES)
 
 
 def judge_candidates(
@@ -333,10 +436,6 @@ def judge_candidates(
     return rows.withColumn("outcome", outcome).drop("_ea", "_eb", "_c", "_x")
 
 
-def outcome_counters(judged: DataFrame) -> DataFrame:
-    return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("pairs"))
-
-
 def evaluate(rule_pairs: DataFrame, model_pairs: DataFrame, same_document: DataFrame, truth: DataFrame, transliteration: DataFrame, distinct: DataFrame) -> DataFrame:
     """Quality of the emitted pairs against ``truth(mention_id, truth_entity)``, one row with the pass verdict."""
     pair = ["mention_a", "mention_b"]

@@ -237,32 +237,88 @@ def scored_above(t: Inputs):
     return er.score_pairs(er.compare_pairs(er.pairs_above(f, features), f, features)).withColumnsRenamed({"id_a": "mention_a", "id_b": "mention_b"})
 
 
-def _state(t: Inputs):
-    """Active entities, constraints and open candidates of the scored mentions, from the same customers."""
-    ids = t.er_scalars.select("unique_id", F.lpad(F.col("unique_id").cast("string"), 9, "0").alias("m"))
-    active = ids.select(F.col("m").alias("mention_id"), F.floor(F.col("unique_id") / 10).cast("string").alias("grp"), (F.col("unique_id") % 10 < 2).alias("same")).select(
-        "mention_id", F.when(F.col("same"), F.col("grp")).otherwise(F.col("mention_id")).alias("entity_id")
-    )
-    pairs = ids.select(F.col("m").alias("mention_a"), F.lpad((F.col("unique_id") + 1).cast("string"), 9, "0").alias("mention_b"), "unique_id")
-    return active, pairs.where("unique_id % 7 = 0").drop("unique_id"), pairs.where("unique_id % 11 = 0").drop("unique_id")
-
-
-JUDGED = """SELECT s.id_a AS mention_a, s.id_b AS mention_b, round(p, 6) AS probability,
- CASE WHEN CAST(id_a AS BIGINT) % 10 = 0 AND CAST(id_b AS BIGINT) = CAST(id_a AS BIGINT) + 1 THEN 'same_entity'
-  WHEN CAST(id_a AS BIGINT) % 7 = 0 AND CAST(id_b AS BIGINT) = CAST(id_a AS BIGINT) + 1 THEN 'suppressed_constraint'
-  WHEN CAST(id_a AS BIGINT) % 11 = 0 AND CAST(id_b AS BIGINT) = CAST(id_a AS BIGINT) + 1 THEN 'already_open' ELSE 'emitted' END AS outcome FROM scored s WHERE p >= 0.8"""
-
-
-@query("e8_emit_candidates", oracle("SELECT * FROM judged", judged=JUDGED, **FRAGMENTS))
+# --- a run over entities of one or two mentions, with features stated as claims ---------------------------------------
+
+ER_OWNER = "CASE WHEN unique_id % 10 < 2 THEN CAST(CAST(floor(unique_id / 10) AS BIGINT) AS STRING) ELSE lpad(CAST(unique_id AS STRING), 9, '0') END"
+ER_STATED = f"""SELECT concat('k', CAST(unique_id AS STRING)) AS claim_id, {ER_OWNER} AS subject_id, 'known_as' AS predicate, CAST(NULL AS STRING) AS object_id, alias_key AS object_value FROM fx_er_scalars
+UNION ALL SELECT concat('a', CAST(unique_id AS STRING)), {ER_OWNER}, 'affiliated_with', CAST(NULL AS STRING), affiliation_key FROM fx_er_scalars
+UNION ALL SELECT concat('b', CAST(unique_id AS STRING)), {ER_OWNER}, 'born_on', CAST(NULL AS STRING), CAST(date_of_birth AS STRING) FROM fx_er_scalars
+UNION ALL SELECT concat('l', CAST(unique_id AS STRING)), {ER_OWNER}, 'allied_with', {ER_OWNER.replace("unique_id", "(unique_id + 3)")}, CAST(NULL AS STRING) FROM fx_er_scalars WHERE unique_id % 4 = 0"""
+FEATURE_ROWS = """SELECT DISTINCT subject_id AS entity_id, 'alias' AS kind, object_value AS value FROM stated WHERE predicate = 'known_as' AND object_value IS NOT NULL
+UNION SELECT DISTINCT subject_id, 'affiliation', object_value FROM stated WHERE predicate = 'affiliated_with' AND object_value IS NOT NULL
+UNION SELECT DISTINCT subject_id, 'associate', object_id FROM stated WHERE object_id IS NOT NULL UNION SELECT DISTINCT object_id, 'associate', subject_id FROM stated WHERE object_id IS NOT NULL"""
+BIRTH_ROWS = "SELECT subject_id AS entity_id, min(object_value) AS date_of_birth FROM stated WHERE predicate = 'born_on' AND object_value IS NOT NULL GROUP BY subject_id HAVING min(object_value) = max(object_value)"
+RUN_FRAGMENTS = {
+    "stated": ER_STATED,
+    "features": FEATURE_ROWS,
+    "births": BIRTH_ROWS,
+    "lists": "SELECT entity_id, string_agg(value, '|' ORDER BY value) AS list FROM features WHERE kind = 'affiliation' GROUP BY entity_id",
+    "owned": f"SELECT s.*, b.date_of_birth AS born, coalesce(l.list, '') AS list FROM (SELECT unique_id, lpad(CAST(unique_id AS STRING), 9, '0') AS id, latin_key, phonetic_key, {ER_OWNER} AS entity_id FROM fx_er_scalars) s"
+             " LEFT JOIN births b ON b.entity_id = s.entity_id LEFT JOIN lists l ON l.entity_id = s.entity_id",
+    "blocked": """SELECT a.id AS id_a, b.id AS id_b FROM owned a JOIN owned b ON a.id < b.id AND a.phonetic_key = b.phonetic_key
+UNION SELECT a.id, b.id FROM owned a JOIN owned b ON a.id < b.id AND substr(a.latin_key, 1, 4) = substr(b.latin_key, 1, 4)
+UNION SELECT a.id, b.id FROM owned a JOIN owned b ON a.id < b.id AND a.list = b.list""",
+    "shared": "SELECT a.entity_id AS ea, b.entity_id AS eb, count(*) FILTER (WHERE kind = 'alias') AS s_alias, count(*) FILTER (WHERE kind = 'affiliation') AS s_affiliation, count(*) FILTER (WHERE kind = 'associate') AS s_associate"
+              " FROM features a JOIN features b USING (kind, value) GROUP BY a.entity_id, b.entity_id",
+    "compared": """SELECT p.id_a, p.id_b, a.entity_id AS ea, b.entity_id AS eb, a.unique_id AS ua, b.unique_id AS ub,
+ CASE WHEN a.latin_key = b.latin_key THEN 3 WHEN jaro_winkler_similarity(a.latin_key, b.latin_key) >= 0.92 THEN 2 WHEN jaro_winkler_similarity(a.latin_key, b.latin_key) >= 0.85 THEN 1 ELSE 0 END AS gamma_name,
+ least(coalesce(s_alias, 0), 1) AS gamma_alias, least(coalesce(s_affiliation, 0), 1) AS gamma_affiliation, least(coalesce(s_associate, 0), 2) AS gamma_associate,
+ CASE WHEN a.born IS NULL OR b.born IS NULL THEN -1 WHEN a.born = b.born THEN 1 ELSE 0 END AS gamma_birth
+FROM blocked p JOIN owned a ON a.id = p.id_a JOIN owned b ON b.id = p.id_b LEFT JOIN shared s ON s.ea = a.entity_id AND s.eb = b.entity_id""",
+    "scored": SCORED,
+    "outcomes": """SELECT *, CASE WHEN p < 0.8 THEN 'below_threshold' WHEN ea = eb THEN 'same_entity' WHEN ua % 7 = 0 AND ub = ua + 1 THEN 'suppressed_constraint' WHEN ua % 11 = 0 AND ub = ua + 1 THEN 'already_open' ELSE 'emitted' END AS outcome FROM scored""",
+}
+
+
+def stated(t: Inputs):
+    return t.sql(ER_STATED).withColumn("retracted_on", F.lit(None).cast("date"))
+
+
+def run_frame(t: Inputs):
+    """Frame and features of the run: two mentions of every tenth entity, everything else from claims."""
+    claims = stated(t)
+    mentions = t.er_scalars.select(F.lpad(F.col("unique_id").cast("string"), 9, "0").alias("mention_id"), "latin_key", "phonetic_key")
+    active = t.sql(f"SELECT lpad(CAST(unique_id AS STRING), 9, '0') AS mention_id, {ER_OWNER} AS entity_id FROM fx_er_scalars")
+    frame = er.feature_frame(mentions, active, er.birth_dates(claims)).withColumn("script_key", F.lit(None).cast("string"))
+    return frame, er.entity_features(claims, F.col("value"), F.col("value"))
+
+
+def run_judged(t: Inputs):
+    frame, features = run_frame(t)
+    pairs = er.pairs_above(frame, features, whole_lists=True)
+    scored = er.score_pairs(er.compare_pairs(pairs, frame, features)).withColumnsRenamed({"id_a": "mention_a", "id_b": "mention_b"})
+    ids = t.er_scalars.select("unique_id", F.lpad(F.col("unique_id").cast("string"), 9, "0").alias("mention_a"), F.lpad((F.col("unique_id") + 1).cast("string"), 9, "0").alias("mention_b"))
+    active = frame.select(F.col("unique_id").alias("mention_id"), "entity_id")
+    judged = er.judge_candidates(scored, active, ids.where("unique_id % 7 = 0").drop("unique_id"), ids.where("unique_id % 11 = 0").drop("unique_id"))
+    return frame, features, judged
+
+
+@query("e3_stated_features", oracle("SELECT entity_id, kind, value FROM features", **RUN_FRAGMENTS))
+def e3_stated(t: Inputs):
+    """Aliases, affiliations and associates of entities, from claims."""
+    return run_frame(t)[1]
+
+
+@query("e3_birth_frame", oracle("SELECT id AS unique_id, entity_id, latin_key, born AS date_of_birth FROM owned", **RUN_FRAGMENTS))
+def e3_births(t: Inputs):
+    """The frame with the one stated date of birth of each entity; entities with several dates have none."""
+    return run_frame(t)[0].select("unique_id", "entity_id", "latin_key", "date_of_birth")
+
+
+@query("e8_emit_candidates", oracle("SELECT id_a AS mention_a, id_b AS mention_b, round(p, 6) AS probability, outcome FROM outcomes WHERE outcome NOT IN ('below_threshold', 'same_entity')", **RUN_FRAGMENTS))
 def e8(t: Inputs):
-    """Only pairs that can reach the threshold are generated; the ones that do are judged."""
-    judged = er.judge_candidates(scored_above(t), *_state(t))
-    return judged.where(F.col("probability") >= er.THRESHOLD).select("mention_a", "mention_b", F.round("probability", 6).alias("probability"), "outcome")
+    """Only pairs of different entities that can reach the threshold are generated; the ones that do are judged."""
+    judged = run_judged(t)[2]
+    return judged.where("outcome <> 'below_threshold'").select("mention_a", "mention_b", F.round("probability", 6).alias("probability"), "outcome")
 
 
-@query("e8_outcome_counters", oracle("SELECT outcome, count(*) AS pairs FROM judged GROUP BY outcome", judged=JUDGED, **FRAGMENTS))
+@query("e8_outcome_counters", oracle("""
+SELECT count(*) AS compared, count(*) FILTER (WHERE outcome = 'below_threshold') AS below_threshold, count(*) FILTER (WHERE outcome = 'same_entity') AS same_entity,
+ count(*) FILTER (WHERE outcome = 'suppressed_constraint') AS suppressed_constraint, count(*) FILTER (WHERE outcome = 'already_open') AS already_open, count(*) FILTER (WHERE outcome = 'emitted') AS emitted FROM outcomes
+""", **RUN_FRAGMENTS))
 def e8_counters(t: Inputs):
-    return er.outcome_counters(er.judge_candidates(scored_above(t), *_state(t)).where("outcome <> 'below_threshold'"))
+    """All counters of the run; pairs below the threshold and inside an entity are counted, not listed."""
+    return er.run_report(*run_judged(t))
 
 
 @query("e9_evaluate_er", oracle("""

@@ -300,6 +300,28 @@ def g6_allied(t: Inputs):
     return found.select("pair_id", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edge_ids"))
 
 
+PEOPLE_ROUTES = {
+    "people": "SELECT * FROM edges WHERE subject_id LIKE 'ent_c%' AND object_id LIKE 'ent_c%'",
+    "steps": "SELECT edge_id, subject_id AS near, object_id AS far FROM people UNION ALL SELECT edge_id, object_id, subject_id FROM people",
+    "near_far": "SELECT DISTINCT near, far FROM steps",
+    "reach": "SELECT pair_id, source AS node, 0 AS depth FROM pairs UNION SELECT r.pair_id, s.far, r.depth + 1 FROM reach r JOIN near_far s ON s.near = r.node WHERE r.depth < 5",
+    "dist": "SELECT pair_id, node, min(depth) AS depth FROM reach GROUP BY pair_id, node",
+    "walks": """SELECT p.pair_id, p.target AS node, d.depth AS place, d.depth AS hops, [p.target] AS nodes, CAST([] AS STRUCT(edge_id VARCHAR, previous VARCHAR)[]) AS trail FROM pairs p JOIN dist d ON d.pair_id = p.pair_id AND d.node = p.target
+ UNION ALL SELECT w.pair_id, s.far, w.place - 1, w.hops, list_prepend(s.far, w.nodes), list_append(w.trail, {'edge_id': s.edge_id, 'previous': s.far}) FROM walks w
+ JOIN steps s ON s.near = w.node JOIN dist d ON d.pair_id = w.pair_id AND d.node = s.far AND d.depth = w.place - 1""",
+}
+
+
+@query("g6_people_paths", oracle("""
+SELECT pair_id, hops, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(list_reverse(trail), lambda x: x.edge_id), '>') AS edge_ids, found >= 25 AS truncated FROM (
+ SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY trail DESC) AS rn, count(*) OVER (PARTITION BY pair_id) AS found FROM walks WHERE place = 0) WHERE rn <= 25
+""", pairs=PAIRS, **PEOPLE_ROUTES))
+def g6_people(t: Inputs):
+    """First to last customer of every nation over every edge between people: routes of up to five hops."""
+    found = graph.shortest_paths(t.edges().where("subject_id LIKE 'ent_c%' AND object_id LIKE 'ent_c%'"), nation_pairs(t))
+    return found.select("pair_id", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edge_ids"), "truncated")
+
+
 @query("g7_hydrate_edges", oracle("""
 SELECT s.edge_id, count(*) AS claim_count, count(DISTINCT s.record_id) AS record_count, coalesce(max(r.cor), 0) AS corroboration_count, coalesce(max(r.con), 0) AS contradiction_count
 FROM seen s LEFT JOIN (SELECT edge_id, count(*) FILTER (WHERE relation = 'corroborates') AS cor, count(*) FILTER (WHERE relation = 'contradicts') AS con FROM

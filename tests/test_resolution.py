@@ -122,3 +122,98 @@ def test_suppression_precedence(spark):
     existing = spark.createDataFrame([("c", "d"), ("e", "f")], pair)
     got = {r["mention_a"]: r["outcome"] for r in er.judge_candidates(scored, active, constraints, existing).collect()}
     assert got == {"a": "same_entity", "c": "suppressed_constraint", "e": "already_open", "g": "emitted", "i": "below_threshold"}
+
+
+def plain_report(mentions, features, constraints, existing, threshold):
+    """Counters of a run by listing all pairs; mentions: (id, entity, latin, script, phonetic, born)."""
+    held, lists = {}, {}
+    for e, kind, value in features:
+        held.setdefault((e, kind), set()).add(value)
+    for e in {m[1] for m in mentions}:
+        lists[e] = "|".join(sorted(held.get((e, "affiliation"), ())))
+    out = dict.fromkeys(("compared", "below_threshold", "same_entity", "suppressed_constraint", "already_open", "emitted"), 0)
+    for i, a in enumerate(mentions):
+        for b in mentions[:i]:
+            same = lambda k, cut=None: a[k] is not None and b[k] is not None and a[k][:cut] == b[k][:cut]
+            if not (same(4) or same(2, 4) or lists[a[1]] == lists[b[1]]):
+                continue
+            out["compared"] += 1
+            shared = {k: len(held.get((a[1], k), set()) & held.get((b[1], k), set())) for k in ("alias", "affiliation", "associate")}
+            if a[2] is None or b[2] is None:
+                name = -1
+            elif same(3):
+                name = 4
+            elif a[2] == b[2]:
+                name = 3
+            else:
+                j = similarity(a[2], b[2])
+                name = 2 if j >= er.JW_CLOSE else 1 if j >= er.JW_NEAR else 0
+            gammas = {"name": name, "alias": min(1, shared["alias"]), "affiliation": min(1, shared["affiliation"]), "associate": min(2, shared["associate"]),
+                      "birth": -1 if a[5] is None or b[5] is None else int(a[5] == b[5])}
+            odds = er.PRIOR / (1 - er.PRIOR)
+            for n, g in gammas.items():
+                odds *= er.COMPARISONS[n][g][0] / er.COMPARISONS[n][g][1] if g in er.COMPARISONS[n] else 1
+            pair = tuple(sorted((a[0], b[0])))
+            if odds / (1 + odds) < threshold:
+                out["below_threshold"] += 1
+            elif a[1] == b[1]:
+                out["same_entity"] += 1
+            else:
+                out["suppressed_constraint" if pair in constraints else "already_open" if pair in existing else "emitted"] += 1
+    return out
+
+
+def similarity(a, b):
+    """Jaro-Winkler similarity, prefix scale 0.1, at most four characters."""
+    reach, used, hits = max(0, max(len(a), len(b)) // 2 - 1), [False] * len(b), []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                hits.append(c)
+                break
+    m = len(hits)
+    if not m:
+        return 0.0
+    t = sum(x != y for x, y in zip(hits, [c for c, u in zip(b, used) if u])) / 2
+    jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
+    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
+FRAME = "unique_id string, entity_id string, latin_key string, script_key string, phonetic_key string, date_of_birth string"
+
+
+def report_of(spark, mentions, features, constraints, existing, threshold):
+    frame = spark.createDataFrame(mentions, FRAME)
+    feats = spark.createDataFrame(features, "entity_id string, kind string, value string")
+    scored = er.score_pairs(er.compare_pairs(er.pairs_above(frame, feats, threshold, True), frame, feats)).withColumnsRenamed({"id_a": "mention_a", "id_b": "mention_b"})
+    table = lambda rows: spark.createDataFrame(sorted(rows), "mention_a string, mention_b string")
+    judged = er.judge_candidates(scored, frame.select(F.col("unique_id").alias("mention_id"), "entity_id"), table(constraints), table(existing), threshold)
+    return er.run_report(frame, feats, judged, threshold).first().asDict()
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.999])
+def test_run_report_counts_what_it_does_not_list(spark, threshold):
+    rnd = random.Random(12)
+    stems = ["perera", "pereira", "silva", "silve", "fernando", "fernand", "dias"]
+    mentions, features = [], []
+    for e in range(24):
+        born = rnd.choice([None, "1970-01-01", "1980-02-02"])
+        for k in range(rnd.choice([1, 1, 2, 7])):
+            latin = rnd.choice([None, *stems, *stems])
+            mentions.append((f"m{e:02d}{k}", f"e{e:02d}", latin, rnd.choice([None, "s1", "s2"]), latin and latin[:3], born))
+        features += [(f"e{e:02d}", kind, f"{kind}{rnd.randint(0, 2)}") for kind in ("alias", "affiliation", "associate", "associate") if rnd.random() < 0.8]
+    features = sorted(set(features))
+    ids = sorted(m[0] for m in mentions)
+    constraints, existing = {tuple(sorted(rnd.sample(ids, 2))) for _ in range(300)}, {tuple(sorted(rnd.sample(ids, 2))) for _ in range(300)}
+    want = plain_report(mentions, features, constraints, existing, threshold)
+    assert want["same_entity"] > 0 and want["emitted"] > 0
+    assert report_of(spark, mentions, features, constraints, existing, threshold) == want
+
+
+def test_an_entity_of_ten_thousand_mentions_stays_linear(spark):
+    mentions = [(f"m{k:05d}", "big", "perera", None, "PRR", "1970-01-01") for k in range(10_000)] + [("x1", "other", "perera", None, "PRR", "1970-01-01")]
+    features = [(e, k, f"{k}1") for e in ("big", "other") for k in ("alias", "affiliation")]
+    got = report_of(spark, mentions, features, set(), set(), 0.8)
+    assert got["compared"] == 10_001 * 10_000 // 2 and got["same_entity"] == 10_000 * 9_999 // 2 and got["emitted"] == 10_000 and got["below_threshold"] == 0
