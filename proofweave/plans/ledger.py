@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.names import ascii_key
 from ..operators import identity as idn
 from ..operators import resolution as er
+from ..sources.views import with_views
 from .registry import Inputs, oracle, query
 
 AS_OF = 100_000_000
@@ -271,14 +272,14 @@ FROM blocked p JOIN owned a ON a.id = p.id_a JOIN owned b ON b.id = p.id_b LEFT
 
 
 def stated(t: Inputs):
-    return t.sql(ER_STATED).withColumn("retracted_on", F.lit(None).cast("date"))
+    return t.sql(with_views(ER_STATED, "er_scalars")).withColumn("retracted_on", F.lit(None).cast("date"))
 
 
 def run_frame(t: Inputs):
     """Frame and features of the run: two mentions of every tenth entity, everything else from claims."""
     claims = stated(t)
     mentions = t.er_scalars.select(F.lpad(F.col("unique_id").cast("string"), 9, "0").alias("mention_id"), "latin_key", "phonetic_key")
-    active = t.sql(f"SELECT lpad(CAST(unique_id AS STRING), 9, '0') AS mention_id, {ER_OWNER} AS entity_id FROM fx_er_scalars")
+    active = t.er_scalars.select(F.lpad(F.col("unique_id").cast("string"), 9, "0").alias("mention_id"), F.expr(ER_OWNER).alias("entity_id"))
     frame = er.feature_frame(mentions, active, er.birth_dates(claims)).withColumn("script_key", F.lit(None).cast("string"))
     return frame, er.entity_features(claims, F.col("value"), F.col("value"))
 

@@ -312,13 +312,22 @@ PEOPLE_ROUTES = {
 }
 
 
+REMOTE_PAIRS = """SELECT p.pair_id, a.canonical_entity_id AS source, b.canonical_entity_id AS target FROM
+ (SELECT set_id AS pair_id, entity_id, concat('ent_c', lpad(CAST(CAST(substr(entity_id, 6, 9) AS BIGINT) + 8 + 4 * (set_id % 3) AS STRING), 9, '0')) AS far_id FROM nation_firsts) p
+ JOIN canon a ON a.entity_id = p.entity_id JOIN canon b ON b.entity_id = p.far_id"""
+
+
 @query("g6_people_paths", oracle("""
 SELECT pair_id, hops, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(list_reverse(trail), lambda x: x.edge_id), '>') AS edge_ids, found >= 25 AS truncated FROM (
  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY trail DESC) AS rn, count(*) OVER (PARTITION BY pair_id) AS found FROM walks WHERE place = 0) WHERE rn <= 25
-""", pairs=PAIRS, **PEOPLE_ROUTES))
+""", pairs=REMOTE_PAIRS, **PEOPLE_ROUTES))
 def g6_people(t: Inputs):
-    """First to last customer of every nation over every edge between people: routes of up to five hops."""
-    found = graph.shortest_paths(t.edges().where("subject_id LIKE 'ent_c%' AND object_id LIKE 'ent_c%'"), nation_pairs(t))
+    """People 8 to 16 numbers apart, over every edge between people: routes of two to five hops, the most distant have none."""
+    c = t.canonical().select("entity_id", "canonical_entity_id")
+    far = F.concat(F.lit("ent_c"), F.lpad((F.substring("entity_id", 6, 9).cast("long") + 8 + 4 * (F.col("set_id") % 3)).cast("string"), 9, "0"))
+    n = t.nation_firsts().select(F.col("set_id").alias("pair_id"), "entity_id", far.alias("far_id"))
+    pairs = n.join(c.toDF("entity_id", "source"), "entity_id").join(c.toDF("far_id", "target"), "far_id").select("pair_id", "source", "target")
+    found = graph.shortest_paths(t.edges().where("subject_id LIKE 'ent_c%' AND object_id LIKE 'ent_c%'"), pairs)
     return found.select("pair_id", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edge_ids"), "truncated")
 
 
