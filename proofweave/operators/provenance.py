@@ -74,15 +74,24 @@ def entity_claims(entities: DataFrame, claims: DataFrame, canonical: DataFrame,
     return _with_relations(found.withColumn("shown", F.col("position") <= limit), claims, relations)
 
 
+def _with_anchor(claims: DataFrame, mentions: DataFrame, side: str) -> DataFrame:
+    """``claims`` with the text of the ``side`` mention; claims without one are not shuffled together."""
+    column, text = f"{side}_mention_id", f"{side}_text"
+    if column not in claims.columns:
+        return claims.withColumn(text, F.lit(None).cast("string"))
+    anchored = claims.where(F.col(column).isNotNull()).join(mentions.select(F.col("mention_id").alias(column), F.col("raw_text").alias(text)), column, "left")
+    bare = claims.where(F.col(column).isNull()).withColumn(text, F.lit(None).cast("string"))
+    return anchored.select(*claims.columns, text).unionByName(bare)
+
+
 def claim_provenance(claims: DataFrame, records: DataFrame, sources: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
-    """Each readable claim with its record, source (which carries the reliability), anchor text and relation counts."""
+    """Each readable claim with its record, source (which carries the reliability), both anchor texts and relation counts.
+
+    ``claim_relations`` lists the related claims themselves.
+    """
     r = records.select("record_id", "source_id", "status")
     s = sources.select("source_id", F.col("name").alias("source_name"), F.col("reliability_normalized").alias("reliability"))
-    anchored = claims.where("subject_mention_id IS NOT NULL").join(
-        mentions.select(F.col("mention_id").alias("subject_mention_id"), F.col("raw_text").alias("subject_text")), "subject_mention_id", "left"
-    )
-    bare = claims.where("subject_mention_id IS NULL").withColumn("subject_text", F.lit(None).cast("string"))
-    rows = anchored.select(*claims.columns, "subject_text").unionByName(bare)
+    rows = _with_anchor(_with_anchor(claims, mentions, "subject"), mentions, "object")
     return _with_relations(rows.join(r, "record_id", "left").join(s, "source_id", "left"), claims, relations)
 
 

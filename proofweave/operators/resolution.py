@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.names import jaro_winkler
 from ..session import cut
-from .windows import pairs_within
+from .windows import join_within, pairs_within
 
 # --- fixed values: declared m/u weights, first matching level wins -----------------------------
 PRIOR = 1e-4
@@ -66,8 +66,9 @@ def identifier_pairs(observations: DataFrame) -> DataFrame:
     unissued = one.where("jurisdiction IS NULL").drop("jurisdiction")
     free = pairs_within(unissued, ["predicate", "_value"], "mention_id")
     fields = ["mention_id", "claim_id", "valid_from", "valid_to"]
-    cross = issued.select("predicate", "_value", F.col("jurisdiction").alias("_issuer"), F.struct(*fields).alias("x")).join(
-        unissued.select("predicate", "_value", F.struct(*fields).alias("y")), ["predicate", "_value"]
+    cross = join_within(
+        issued.select("predicate", "_value", F.col("jurisdiction").alias("_issuer"), F.struct(*fields).alias("x")),
+        unissued.select("predicate", "_value", F.struct(*fields).alias("y")), ["predicate", "_value"],
     )
     swap = F.col("x.mention_id") > F.col("y.mention_id")
     crossed = cross.select(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .windows import join_within
+
 # --- fixed values --------------------------------------------------------------------------------
 SIMILARITY_FLOOR = 0.35
 PHONETIC_SCORE = 0.5
@@ -22,39 +25,58 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def trigram_match(left: DataFrame, right: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
+def trigram_codes(text: Column) -> Column:
+    """``trigrams`` as whole numbers: three code points of 21 bits each, so different trigrams have different codes."""
+    point = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(trigrams(text), lambda g: F.shiftleft(point(g, 1), 42).bitwiseOR(F.shiftleft(point(g, 2), 21)).bitwiseOR(point(g, 3)))
+
+
+def trigram_match(left: DataFrame, right: DataFrame, floor: float = SIMILARITY_FLOOR, best: int | None = None) -> DataFrame:
     """(left_text, right_text, score) of distinct texts with trigram similarity at or above ``floor``.
 
-    Texts are made distinct first, so copies cost nothing. Each text is filed under its rarest trigrams only: two sets
-    with Jaccard >= f must share one of the ``n - ceil(f n) + 1`` rarest of each, and the frequent trigrams that most
-    texts share are not among them unless a text has nothing rarer. Candidates are then scored exactly.
+    Texts are made distinct first, so copies cost nothing, and their trigrams are whole numbers in one order for all texts,
+    rarest first. Two sets with Jaccard >= f have at least ``f / (1 + f) * (|x| + |y|)`` members in common, so
+
+    * they share one of the first ``n - ceil(f n) + 1`` of each (prefix filter), and their sizes are within the factor f,
+    * behind their first common member, at places i and j, enough members must follow on both sides (positional filter);
+      a later common member has fewer behind it, so every row of the join may be tested as if it were the first.
+
+    What is left is scored exactly. Frequent trigrams meet in slots on both sides. ``best``: keep only that many texts of
+    each left text, by score and then text.
     """
-    l = _gram_rows(left, "left_text")
-    r = _gram_rows(right, "right_text")
+    l, r = _gram_rows(left, "left_text"), _gram_rows(right, "right_text")
     counted = l.select(F.explode("grams").alias("g")).unionByName(r.select(F.explode("grams").alias("g")))
     frequency = counted.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    pl, pr = _rare(l, "left_text", frequency, floor), _rare(r, "right_text", frequency, floor)
-    near = pl.join(pr, "g").where(
-        (F.col("size_left_text") >= floor * F.col("size_right_text")) & (F.col("size_right_text") >= floor * F.col("size_left_text"))
-    ).select("left_text", "right_text").distinct()
+    l, r = _ordered(l, "left_text", frequency), _ordered(r, "right_text", frequency)
+    pl, pr = (
+        d.select(n, F.size("grams").alias(f"size_{s}"), F.posexplode(F.slice("grams", F.lit(1), (F.size("grams") - F.ceil(F.size("grams") * floor - 1e-9) + 1).cast("int"))).alias(f"at_{s}", "g"))
+        for d, n, s in ((l, "left_text", "l"), (r, "right_text", "r"))
+    )
+    need = F.ceil((F.col("size_l") + F.col("size_r")) * (floor / (1 + floor)) - 1e-9)
+    left_over = F.least(F.col("size_l") - F.col("at_l"), F.col("size_r") - F.col("at_r"))
+    fits = (F.col("size_l") >= floor * F.col("size_r") - 1e-9) & (F.col("size_r") >= floor * F.col("size_l") - 1e-9)
+    near = join_within(pl, pr, ["g"]).where(fits & (left_over >= need)).select("left_text", "right_text").distinct()
     scored = near.join(l.withColumnRenamed("grams", "gl"), "left_text").join(r.withColumnRenamed("grams", "gr"), "right_text")
     both = F.size(F.array_intersect("gl", "gr"))
     score = both / (F.size("gl") + F.size("gr") - both)
-    return scored.select("left_text", "right_text", score.alias("score")).where(F.col("score") >= floor)
+    found = scored.select("left_text", "right_text", score.alias("score")).where(F.col("score") >= floor)
+    if best is None:
+        return found
+    order = Window.partitionBy("left_text").orderBy(F.col("score").desc(), "right_text")
+    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= best).drop("_r")
 
 
 def _gram_rows(texts: DataFrame, name: str) -> DataFrame:
     only = texts.select(F.col(texts.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct()
-    return only.withColumn("grams", trigrams(F.col(name))).where(F.size("grams") > 0)
+    return only.withColumn("grams", trigram_codes(F.col(name))).where(F.size("grams") > 0)
 
 
-def _rare(rows: DataFrame, name: str, frequency: DataFrame, floor: float) -> DataFrame:
-    """Prefix of each text's trigrams, rarest first (one text's trigrams are few: a window per text is small)."""
-    size = F.size("grams").alias(f"size_{name}")
-    long = rows.select(name, size, F.explode("grams").alias("g")).join(frequency, "g")
-    w = Window.partitionBy(name).orderBy("n", "g")
-    keep = F.col(f"size_{name}") - F.ceil(F.col(f"size_{name}") * floor - 1e-9) + 1
-    return long.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= keep).select(name, f"size_{name}", "g")
+def _ordered(rows: DataFrame, name: str, frequency: DataFrame) -> DataFrame:
+    """Each text's trigrams, rarest first; written out, as prefixes and scores both read them."""
+    long = rows.select(name, F.explode("grams").alias("g")).join(frequency, "g")
+    # one entry for each trigram of the text
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"])
+    return cut(long.groupBy(name).agg(sorted_.alias("grams")))
 
 
 def visible_entities(claims: DataFrame) -> DataFrame:
@@ -73,8 +95,9 @@ def query_texts(queries: DataFrame, length: int | None = MAX_QUERY) -> DataFrame
     return queries.select("query_id", text.alias("text")).where("text <> ''")
 
 
-def search_labels(queries: DataFrame, entities: DataFrame, floor: float = SIMILARITY_FLOOR) -> DataFrame:
-    m = trigram_match(queries.select("text"), entities.select("label"), floor)
+def search_labels(queries: DataFrame, entities: DataFrame, floor: float = SIMILARITY_FLOOR, best: int | None = None) -> DataFrame:
+    """Entities by label. ``best``: labels kept for each text; the first so many hits by score and label are among them."""
+    m = trigram_match(queries.select("text"), entities.select("label"), floor, best)
     return queries.join(m.withColumnRenamed("left_text", "text"), "text").join(entities.withColumnRenamed("label", "right_text"), "right_text").select(
         "query_id", "entity_id", F.col("right_text").alias("label"), "entity_type", "score", F.lit("label").alias("matched")
     )
@@ -115,12 +138,16 @@ def search_mentions(queries: DataFrame, entities: DataFrame, mentions: DataFrame
     )
 
 
+def branch_size(limit: int) -> int:
+    return max(limit * 3, limit + 1)
+
+
 def search_entities(branches: list[DataFrame], limit: int = 20) -> DataFrame:
     """Best hit per entity over the branches in order (label, alias, mention); first ``limit`` of each query.
 
-    Each branch brings its first ``3 * limit``; an earlier branch keeps a tie.
+    Each branch brings its first ``branch_size(limit)``; an earlier branch keeps a tie.
     """
-    per_branch = max(limit * 3, limit + 1)
+    per_branch = branch_size(limit)
     by_rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "label", "entity_id")
     capped = None
     for order, branch in enumerate(branches):

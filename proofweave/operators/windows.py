@@ -91,3 +91,20 @@ def pairs_within(df: DataFrame, keys: list[str], item: str, chunk: int = CHUNK)
         F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"),
         F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"),
     )
+
+
+def join_within(left: DataFrame, right: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Inner equi-join on ``keys`` in which no task meets more than ``chunk`` x ``chunk`` rows of one key.
+
+    Each side of a key above ``chunk`` rows is cut into slots by the hash of its rows, and slot meets slot: rows of one side
+    are repeated once for each slot of the other. Keys at or below it have one slot. Every pair of rows appears once.
+    """
+    count = lambda d, n: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > chunk).select(*keys, F.ceil(F.col(n) / chunk).cast("int").alias(n))
+    hot = count(left, "_sl").join(count(right, "_sr"), keys, "full").na.fill(1, ["_sl", "_sr"])
+    sides = []
+    for d, own, other, mine, theirs in ((left, "_sl", "_sr", "_i", "_j"), (right, "_sr", "_sl", "_j", "_i")):
+        rest = [F.col(c).cast("string") for c in d.columns if c not in keys]
+        slots = d.join(hot, keys, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_sl", "_sr")})
+        slots = slots.withColumn(mine, F.pmod(F.xxhash64(*rest), F.col(own)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        sides.append(slots.drop("_sl", "_sr"))
+    return sides[0].join(sides[1], [*keys, "_i", "_j"]).drop("_i", "_j")

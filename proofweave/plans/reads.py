@@ -452,6 +452,16 @@ def v1_summary(t: Inputs):
     return provenance.why_connected_summary(provenance.why_connected(_org_pairs(t), t.readable(), t.canonical(), t.relation))
 
 
+@query("v1_relation_totals", oracle("""
+SELECT pair_id, count(*) FILTER (WHERE relation = 'corroborates') AS corroboration_count, count(*) FILTER (WHERE relation = 'contradicts') AS contradiction_count FROM
+ (SELECT DISTINCT a.pair_id, least(x.claim_id, x.other_claim) AS low, greatest(x.claim_id, x.other_claim) AS high, x.relation FROM answers a JOIN relidx_readable x ON x.claim_id = a.claim_id WHERE a.position <= 200) GROUP BY pair_id
+""", classes=CLASSES, answers=ANSWERS))
+def v1_totals(t: Inputs):
+    """Each corroboration and contradiction around the shown claims counts once, whichever end it was met from."""
+    found = provenance.why_connected(_org_pairs(t), t.readable(), t.canonical(), t.relation)
+    return provenance.relation_totals(found, t.relation, t.readable())
+
+
 @query("v2_entity_claims", oracle("""
 SELECT asked_id, resolved_id, position, a.claim_id, predicate, coalesce(r.corroborated_by, 0) AS corroborated_by, coalesce(r.contradicted_by, 0) AS contradicted_by, position <= 200 AS shown FROM
  (SELECT k.asked_id, k.resolved_id, c.*, row_number() OVER (PARTITION BY k.asked_id ORDER BY c.predicate, c.recorded_on, c.claim_id) AS position FROM
@@ -463,14 +473,25 @@ def v2(t: Inputs):
     return found.select("asked_id", "resolved_id", "position", "claim_id", "predicate", "corroborated_by", "contradicted_by", "shown")
 
 
+OBJECT_ANCHORS = "SELECT entity_id AS object_id, min(mention_id) AS object_mention_id FROM active GROUP BY entity_id"
+
+
 @query("v3_claim_provenance", oracle("""
-SELECT c.claim_id, c.record_id, r.status, s.name AS source_name, s.reliability_normalized AS reliability, c.credibility_normalized, m.raw_text AS subject_text,
+SELECT c.claim_id, c.record_id, r.status, s.name AS source_name, s.reliability_normalized AS reliability, c.credibility_normalized, m.raw_text AS subject_text, o.raw_text AS object_text,
  coalesce(x.corroborated_by, 0) AS corroborated_by, coalesce(x.contradicted_by, 0) AS contradicted_by FROM readable c LEFT JOIN fx_record r ON r.record_id = c.record_id LEFT JOIN fx_source s ON s.source_id = r.source_id
- LEFT JOIN fx_mention m ON m.mention_id = c.subject_mention_id LEFT JOIN relation_counts x ON x.claim_id = c.claim_id
-"""))
+ LEFT JOIN fx_mention m ON m.mention_id = c.subject_mention_id LEFT JOIN anchors a ON a.object_id = c.object_id LEFT JOIN fx_mention o ON o.mention_id = a.object_mention_id
+ LEFT JOIN relation_counts x ON x.claim_id = c.claim_id
+""", anchors=OBJECT_ANCHORS))
 def v3(t: Inputs):
-    found = provenance.claim_provenance(t.readable(), t.record, t.source, t.mention, t.relation)
-    return found.select("claim_id", "record_id", "status", "source_name", "reliability", "credibility_normalized", "subject_text", "corroborated_by", "contradicted_by")
+    """Anchors of both ends; that of an object is the first mention of it."""
+    anchors = t.active().groupBy(F.col("entity_id").alias("object_id")).agg(F.min("mention_id").alias("object_mention_id"))
+    found = provenance.claim_provenance(t.readable().join(anchors, "object_id", "left"), t.record, t.source, t.mention, t.relation)
+    return found.select("claim_id", "record_id", "status", "source_name", "reliability", "credibility_normalized", "subject_text", "object_text", "corroborated_by", "contradicted_by")
+
+
+@query("v3_claim_relations", oracle("SELECT claim_id, relation, other_claim FROM relidx_readable"))
+def v3_relations(t: Inputs):
+    return provenance.claim_relations(t.readable(), t.relation)
 
 
 # --- search ----------------------------------------------------------------------------------
@@ -491,6 +512,20 @@ def r1(t: Inputs):
     return found.withColumn("score", F.round("score", 6))
 
 
+NAMES = "SELECT DISTINCT substr(text, 1 + 60 * (doc_id % 3), 40) AS name FROM documents WHERE length(text) >= 200"
+WANTED = "SELECT name FROM (" + NAMES + ") AS n WHERE length(name) % 8 = 0 AND substr(name, 1, 1) IN ('a', 'e', 'n', 't')"
+
+
+@query("r1_phrase_match", oracle(f"""
+SELECT DISTINCT a.name AS left_text, e.name AS right_text, round({SIMILARITY(a='a.g', b='e.g')}, 6) AS score FROM (SELECT name, {TRIGRAMS('name')} AS g FROM wanted) a JOIN (SELECT name, {TRIGRAMS('name')} AS g FROM names) e
+ ON {SIMILARITY(a='a.g', b='e.g')} >= 0.35
+""", names=NAMES, wanted=WANTED))
+def r1_phrases(t: Inputs):
+    """Openings of documents against each other: texts of many different trigrams, of which the floor keeps few."""
+    found = search.trigram_match(t.sql(WANTED), t.sql(NAMES))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def live(t: Inputs):
     from ..operators.identity import tombstones
 
@@ -561,7 +596,7 @@ SELECT query_id, position, entity_id, label, round(score, 6) AS score, matched F
 def r5(t: Inputs):
     alias_queries = t.sql("SELECT c_nationkey AS query_id, concat(min(c_mktsegment), ' ', CAST(min(c_custkey) AS STRING)) AS text FROM customer GROUP BY c_nationkey")
     found = live(t)
-    hits = search.search_entities([search.search_labels(asked(t), found), search.search_aliases(alias_queries, found, t.sql(ALIASES)), mention_hits(t)])
+    hits = search.search_entities([search.search_labels(asked(t), found, best=search.branch_size(20)), search.search_aliases(alias_queries, found, t.sql(ALIASES)), mention_hits(t)])
     return hits.select("query_id", "position", "entity_id", "label", F.round("score", 6).alias("score"), "matched")
 
 
