@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SPLITS = 64
+BUCKET_ROWS = 1 << 17  # rows of one order bucket
 CHUNK = 4096
 
 
@@ -27,17 +30,28 @@ def order_bucket(df: DataFrame, order: list[str], splits: int = SPLITS) -> Colum
     return F.size(F.filter(F.array(*cuts), lambda p: p <= own))
 
 
+def order_ranges(df: DataFrame, order: list[str], splits: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``_b``, the number of its range of the ``order`` columns: as many ranges as the rows fill, of like size.
+
+    The rows are dealt by range and written out with the range they came to, so later steps agree on it whatever is
+    computed again. Nothing but Spark's own sample of the keys reaches the driver.
+    """
+    n = splits or df.count() // bucket_rows + 1
+    return cut(df.repartitionByRange(int(n), *order).withColumn("_b", F.spark_partition_id()))
+
+
 def ordered_steps(
-    df: DataFrame, keys: list[str], order: str, carry: dict[str, str], tie: str | None = None, splits: int = SPLITS
+    df: DataFrame, keys: list[str], order: str, carry: dict[str, str], tie: str | None = None, splits: int | None = None
 ) -> DataFrame:
     """Adds ``step`` (1-based position within ``keys``) and ``prev_x`` / ``next_x`` for each carried column.
 
     A key's rows are cut into order buckets, numbered inside the bucket and stitched through one row per
-    (key, bucket): no task ever sorts a whole hot key, and the stitching window sees at most ``splits`` rows per key.
+    (key, bucket): no task ever sorts a whole hot key, and the stitching window sees one row for each bucket of a key.
+    Buckets hold about ``BUCKET_ROWS`` rows however many there are; ``splits`` fixes their number instead.
     """
     columns = df.columns
     ordering = [order] + ([tie] if tie else [])
-    b = df.withColumn("_b", order_bucket(df, ordering, splits))
+    b = order_ranges(df, ordering, splits)
     inner = Window.partitionBy(*keys, "_b").orderBy(*ordering)
     sort_key = F.struct(*ordering)
     carried = F.struct(*[F.col(c).alias(f"c_{a}") for a, c in carry.items()]) if carry else F.struct(F.lit(1).alias("c_"))

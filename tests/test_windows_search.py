@@ -3,7 +3,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from proofweave.operators import search
+from proofweave.operators import search, windows
 from proofweave.operators.windows import order_bucket, ordered_steps, pairs_within
 
 
@@ -71,3 +71,41 @@ def test_search_ranks_and_ties(spark):
 
 def test_empty_query_finds_nothing(spark):
     assert search.query_texts(spark.createDataFrame([(1, "   ")], "query_id int, text string")).count() == 0
+
+
+def test_join_in_slots_is_the_join(spark):
+    rnd = random.Random(4)
+    left = [(rnd.choice(["hot", "a", "b", None]), i) for i in range(300)]
+    right = [(rnd.choice(["hot", "hot", "a", "c", None]), i) for i in range(200)]
+    l, r = spark.createDataFrame(left, "k string, x int"), spark.createDataFrame(right, "k string, y int")
+    want = sorted((k, x, y) for k, x in left for j, y in right if k is not None and k == j)
+    for chunk in (10, 100, 1000):
+        assert sorted((row.k, row.x, row.y) for row in windows.join_within(l, r, ["k"], chunk).collect()) == want
+    plan = windows.join_within(l, r, ["k"], 10)
+    assert plan.columns == ["k", "x", "y"]
+
+
+def test_the_floor_separates_before_scores_are_taken(spark):
+    """Texts that all share frequent trigrams: what the filters let through is a small part of all pairs."""
+    rnd = random.Random(5)
+    texts = ["customer " + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(200)]
+    near = [t[:-1] + "q" for t in texts[:20]]
+    got = search.trigram_match(spark.createDataFrame([(x,) for x in near], "t string"), spark.createDataFrame([(x,) for x in texts], "t string"), 0.5)
+    assert {(r.left_text, r.right_text) for r in got.collect()} >= set(zip(near, texts)) and got.count() < 0.1 * len(near) * len(texts)
+    best = search.trigram_match(spark.createDataFrame([(x,) for x in near], "t string"), spark.createDataFrame([(x,) for x in texts], "t string"), 0.1, best=3)
+    assert {(r.left_text, r.right_text) for r in best.collect()} >= set(zip(near, texts)) and best.groupBy("left_text").count().where("count > 3").isEmpty()
+
+
+def test_codes_tell_trigrams_apart(spark):
+    text = spark.createDataFrame([("Añb 日本語 ab😀c",)], "t string")
+    row = text.select(search.trigrams(F.col("t")).alias("g"), search.trigram_codes(F.col("t")).alias("c")).first()
+    assert [sum(ord(ch) << s for ch, s in zip(g, (42, 21, 0))) for g in row.g] == list(row.c) and len(set(row.c)) == len(row.c)
+
+
+def test_buckets_are_of_one_size_whatever_the_input(spark):
+    for rows in (4_000, 32_000):
+        df = spark.range(rows).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 100_003).alias("o"))
+        sizes = [r["count"] for r in windows.order_ranges(df, ["o"], bucket_rows=1000).groupBy("_b").count().collect()]
+        assert len(sizes) == rows // 1000 + 1 and max(sizes) < 2500
+    ties = spark.range(3000).select(F.lit(1).alias("o"), F.col("id").alias("t"))
+    assert windows.order_ranges(ties, ["o", "t"], bucket_rows=500).select("_b").distinct().count() > 4
