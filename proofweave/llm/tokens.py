@@ -23,7 +23,7 @@ _BLANK = r"\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{20
 _ODD_TEXT = rf" (?:[{_BLANK}]|\z)|(?:\A|[{_BLANK}])\n|\n(?:[{_BLANK}]|\z)"
 _CLOSING = ".,;:!?*#$%&|)"
 _GROUP = 64  # distinct pieces that one library call encodes together
-_SLICE = 3 << 20  # characters of text whose arrays are held at a time
+_SLICE = 3 << 20  # characters of text whose arrays are held at a time; more where few other arrays are held
 
 
 def pieces(text: str) -> list[str]:
@@ -46,7 +46,7 @@ class PieceEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        self.library, self.spaced, self.memo = Tokenizer.from_file(path), spaced, memo
+        self.library, self.spaced, self.memo, self.slice = Tokenizer.from_file(path), spaced, memo, _SLICE if spaced else 8 << 20
         self.bare: dict[str, bytes] = {}  # pieces as they stand
         self.after: dict[str, bytes] = {}  # pieces behind a space
         self.old: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
@@ -132,7 +132,7 @@ class PieceEncoder:
         at = size = 0
         for k, text in enumerate(texts):
             size += len(text)
-            if size >= _SLICE or k == len(texts) - 1:
+            if size >= self.slice or k == len(texts) - 1:
                 out += self._encode(texts[at : k + 1])
                 at, size = k + 1, 0
         return out
@@ -209,5 +209,5 @@ _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 def encoder(path: str, spaced: bool) -> PieceEncoder:
     """One encoder per worker process and vocabulary file."""
     if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = PieceEncoder(path, spaced)
+        _ENCODERS[path, spaced] = PieceEncoder(path, spaced, 300_000 if spaced else 500_000)
     return _ENCODERS[path, spaced]
