@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..session import cut
+from ..session import cut, small
 from . import projection as pj
 
 # --- fixed values: caps of the graph reads ------------------------------------------------------
@@ -76,8 +76,10 @@ def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_elements:
     """Breadth-first expansion of every seed set under its own node-plus-edge budget.
 
     Returns (set_id, hop, edge columns) and (set_id, elements, truncated). Each hop admits edges in reading order and
-    stops at the first that does not fit. Only the first ``budget + 1`` edges of a hop can matter: they are picked from
-    ``SALTS`` shares of each set first, so that a hub's edges never meet in one task. ``max_elements`` None: no budget.
+    stops at the first that does not fit. Only the first ``budget + 1`` new edges of a hop can matter, and a set holds at
+    most ``budget`` edges already, so of each node's edges the first ``2 * budget + 1`` do. They are picked once for all sets,
+    before sets meet edges, and like the first edges of a set from ``SALTS`` shares, so that a hub's edges never meet in one
+    task nor repeat for each set that reaches it. ``max_elements`` None: no budget.
     """
     max_hops = max(0, max_hops)
     budget = UNBOUNDED if max_elements is None else max(1, max_elements)
@@ -87,7 +89,10 @@ def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_elements:
     sets = reached.groupBy("set_id").agg(F.count(F.lit(1)).alias("elements")).withColumn("truncated", F.lit(False))
     frontier, taken, by_set = reached, None, Window.partitionBy("set_id")
     for hop in range(1, max_hops + 1):
-        found = frontier.join(touch, "node").select("set_id", *EDGE).distinct()
+        near = touch.join(small(frontier.select("node").distinct()), "node", "left_semi")
+        if max_elements is not None:
+            near = _first_of_nodes(near, 2 * budget + 1)
+        found = frontier.join(near, "node").select("set_id", *EDGE).distinct()
         if taken is not None:
             found = found.join(taken.select("set_id", "edge_id"), ["set_id", "edge_id"], "left_anti")
         share = Window.partitionBy("set_id", "salt").orderBy(*_reading_order())
@@ -123,6 +128,15 @@ def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_elements:
     return taken, sets
 
 
+def _first_of_nodes(touch: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` different edges of each node in reading order; repeated rows count once."""
+    shared = touch.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(SALTS)))
+    for by in (["node", "salt"], ["node"]):
+        order = Window.partitionBy(*by).orderBy(*_reading_order())
+        shared = shared.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= most).drop("_r")
+    return shared.drop("salt")
+
+
 def overview(edges: DataFrame, max_elements: int = MAX_ELEMENTS) -> DataFrame:  # the feature is a bounded slice
     """Seedless slice: the first ``budget + 1`` edges in reading order, keeping each that fits the element budget.
 
