@@ -175,7 +175,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_PATH_
     max_hops = max(1, max_hops)
     max_paths = UNBOUNDED if max_paths is None else max(1, max_paths)
     steps = _both_ends(edges, "edge_id")
-    degree = steps.groupBy(F.col("near").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    degree = cut(steps.groupBy(F.col("near").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
     pairs = cut(pairs.select("pair_id", "source", "target"))
     open_ = pairs.where("source <> target")
     ball = cut(open_.select(F.explode(F.array("source", "target")).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
@@ -194,7 +194,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_PATH_
             break
         named = asks.select(F.col("named").alias("root")).distinct()
         front = ball.join(status.join(named, "root", "left_semi").select("root", F.col("reach").alias("depth")), ["root", "depth"])
-        found = front.select("root", F.col("node").alias("near"), (F.col("depth") + 1).alias("depth")).join(steps, "near").select(
+        # a frontier that is small travels to the edges, not the edges to it
+        front = small(cut(front.select("root", F.col("node").alias("near"), (F.col("depth") + 1).alias("depth"))))
+        found = front.join(steps, "near").select(
             "root", F.col("far").alias("node"), F.col("near").alias("toward"), "edge_id", "depth"
         ).distinct().join(ball.select("root", "node"), ["root", "node"], "left_anti")
         found = cut(found)
