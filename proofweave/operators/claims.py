@@ -22,8 +22,7 @@ DEDUPE_KEY = ["source", "target", "relation", "layer", "start_date", "end_date"]
 
 def ascii_slug(text: Column) -> Column:
     """Lower-case ASCII slug; accents are folded by the caller where text is not ASCII."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_|_$", "")
-    return F.when(slug == "", "unknown").otherwise(slug)
+    return F.regexp_replace(F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_")), "^$", "unknown")
 
 
 def parse_custody_list(docs: DataFrame, doc: str = "record_id", text: str = "text") -> DataFrame:

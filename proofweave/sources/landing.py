@@ -14,10 +14,9 @@ MEDIA_TYPES = {
     "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html",
     "xml": "text/xml", "json": "application/json", "pdf": "application/pdf",
 }
-EXTRACTION_SCHEMA = (
-    "nodes array<struct<node_id:string,name:string,node_type:string,nic:string,aliases:array<string>,affiliations:array<string>,source_excerpt:string>>, "
-    "edges array<struct<source:string,target:string,relation:string,layer:string,confidence:string,start_date:date,end_date:date,location:string,source_excerpt:string>>"
-)
+NODES_SCHEMA = "nodes array<struct<node_id:string,name:string,node_type:string,nic:string,aliases:array<string>,affiliations:array<string>,source_excerpt:string>>"
+EDGES_SCHEMA = "edges array<struct<source:string,target:string,relation:string,layer:string,confidence:string,start_date:date,end_date:date,location:string,source_excerpt:string>>"
+EXTRACTION_SCHEMA = f"{NODES_SCHEMA}, {EDGES_SCHEMA}"
 
 
 def ingest_key(system: Column, filename: Column, content_hash: Column) -> Column:
@@ -99,6 +98,13 @@ def _accents_folded(text: Column) -> Column:
     return F.when(plain, text).otherwise(F.regexp_replace(folded, r"[^\x00-\x7F]", ""))
 
 
+def _listed(cached: DataFrame, schema: str, field: str, item: str) -> DataFrame:
+    """(record_id, pos, item): one list of the bodies. Only that list is parsed, and once: the inner explode would bring a
+    filter on the list's size, which parses every body again."""
+    parsed = cached.select("record_id", F.from_json("body", schema, {"mode": "PERMISSIVE"}).getField(field).alias("_l"))
+    return parsed.select("record_id", F.posexplode_outer("_l").alias("pos", item)).where("pos IS NOT NULL")
+
+
 def load_extractions(cached: DataFrame, ascii_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of cached extraction JSON: ``cached(record_id, body)``.
 
@@ -106,13 +112,12 @@ def load_extractions(cached: DataFrame, ascii_only: bool = False) -> tuple[DataF
     ``error`` when they are self-loops, end before they start, or use an unknown tag.
     """
     fold = (lambda c: c) if ascii_only else _accents_folded
-    parsed = cached.select("record_id", F.from_json("body", EXTRACTION_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"))
-    n = parsed.select("record_id", F.posexplode("r.nodes").alias("pos", "n"))
+    n = _listed(cached, NODES_SCHEMA, "nodes", "n")
     nodes = n.select(
         "record_id", "pos", ascii_slug(fold(F.coalesce(F.nullif(F.col("n.node_id"), F.lit("")), F.col("n.name")))).alias("node_id"), "n.name",
         F.coalesce("n.node_type", F.lit("PERSON")).alias("node_type"), "n.nic", "n.aliases", "n.affiliations", "n.source_excerpt",
     )
-    e = parsed.select("record_id", F.posexplode("r.edges").alias("pos", "e")).select("record_id", "pos", "e.*")
+    e = _listed(cached, EDGES_SCHEMA, "edges", "e").select("record_id", "pos", "e.*")
     for c in ("source", "target", "relation"):
         e = e.withColumn(c, ascii_slug(fold(F.col(c))))
     weight = V.lookup(F.col("confidence"), {t: g[2] for t, g in V.TAG_GRADES.items()})
