@@ -236,35 +236,41 @@ def draft_suggestions(edges: DataFrame, mentions: DataFrame, resolved: DataFrame
     ``edges(record_id, source, target, relation, confidence, extraction_method, start_date, end_date, location,
     source_excerpt)``, ``mentions(record_id, ref, mention_id)``, ``resolved(norm_key, entity_id)``.
     """
-    rows = grade_confidence(edges)
-    renamed = V.lookup(F.col("relation"), V.PREDICATE_RENAMES)
-    named = F.coalesce(renamed, F.col("relation"))
-    rows = rows.withColumn("predicate", F.when(named.isin(*V.PREDICATES), named))
+    rows = edges
     for side, end in (("subject", "source"), ("object", "target")):
         rows = rows.join(resolved.toDF(end, f"{side}_id"), end, "left").join(
             mentions.select("record_id", F.col("ref").alias(end), F.col("mention_id").alias(f"{side}_mention_id")), ["record_id", end], "left"
         )
-    method = V.lookup(F.col("extraction_method"), V.COLLECTION_METHOD_OF_TAG)
+    named = F.coalesce(V.lookup(F.col("relation"), V.PREDICATE_RENAMES), F.col("relation"))
+    # what a proposal says; equal proposals are one draft, whichever way they were worded
+    said = {
+        "record_id": F.col("record_id"), "subject_id": F.col("subject_id"), "object_id": F.col("object_id"), "subject_mention_id": F.col("subject_mention_id"),
+        "object_mention_id": F.col("object_mention_id"), "predicate": F.when(named.isin(*V.PREDICATES), named), "confidence": F.col("confidence"),
+        "method": V.lookup(F.col("extraction_method"), V.COLLECTION_METHOD_OF_TAG), "valid_from": F.col("start_date").cast("string"),
+        "valid_to": F.col("end_date").cast("string"), "location": F.col("location"), "source_excerpt": F.col("source_excerpt"),
+    }
+    worded = {"subject_ref": F.col("source"), "object_ref": F.col("target"), "raw_relation": F.col("relation")}
+    # dealt by record, a document each, for this grouping and any by record after it; texts and keys are made of what is left
+    dealt = rows.select(*[c.alias(n) for n, c in (said | worded).items()]).repartition("record_id")
+    drafts = dealt.groupBy(*said).agg(F.min(F.struct(*worded)).alias("w")).select(*said, "w.*")
+    drafts = grade_confidence(drafts)
     # fields in sorted key order, nulls kept, so that equal proposals give equal text
     payload = F.to_json(
         F.struct(
-            F.lit("reported").alias("assertion_type"), method.alias("collection_method"),
+            F.lit("reported").alias("assertion_type"), F.col("method").alias("collection_method"),
             F.col("credibility").alias("credibility_normalized"), F.col("confidence").alias("credibility_original"),
             F.lit(GRADING_SCHEME).alias("credibility_scheme"), F.col("source_excerpt").alias("excerpt"),
             F.col("location").alias("location_text"), "object_id", "object_mention_id", "predicate", "record_id",
-            "subject_id", "subject_mention_id", F.col("start_date").cast("string").alias("valid_from"),
-            F.col("end_date").cast("string").alias("valid_to"), F.col("verification").alias("verification_status"),
+            "subject_id", "subject_mention_id", "valid_from", "valid_to", F.col("verification").alias("verification_status"),
         ),
         {"ignoreNullFields": "false"},
     )
     key = F.sha2(F.concat_ws("|", F.lit("claim_draft"), F.lit(producer), F.lit(version), payload), 256)
-    needs = F.array_compact(F.array(F.when(F.col("subject_id").isNull(), F.col("source")), F.when(F.col("object_id").isNull(), F.col("target"))))
-    drafts = rows.select(
-        "record_id", F.col("source").alias("subject_ref"), F.col("target").alias("object_ref"), F.col("relation").alias("raw_relation"), "predicate",
+    needs = F.array_compact(F.array(F.when(F.col("subject_id").isNull(), F.col("subject_ref")), F.when(F.col("object_id").isNull(), F.col("object_ref"))))
+    drafts = drafts.select(
+        "record_id", "subject_ref", "object_ref", "raw_relation", "predicate",
         "subject_id", "object_id", "subject_mention_id", "object_mention_id", needs.alias("needs_entity"), payload.alias("payload"), key.alias("idempotency_key"),
     )
-    rest = [c for c in drafts.columns if c != "idempotency_key"]
-    drafts = drafts.groupBy("idempotency_key").agg(F.min(F.struct(*rest)).alias("d")).select(*[F.col(f"d.{c}").alias(c) for c in rest], "idempotency_key")
     return drafts if existing is None else drafts.join(existing.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
