@@ -323,55 +323,107 @@ def cross_layer_brokers(edges: DataFrame) -> DataFrame:
     return on.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("layer")), ",").alias("layers"), F.count(F.lit(1)).alias("layer_count")).where("layer_count >= 2")  # layers: fixed short list
 
 
-def _weighted_halves(at: DataFrame, steps: DataFrame, limits: DataFrame, last: str, rest: float, strict: bool | None, top_degree: int) -> DataFrame:
-    """Half trails one edge longer, unless even the best rest of the trail stays at or under the pair's limit.
+def _confidence(product) -> Column:
+    return F.round(F.round(product, 9), 3)
 
-    ``last``: column of ``limits`` with the best weight at the other end; ``rest``: the best product of the edges between.
-    ``strict`` None: halves that are grown further, which some node of a higher degree must follow; else halves that meet
-    here, so this node's degree is at least (True: above) that of all nodes before it.
-    """
-    grown = (
-        at.withColumnRenamed("node", "near").withColumn("peak", F.greatest("peak", "degree")).drop("degree").join(steps, "near")
-        .where(~F.array_contains("ids", F.col("edge_id")))
-    )
-    if strict is None:
-        grown = grown.where(F.col("peak") < top_degree)
-    else:
-        grown = grown.where(F.col("degree") > F.col("peak") if strict else F.col("degree") >= F.col("peak"))
-    grown = grown.select(
-        "pair_id", F.col("far").alias("node"), "degree", "peak", F.concat("nodes", F.array("far")).alias("nodes"), F.concat("ids", F.array("edge_id")).alias("ids"),
-        F.concat("layers", F.array("layer")).alias("layers"), (F.col("product") * F.col("weight")).alias("product"),
-    )
+
+def _first_parallel(steps: DataFrame, most: int) -> DataFrame:
+    """Of parallel edges of one weight the ``most`` with the smallest ids."""
+    order = Window.partitionBy("near", "far", "weight").orderBy("edge_id")
+    return steps.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+
+
+def _leaving(steps: DataFrame, nodes: DataFrame, column: str = "near") -> DataFrame:
+    """Steps whose ``column`` is one of ``nodes(node)``; few nodes travel to the edges, not the edges to them."""
+    return steps.join(small(nodes.select(F.col("node").alias(column)).distinct()), column, "left_semi")
+
+
+def _hopeful(halves: DataFrame, limits: DataFrame, last: str, rest: float) -> DataFrame:
+    """Half trails of pairs that are still open, unless even the best rest of the trail stays at or under the pair's limit."""
     hope = _confidence(F.col("product") * F.col(last) * F.lit(rest))
-    return grown.join(limits, "pair_id").where(F.col("floor").isNull() | (hope > F.col("floor"))).select(*grown.columns)
+    return halves.join(limits, "pair_id").where(F.col("floor").isNull() | (hope > F.col("floor"))).select(*halves.columns)
 
 
-def _confidence(product) -> Column:
-    return F.round(F.round(product, 9), 3)
+def _ends_met(f: DataFrame, middles: DataFrame, b: DataFrame, limits: DataFrame) -> DataFrame:
+    """``f`` and ``b`` halves of a pair joined through ``middles(near, far, weight, other_weight, ...)``, if they beat its limit."""
+    front = f.select("pair_id", F.col("node").alias("near"), F.col("nodes").alias("f_nodes"), F.col("ids").alias("f_ids"), F.col("layers").alias("f_layers"), F.col("product").alias("f_product"))
+    back = b.select("pair_id", F.col("node").alias("far"), F.col("nodes").alias("b_nodes"), F.col("ids").alias("b_ids"), F.col("layers").alias("b_layers"), F.col("product").alias("b_product"))
+    met = front.join(middles, "near").join(back, ["pair_id", "far"]).where(~F.arrays_overlap("f_ids", "b_ids"))
+    met = met.withColumn("path_confidence", _confidence((F.col("f_product") * F.col("weight")) * (F.col("b_product") * F.col("other_weight"))))
+    return met.join(limits.select("pair_id", "floor"), "pair_id").where(F.col("floor").isNull() | (F.col("path_confidence") > F.col("floor"))).drop("floor")
+
+
+def _two_steps(steps: DataFrame, f: DataFrame, b: DataFrame, limits: DataFrame, found: DataFrame, top: int, most: int) -> DataFrame:
+    """Two edges each between the ends of ``f`` and ``b`` halves: all that the best ``top`` trails of a pair can hold.
+
+    Where the node between lies on no half, neither edge can lie on one: such middles of the same ends and weights make trails
+    that differ in the ids of these edges alone, and the first ``top`` of them do. How many there are is counted without
+    their ids first, which tells a confidence that ``top`` trails of the pair reach; only weights that reach it are listed.
+    """
+    starts, stops = f.select("node"), b.select("node")
+    on_halves = small(cut(f.select(F.explode("nodes").alias("far")).unionByName(b.select(F.explode("nodes").alias("far"))).distinct()))
+    spokes = _leaving(steps, starts.unionByName(stops))
+    free = spokes.join(on_halves, "far", "left_anti")
+
+    # both edges of the same two nodes may be one edge, which is no middle
+    tally = free.select("far", "near", "weight").repartition("far").groupBy("far", "near", "weight").agg(F.count(F.lit(1)).alias("n"))
+    first = _leaving(tally, starts)
+    second = _leaving(tally.select("far", F.col("near").alias("end"), F.col("weight").alias("other_weight"), F.col("n").alias("m")), stops, "end")
+    same = ((F.col("near") == F.col("end")) & (F.col("weight") == F.col("other_weight"))).cast("long")
+    classes = first.join(second, "far").groupBy("near", F.col("end").alias("far"), "weight", "other_weight").agg(F.sum(F.col("n") * (F.col("m") - same)).alias("n"))
+    met = cut(_ends_met(f, cut(classes.where("n > 0")), b, limits).select("pair_id", "near", "far", "weight", "other_weight", "path_confidence", "n"))
+    reached = met.select("pair_id", "path_confidence", "n")
+    if found is not None:
+        reached = reached.unionByName(found.select("pair_id", "path_confidence", F.lit(1).cast("long").alias("n")))
+    down = Window.partitionBy("pair_id").orderBy(F.col("path_confidence").desc())
+    so_far = reached.groupBy("pair_id", "path_confidence").agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(down))
+    least = so_far.where(F.col("n") >= top).groupBy("pair_id").agg(F.max("path_confidence").alias("least"))
+    needed = met.join(least, "pair_id", "left").where(F.col("least").isNull() | (F.col("path_confidence") >= F.col("least")))
+    needed = small(cut(needed.select("near", F.col("far").alias("end"), "weight", "other_weight").distinct()))
+
+    def through(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.select("far", F.col("near").alias("end"), F.col("weight").alias("other_weight"), F.col("edge_id").alias("other_id"), F.col("layer").alias("other_layer"))
+        return left.join(other, "far").where(F.col("edge_id") != F.col("other_id"))
+
+    one = free.join(small(needed.select("near", "weight").distinct()), ["near", "weight"], "left_semi")
+    two = free.join(small(needed.select(F.col("end").alias("near"), F.col("other_weight").alias("weight")).distinct()), ["near", "weight"], "left_semi")
+    kind = ["near", "end", "weight", "other_weight"]
+    order = Window.partitionBy(*kind).orderBy("edge_id", "other_id")
+    listed = through(one, two).join(needed, kind, "left_semi").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top).drop("_r")
+    bound = cut(_first_parallel(spokes.join(on_halves, "far", "left_semi"), most))
+    middles = listed.unionByName(through(_leaving(bound, starts), _leaving(bound, stops)).select(*listed.columns))
+    return cut(
+        middles.select(
+            "near", F.col("end").alias("far"), "weight", "other_weight", F.array("far").alias("inner"),
+            F.array("edge_id", "other_id").alias("ids"), F.array("layer", "other_layer").alias("layers"),
+        )
+    )
 
 
 def weighted_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_WEIGHTED_HOPS, top: int = TOP_WEIGHTED) -> DataFrame:
     """Best ``top`` undirected trails (no edge twice) of each pair by product of weights, at most ``max_hops`` long.
 
-    ``edges(edge_id, source, target, layer, weight)``, weights of at least 0, ``pairs(pair_id, source, target)``. Ties:
-    fewer hops, then edge ids.
+    ``edges(edge_id, source, target, layer, weight)``, a stored table that is read for every length, weights of at least 0,
+    ``pairs(pair_id, source, target)``. Ties: fewer hops, then edge ids.
 
     Lengths are searched one after the other. Once a pair has ``top`` trails, a longer one must beat the last of them, so that
     confidence is shared by all halves of the pair as a limit: a half stays only while its product, times the best weight at
     the other end and the best weights between, can exceed it, and a pair that nothing can improve is done.
 
-    Two half trails meet at the inner node of the highest degree (the first of equals), which is therefore entered but never
-    left: a hub between two people costs its edges to them, not all its edges. Each trail has one such node, so it is met once.
+    Two halves of equal length are joined by one edge, or by two through any node: a hub that ends a half is never left
+    towards all its neighbours, and of the ways through the neighbours of two hubs only the first are listed. Edges are
+    shuffled once or twice, by the node between, those alone that touch the end of a half.
     """
-    ends = edges.select(F.col("source").alias("subject_id"), F.col("target").alias("object_id"), "edge_id", "layer", "weight")
-    both = _both_ends(ends, "edge_id", "layer", "weight")
-    at_node = cut(both.groupBy("near").agg(F.count(F.lit(1)).alias("degree"), F.max("weight").alias("best")))
-    steps = cut(both.join(at_node.select(F.col("near").alias("far"), "degree"), "far"))
-    best_weight, top_degree = at_node.agg(F.max("best"), F.max("degree")).first()
-    if best_weight is None:
-        best_weight, top_degree = 0.0, 0
+    ends = edges.select(F.col("source").alias("near"), F.col("target").alias("far"), "edge_id", "layer", "weight")
+    back = ends.where(F.col("near") != F.col("far")).select(F.col("far").alias("near"), F.col("near").alias("far"), "edge_id", "layer", "weight")
+    steps = ends.unionByName(back)
+    most = top + max_hops - 1  # parallel edges of one weight: so many leave ``top`` that the rest of a trail does not hold
+    pairs = cut(pairs.select("pair_id", "source", "target"))
+    at_node = cut(_leaving(steps, pairs.select(F.explode(F.array("source", "target")).alias("node"))).groupBy("near").agg(F.max("weight").alias("best")))
+    best_weight = edges.agg(F.max("weight")).first()[0]
+    best_weight = 0.0 if best_weight is None else best_weight
     pairs = cut(
-        pairs.select("pair_id", "source", "target")
+        pairs
         .join(at_node.select(F.col("near").alias("source"), F.col("best").alias("at_source")), "source")
         .join(at_node.select(F.col("near").alias("target"), F.col("best").alias("at_target")), "target")
     )
@@ -382,39 +434,35 @@ def weighted_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_WEIGH
 
     def start(column: str) -> DataFrame:
         strings = F.array().cast("array<string>")
-        return pairs.select("pair_id", F.col(column).alias("node"), F.lit(-1).cast("long").alias("degree"), F.lit(-1).cast("long").alias("peak"), F.array(column).alias("nodes"), strings.alias("ids"), strings.alias("layers"), F.lit(1.0).alias("product"))
+        return pairs.select("pair_id", F.col(column).alias("node"), F.array(column).alias("nodes"), strings.alias("ids"), strings.alias("layers"), F.lit(1.0).alias("product"))
+
+    def grown(halves: DataFrame) -> DataFrame:
+        further = _first_parallel(_leaving(steps, halves), most)
+        return halves.withColumnRenamed("node", "near").join(further, "near").where(~F.array_contains("ids", F.col("edge_id"))).select(
+            "pair_id", F.col("far").alias("node"), F.concat("nodes", F.array("far")).alias("nodes"), F.concat("ids", F.array("edge_id")).alias("ids"),
+            F.concat("layers", F.array("layer")).alias("layers"), (F.col("product") * F.col("weight")).alias("product"),
+        )
 
     limits = pairs.select("pair_id", "at_source", "at_target", F.lit(None).cast("double").alias("floor"))
     order = Window.partitionBy("pair_id").orderBy(F.col("path_confidence").desc(), "hops", "edge_ids")
-    sides = {"f": ("at_target", True), "b": ("at_source", False)}
-    full = {side: [start(column)] for side, column in (("f", "source"), ("b", "target"))}
+    halves = {"at_target": start("source"), "at_source": start("target")}
     found = None
     for hops in range(1, max_hops + 1):
-        meet: dict[str, dict[int, DataFrame]] = {"f": {}, "b": {}}
-        for side, (last, strict) in sides.items():
-            # halves that later, longer halves grow from; then those that meet in this round
-            while len(full[side]) < hops - 1:
-                n = len(full[side])
-                full[side].append(cut(_weighted_halves(full[side][-1], steps, limits, last, rest(max(0, hops - n - 1)), None, top_degree)))
-            for n in range(1, hops):
-                meet[side][n] = cut(_weighted_halves(full[side][n - 1], steps, limits, last, rest(max(0, hops - n - 1)), strict, top_degree))
-        if hops == 1:
-            direct = _weighted_halves(start("source"), steps, limits.withColumn("at_target", F.lit(1.0)), "at_target", 1.0, True, top_degree)
-            trails = [direct.join(pairs.select("pair_id", F.col("target").alias("node")), ["pair_id", "node"]).select("pair_id", F.lit(1).alias("hops"), "nodes", F.col("ids").alias("edge_ids"), "layers", _confidence(F.col("product")).alias("path_confidence"))]
+        length = (hops - 1) // 2  # of a half; the middle has the one or two edges left
+        for last in halves:
+            longer = grown(halves[last]) if hops > 1 and hops % 2 else halves[last]
+            halves[last] = cut(_hopeful(longer, limits, last, rest(hops - length - 1)))
+        f, b = halves["at_target"], halves["at_source"]
+        if hops % 2:
+            middles = cut(_first_parallel(_leaving(_leaving(steps, f), b, "far"), most).select(
+                "near", "far", "weight", F.lit(1.0).alias("other_weight"), F.array().cast("array<string>").alias("inner"), F.array("edge_id").alias("ids"), F.array("layer").alias("layers")
+            ))
         else:
-            trails = []
-            for n in range(1, hops):
-                f, b = meet["f"][n].alias("f"), meet["b"][hops - n].alias("b")
-                met = f.join(b, (F.col("f.pair_id") == F.col("b.pair_id")) & (F.col("f.node") == F.col("b.node"))).where(~F.arrays_overlap("f.ids", "b.ids"))
-                trails.append(
-                    met.select(
-                        F.col("f.pair_id").alias("pair_id"), F.lit(hops).alias("hops"),
-                        F.concat("f.nodes", F.slice(F.reverse("b.nodes"), F.lit(2), F.size("b.nodes"))).alias("nodes"), F.concat("f.ids", F.reverse("b.ids")).alias("edge_ids"),
-                        F.concat("f.layers", F.reverse("b.layers")).alias("layers"), _confidence(F.col("f.product") * F.col("b.product")).alias("path_confidence"),
-                    )
-                )
-        now = reduce(DataFrame.unionByName, trails)
-        now = now.join(limits.select("pair_id", "floor"), "pair_id").where(F.col("floor").isNull() | (F.col("path_confidence") > F.col("floor"))).drop("floor")
+            middles = _two_steps(steps, f, b, limits, found, top, most)
+        now = _ends_met(f, middles, b, limits).where(~F.arrays_overlap("ids", "f_ids") & ~F.arrays_overlap("ids", "b_ids")).select(
+            "pair_id", F.lit(hops).alias("hops"), F.concat("f_nodes", "inner", F.reverse("b_nodes")).alias("nodes"), F.concat("f_ids", "ids", F.reverse("b_ids")).alias("edge_ids"),
+            F.concat("f_layers", "layers", F.reverse("b_layers")).alias("layers"), "path_confidence",
+        )
         now = now if found is None else found.drop("rank").unionByName(now)
         found = cut(now.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
         if hops == max_hops:
